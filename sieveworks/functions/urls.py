@@ -48,6 +48,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and evaluate ``body(value)`` (avoids re-inlining a
+    large sub-expression at every reference)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def pct_decode(c) -> Column:
     """Form decoding: '+' -> space, %XX -> UTF-8. Bad escapes keep the raw text."""
     c = _col(c)
@@ -78,24 +84,27 @@ def url_parts(url) -> Column:
 
     ``scheme`` is null when the URL has none.
     """
+    def split(u):
+        has_scheme = u.rlike(_SCHEME_RE)
+        rest = F.when(has_scheme, F.regexp_replace(u, _SCHEME_RE, "")).otherwise(u)
+        return F.struct(F.when(has_scheme, F.lower(F.regexp_extract(u, _SCHEME_RE, 1))).alias("scheme"),
+                        F.regexp_extract(rest, _REST_RE, 2).alias("netloc"),
+                        F.regexp_extract(rest, _REST_RE, 3).alias("path_full"),
+                        F.regexp_extract(rest, _REST_RE, 4).alias("query_q"),
+                        F.regexp_extract(rest, _REST_RE, 6).alias("frag"))
+
+    def finish(p):
+        path_full = p["path_full"]
+        split_params = F.coalesce(p["scheme"], F.lit("")).isin(*USES_PARAMS) & path_full.contains(";")
+        path = F.when(split_params, F.concat(F.regexp_extract(path_full, _PARAMS_RE, 1),
+                                             F.regexp_extract(path_full, _PARAMS_RE, 2))).otherwise(path_full)
+        params = F.when(split_params, F.regexp_extract(path_full, _PARAMS_RE, 4)).otherwise(F.lit(""))
+        return F.struct(p["scheme"].alias("scheme"), p["netloc"].alias("netloc"), path.alias("path"),
+                        params.alias("params"), F.regexp_replace(p["query_q"], "^\\?", "").alias("query"),
+                        F.regexp_replace(p["frag"], "^#", "").alias("fragment"))
+
     u = F.regexp_replace(strip_ws(_col(url)), r"[\t\r\n]", "")
-    has_scheme = u.rlike(_SCHEME_RE)
-    scheme = F.when(has_scheme, F.lower(F.regexp_extract(u, _SCHEME_RE, 1)))
-    rest = F.when(has_scheme, F.regexp_replace(u, _SCHEME_RE, "")).otherwise(u)
-    netloc = F.regexp_extract(rest, _REST_RE, 2)
-    path_full = F.regexp_extract(rest, _REST_RE, 3)
-    has_query = F.regexp_extract(rest, _REST_RE, 4) != ""
-    query = F.regexp_extract(rest, _REST_RE, 5)
-    fragment = F.regexp_replace(F.regexp_extract(rest, _REST_RE, 6), "^#", "")
-    split_params = F.coalesce(scheme, F.lit("")).isin(*USES_PARAMS) & path_full.contains(";")
-    path = F.when(split_params, F.concat(F.regexp_extract(path_full, _PARAMS_RE, 1),
-                                         F.regexp_extract(path_full, _PARAMS_RE, 2))
-                  ).otherwise(path_full)
-    params = F.when(split_params, F.regexp_extract(path_full, _PARAMS_RE, 4)).otherwise(F.lit(""))
-    return F.struct(scheme.alias("scheme"), netloc.alias("netloc"), path.alias("path"),
-                    params.alias("params"),
-                    F.when(has_query, query).otherwise(F.lit("")).alias("query"),
-                    fragment.alias("fragment"))
+    return let(let(u, split), finish)
 
 
 def normalize_query(q) -> Column:
@@ -129,17 +138,17 @@ def normalize_url(url) -> Column:
     """Canonical URL: lower scheme/host, default port dropped, '' path -> '/',
     trailing slashes stripped, tracking params dropped and the rest sorted and
     re-encoded, fragment dropped. No scheme -> null."""
-    p = url_parts(url)
-    scheme, netloc0 = p["scheme"], F.lower(p["netloc"])
-    netloc = (F.when((scheme == "http") & netloc0.endswith(":80"), F.regexp_replace(netloc0, ":80$", ""))
-              .when((scheme == "https") & netloc0.endswith(":443"), F.regexp_replace(netloc0, ":443$", ""))
-              .otherwise(netloc0))
-    path0 = p["path"]
-    path = (F.when(path0 == "", F.lit("/"))
-             .when((F.length(path0) > 1) & path0.endswith("/"), F.regexp_replace(path0, "/+$", ""))
-             .otherwise(path0))
-    out = _unparse(scheme, netloc, path, p["params"], normalize_query(p["query"]))
-    return F.when(scheme.isNotNull(), out)
+    def body(p):
+        scheme, netloc0, path0 = p["scheme"], F.lower(p["netloc"]), p["path"]
+        netloc = (F.when((scheme == "http") & netloc0.endswith(":80"), F.regexp_replace(netloc0, ":80$", ""))
+                  .when((scheme == "https") & netloc0.endswith(":443"), F.regexp_replace(netloc0, ":443$", ""))
+                  .otherwise(netloc0))
+        path = (F.when(path0 == "", F.lit("/"))
+                 .when((F.length(path0) > 1) & path0.endswith("/"), F.regexp_replace(path0, "/+$", ""))
+                 .otherwise(path0))
+        out = _unparse(scheme, netloc, path, p["params"], normalize_query(p["query"]))
+        return F.when(scheme.isNotNull(), out)
+    return let(url_parts(url), body)
 
 
 def url_host(url) -> Column:
@@ -194,7 +203,7 @@ def date_key(c) -> Column:
            r"([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d{1,6})?)?)?(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$")
     ymd = F.concat_ws("-", F.regexp_extract(s, iso, 1), F.regexp_extract(s, iso, 2),
                       F.regexp_extract(s, iso, 3))
-    d = F.try_to_date(ymd, F.lit("yyyy-MM-dd"))
+    d = F.try_to_date(ymd, "yyyy-MM-dd")
     return F.when(s.rlike(iso) & d.isNotNull(), F.date_format(d, "yyyy-MM-dd"))
 
 
