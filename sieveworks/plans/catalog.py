@@ -17,9 +17,13 @@ from ..functions import minhash as M
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import dedup as D
+from ..operators import annotate as A
+from ..operators import policy as P
+from ..sources import search as S
+from ..operators.rank import select_top
 from . import duck as Q
-from .inputs import (DEDUP_DAYS, EXCLUDE_DOMAINS, HIST_DOCS_SQL, NEW_DOCS_SQL, RUN_DATE, hist_docs, new_docs,
-                     split_pages, table)
+from .inputs import (DEDUP_DAYS, EXCLUDE_DOMAINS, HIST_DOCS_SQL, NEW_DOCS_SQL, PREFERRED_DOMAINS, RUN_DATE, SEARCH_PROVIDERS,
+                     hist_docs, new_docs, split_pages, table)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -214,3 +218,241 @@ SELECT id AS doc_id FROM kept""")
 def q_greedy_dedup(spark, d):
     nodes = _doc_sigs(spark, d).withColumn("title_key", F.lit(""))
     return D.greedy_dedup(nodes).select(F.col("id").alias("doc_id"))
+
+
+# ------------------------------------------------------------ pages as records
+
+def page_records(spark, d) -> DataFrame:
+    """Article fields, host, word-count score for every page (raw url)."""
+    r = H.extract_records(table(spark, d, "pages")).drop("html")
+    n_words = F.when(F.col("content") == "", F.lit(0)).otherwise(F.size(F.split("content", " ")))
+    return (r.withColumn("host", U.url_host("url"))
+            .withColumn("relevance_score", F.round(F.least(F.lit(1.0), n_words / 400.0), 6))
+            .withColumn("published_at", F.lit(None).cast("string"))
+            .withColumn("first_seen", F.lit(None).cast("string")))
+
+
+def _page_records_sql() -> str:
+    content = Q.article_content("html")
+    n_words = f"CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END"
+    return (f"(SELECT page_id, url, {Q.url_host('url')} AS host, c AS content, "
+            f"round(least(1.0, ({n_words}) / 400.0), 6) AS relevance_score "
+            f"FROM (SELECT page_id, url, html, {content} AS c FROM pages))")
+
+
+def _pref_sql(host: str, domains) -> str:
+    doms = "[" + ", ".join(Q.q(x[4:] if x.startswith("www.") else x) for x in domains) + "]"
+    return f"(len(list_filter({doms}, lambda x: {host} = x OR suffix({host}, '.' || x))) > 0)"
+
+
+def _topk_sql(cap: int | None, n: int = 10, boost: float = 1.3) -> str:
+    pref = _pref_sql("host", PREFERRED_DOMAINS)
+    eff = f"CASE WHEN {pref} THEN relevance_score * {boost} ELSE relevance_score END"
+    over = "(hr > " + str(cap) + ")" if cap else "false"
+    return f"""
+WITH r AS (SELECT url, host, relevance_score, {eff} AS eff_score FROM {_page_records_sql()} WHERE relevance_score > 0),
+h AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY eff_score DESC, url) AS hr FROM r),
+o AS (SELECT *, row_number() OVER (ORDER BY {over}, eff_score DESC, url) AS rank FROM h)
+SELECT rank, url, host, round(eff_score, 6) AS eff_score, {over} AS overflow FROM o WHERE rank <= {n}"""
+
+
+def _topk(spark, d, cap):
+    r = P.effective_score(page_records(spark, d), "url", "relevance_score", PREFERRED_DOMAINS, 1.3)
+    top = select_top(r, 10, cap)
+    return top.select("rank", "url", "host", F.round("eff_score", 6).alias("eff_score"), "overflow")
+
+
+@register("rank_topk", _topk_sql(2))
+def q_rank_topk(spark, d):
+    return _topk(spark, d, 2)
+
+
+@register("rank_topk_nocap", _topk_sql(None))
+def q_rank_topk_nocap(spark, d):
+    return _topk(spark, d, None)
+
+
+@register("dom_boost", f"""
+SELECT page_id, {_pref_sql(Q.url_host('url'), PREFERRED_DOMAINS)} AS preferred FROM pages""")
+def q_dom_boost(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url")
+    return P.flag_in_domains(p, "url", PREFERRED_DOMAINS, "preferred").select("page_id", "preferred")
+
+
+@register("dom_exclude", f"""
+SELECT page_id, url FROM pages WHERE NOT {_pref_sql(Q.url_host('url'), EXCLUDE_DOMAINS)}""")
+def q_dom_exclude(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url")
+    doms = spark.createDataFrame([(x,) for x in EXCLUDE_DOMAINS], "domain string")   # DataFrame list: join path
+    return P.exclude_domains(p, "url", doms)
+
+
+@register("dom_strict", f"""
+SELECT page_id, url FROM pages WHERE {_pref_sql(Q.url_host('url'), PREFERRED_DOMAINS)}""")
+def q_dom_strict(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url")
+    return P.restrict_domains(p, "url", PREFERRED_DOMAINS, provider="tavily")
+
+
+# ----------------------------------------------------- history-side anti joins
+
+_HIST_PAGES = "(SELECT * FROM pages WHERE NOT regexp_matches(url, '[?#]'))"
+_NEW_PAGES = "(SELECT * FROM pages WHERE regexp_matches(url, '[?#]'))"
+
+
+@register("anti_url", f"""
+SELECT page_id, {Q.norm_url('url')} AS url_key FROM {_NEW_PAGES} n
+WHERE {Q.norm_url('url')} NOT IN (SELECT {Q.norm_url('url')} FROM {_HIST_PAGES})""")
+def q_anti_url(spark, d):
+    hist, new = split_pages(spark, d)
+    c = new.select("page_id", U.normalize_url("url").alias("url_key"))
+    seen = hist.select(U.normalize_url("url").alias("url"))
+    return D.anti_url(c, seen, "url_key")
+
+
+@register("anti_title", f"""
+SELECT page_id FROM {_NEW_PAGES} n
+WHERE {Q.norm_title(Q.title_tag('html'))} = '' OR {Q.norm_title(Q.title_tag('html'))} NOT IN (
+  SELECT {Q.norm_title(Q.title_tag('html'))} FROM {_HIST_PAGES})""")
+def q_anti_title(spark, d):
+    hist, new = split_pages(spark, d)
+    n = H.extract_records(new).select("page_id", T.normalize_title("title").alias("title_key"))
+    h = H.extract_records(hist).select(T.normalize_title("title").alias("title_key"))
+    return D.anti_title(n, h).select("page_id")
+
+
+# ------------------------------------------------------- search payload sources
+# Landing rows are built from pages: term = page_id div 20 (20 results per
+# response, like a real search page), provider = term % 3. Each response
+# lists its pages' raw URLs then their normalised URLs (repeats test
+# first-wins). Every group is bounded at 40 results whatever the scale.
+
+def landing(spark, d) -> DataFrame:
+    p = table(spark, d, "pages").select((F.col("page_id") / 20).cast("bigint").alias("term_pos"), "page_id", "url",
+                                        U.normalize_url("url").alias("norm"))
+    g = p.groupBy("term_pos").agg(F.sort_array(F.collect_list(F.struct("page_id", "url", "norm"))).alias("xs"))
+    urls = F.concat(F.transform("xs", lambda x: x["url"]), F.transform("xs", lambda x: x["norm"]))
+    prov = F.element_at(F.array(*[F.lit(x) for x in SEARCH_PROVIDERS]), (F.col("term_pos") % 3 + 1).cast("int"))
+    bing = F.to_json(F.struct(F.struct(F.transform(urls, lambda u: F.struct(u.alias("url"))).alias("value")).alias("webPages")))
+    serp = F.to_json(F.struct(F.transform(urls, lambda u, i: F.when(i % 2 == 0, F.struct(u.alias("link"), F.lit(None).cast("string").alias("url")))
+                                          .otherwise(F.struct(F.lit("").alias("link"), u.alias("url")))).alias("organic_results")))
+    tav = F.to_json(F.struct(F.transform(urls, lambda u: F.struct(u.alias("url"))).alias("results")))
+    payload = F.when(prov == "bing", bing).when(prov == "serpapi", serp).otherwise(tav)
+    return g.select(prov.alias("provider"), "term_pos", F.concat(F.lit("term-"), F.col("term_pos").cast("string")).alias("term"),
+                    payload.alias("payload"))
+
+
+_LANDING_SQL = f"""
+lp AS (SELECT page_id // 20 AS term_pos, page_id, url, {Q.norm_url('url')} AS norm FROM pages),
+lg AS (SELECT term_pos, list(url ORDER BY page_id) || list(norm ORDER BY page_id) AS urls FROM lp GROUP BY term_pos),
+land AS (SELECT ['bing', 'serpapi', 'tavily'][term_pos % 3 + 1] AS provider, term_pos, 'term-' || term_pos AS term, urls FROM lg),
+res AS (SELECT provider, term_pos, term, unnest(urls) AS url, unnest(range(len(urls))) AS result_pos FROM land)"""
+
+
+def _parse_sql(provider: str | None) -> str:
+    where = f"WHERE provider = '{provider}'" if provider else ""
+    return f"WITH {_LANDING_SQL}\nSELECT provider, term_pos, result_pos, url FROM res {where}"
+
+
+def _parsed(spark, d, provider=None):
+    lnd = landing(spark, d)
+    if provider:
+        lnd = lnd.where(F.col("provider") == provider)
+    return S.parse_responses(lnd).select("provider", "term_pos", "result_pos", "url")
+
+
+for _prov in SEARCH_PROVIDERS:
+    register(f"parse_resp_{'serp' if _prov == 'serpapi' else _prov}", _parse_sql(_prov))(
+        lambda spark, d, _p=_prov: _parsed(spark, d, _p))
+register("parse_resp_all", _parse_sql(None))(lambda spark, d: _parsed(spark, d))
+
+
+@register("first_wins_search", f"""
+WITH {_LANDING_SQL},
+lim AS (SELECT * FROM res WHERE result_pos < 30),
+fw AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY term_pos, result_pos) AS rn FROM lim)
+SELECT term, term_pos, result_pos, url FROM fw WHERE rn = 1""")
+def q_first_wins_search(spark, d):
+    return S.first_wins(S.parse_responses(landing(spark, d)), 30).select("term", "term_pos", "result_pos", "url")
+
+
+# ---------------------------------------------------------------- annotation
+
+def responses(spark, d) -> DataFrame:
+    """Stored annotation responses built from documents + labels; some are
+    made invalid JSON, some get an extra key, some a bad category."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    score = F.round(F.coalesce(F.col("quality"), F.lit(0)) * (1 - F.coalesce(F.col("toxic"), F.lit(0))) * 0.5
+                    + F.least(F.col("n_chars"), F.lit(10000)) / 20000.0, 6)
+    cat = F.when(F.col("doc_id") % 23 == 0, F.lit("podcast")).otherwise(
+        F.element_at(F.array(*[F.lit(c) for c in A.CATEGORIES]), (F.col("doc_id") % 6 + 1).cast("int")))
+    js = F.to_json(F.struct(F.col("text").alias("summary"), F.array("lang", "source").alias("takeaways"),
+                            cat.alias("category"), score.alias("relevance_score"), F.array("lang").alias("tags")))
+    body = F.substring(js, F.lit(1), F.length(js) - 1)
+    resp = (F.when(F.col("doc_id") % 17 == 0, body)
+             .when(F.col("doc_id") % 19 == 0, F.concat(body, F.lit(',"extra":1}')))
+             .otherwise(js))
+    return docs.select("doc_id", "source", "lang", "n_chars", resp.alias("response"))
+
+
+_RESP_SQL = f"""
+rd AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+rj AS (SELECT doc_id, source, lang, n_chars, to_json({{'summary': text, 'takeaways': [lang, source],
+        'category': CASE WHEN doc_id % 23 = 0 THEN 'podcast' ELSE ['blog', 'research', 'news', 'tutorial', 'opinion', 'other'][doc_id % 6 + 1] END,
+        'relevance_score': round(coalesce(quality, 0) * (1 - coalesce(toxic, 0)) * 0.5 + least(n_chars, 10000) / 20000.0, 6),
+        'tags': [lang]}})::VARCHAR AS js FROM rd),
+resp AS (SELECT doc_id, source, lang, n_chars,
+        CASE WHEN doc_id % 17 = 0 THEN substr(js, 1, length(js) - 1)
+             WHEN doc_id % 19 = 0 THEN substr(js, 1, length(js) - 1) || ',"extra":1}}' ELSE js END AS response FROM rj),
+parsed AS (SELECT doc_id, source, lang, response, json_valid(response) AS is_json,
+        CASE WHEN json_valid(response) THEN from_json(response,
+          '{{"summary":"VARCHAR","takeaways":["VARCHAR"],"category":"VARCHAR","relevance_score":"DOUBLE","tags":["VARCHAR"]}}') END AS a
+        FROM resp)"""
+
+
+@register("annotation_parse", f"""
+WITH {_RESP_SQL}
+SELECT doc_id, is_json, CASE WHEN is_json THEN a.summary END AS summary,
+       array_to_string(CASE WHEN is_json THEN coalesce(a.takeaways, []) ELSE [] END, '|') AS takeaways,
+       CASE WHEN is_json THEN coalesce(a.category, 'other') ELSE 'other' END AS category,
+       CASE WHEN is_json THEN coalesce(a.relevance_score, 0.0) ELSE 0.0 END AS relevance_score,
+       array_to_string(CASE WHEN is_json THEN coalesce(a.tags, []) ELSE [] END, '|') AS tags
+FROM parsed""")
+def q_annotation_parse(spark, d):
+    r = responses(spark, d).withColumn("a", A.parse_response("response"))
+    return r.select("doc_id", F.try_parse_json("response").isNotNull().alias("is_json"), F.col("a.summary").alias("summary"),
+                    F.array_join("a.takeaways", "|").alias("takeaways"), F.col("a.category").alias("category"),
+                    F.col("a.relevance_score").alias("relevance_score"), F.array_join("a.tags", "|").alias("tags"))
+
+
+@register("annotation_validate", f"""
+WITH {_RESP_SQL}
+SELECT doc_id, coalesce(CASE WHEN is_json THEN list_sort(json_keys(response)) = ['category', 'relevance_score', 'summary', 'tags', 'takeaways']
+       AND a.category IN ('blog', 'research', 'news', 'tutorial', 'opinion', 'other') END, false) AS is_valid
+FROM parsed""")
+def q_annotation_validate(spark, d):
+    return responses(spark, d).select("doc_id", A.is_valid_response("response").alias("is_valid"))
+
+
+@register("prompt_rows", f"""
+SELECT doc_id, 'Title: ' || 'doc ' || doc_id || chr(10) || 'Source: ' || source || chr(10) || 'Author: ' || chr(10) ||
+       'Published: ' || chr(10) || 'Content:' || chr(10) ||
+       CASE WHEN length(text) > 6000 THEN {Q.strip_ws("substr(text, 1, 6000)").replace("'^'", "'^'")} || chr(10) || chr(10) || '[…content truncated for length]'
+            ELSE text END AS request
+FROM documents""")
+def q_prompt_rows(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"),
+                                               F.col("source").alias("source_url"), F.lit(None).cast("string").alias("author"),
+                                               F.lit(None).cast("string").alias("published_at"), F.col("text").alias("content"))
+    return docs.select("doc_id", A.request_text(docs).alias("request"))
+
+
+@register("annotate_stored", f"""
+WITH {_RESP_SQL}
+SELECT doc_id, CASE WHEN is_json THEN coalesce(a.category, 'other') ELSE 'other' END AS category,
+       CASE WHEN is_json THEN coalesce(a.relevance_score, 0.0) ELSE 0.0 END AS relevance_score
+FROM parsed""")
+def q_annotate_stored(spark, d):
+    recs = table(spark, d, "documents").select("doc_id", "source")
+    out = A.annotate_stored(recs, responses(spark, d), "doc_id")
+    return out.select("doc_id", "category", "relevance_score")
