@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -19,7 +19,12 @@ from ..functions import urls as U
 from ..operators import dedup as D
 from ..operators import annotate as A
 from ..operators import policy as P
+from ..operators import store as ST
+from ..operators import views as V
+from ..session import ensure_checkpoint_dir
+from ..sources import lists as L
 from ..sources import search as S
+from .curate import CurateParams, curate
 from ..operators.rank import select_top
 from . import duck as Q
 from .inputs import (DEDUP_DAYS, EXCLUDE_DOMAINS, HIST_DOCS_SQL, NEW_DOCS_SQL, PREFERRED_DOMAINS, RUN_DATE, SEARCH_PROVIDERS,
@@ -456,3 +461,337 @@ def q_annotate_stored(spark, d):
     recs = table(spark, d, "documents").select("doc_id", "source")
     out = A.annotate_stored(recs, responses(spark, d), "doc_id")
     return out.select("doc_id", "category", "relevance_score")
+
+
+# --------------------------------------------------------------------- store
+
+def _articles_from_docs(df: DataFrame, tag: str) -> DataFrame:
+    return df.select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("url"),
+        F.concat(F.lit(tag + " "), F.col("doc_id").cast("string")).alias("title"),
+        F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("published_at"),
+        F.lit(tag).alias("summary"), F.col("text").alias("content"), F.lit("other").alias("category"),
+        F.round(F.least(F.col("n_chars"), F.lit(10000)) / 10000.0, 6).alias("relevance_score"),
+        F.array("lang").alias("tags"),
+        (F.when(F.col("doc_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array("source"))
+         if tag == "new" else F.array("source")).alias("takeaways"),
+        F.lit("2024-01-01").alias("first_seen"), F.lit("2024-05-01").alias("last_included"),
+        F.lit(tag + "-source").alias("source_url"),
+        (F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("array<bigint>")).otherwise(F.array(F.col("doc_id") * 2))
+         if tag == "new" else F.array(F.col("doc_id"))).alias("minhash"))
+
+
+@register("upsert_history", f"""
+WITH h AS (SELECT 'doc-' || doc_id AS url, 'old ' || doc_id AS title, [source] AS takeaways, [doc_id] AS minhash,
+                  '2024-01-01' AS first_seen, '2024-05-01' AS last_included, 'old-source' AS source_url,
+                  round(least(n_chars, 10000) / 10000.0, 6) AS relevance_score FROM documents WHERE source IN ('src0', 'src1')),
+n AS (SELECT 'doc-' || doc_id AS url, 'new ' || doc_id AS title,
+             CASE WHEN doc_id % 2 = 0 THEN []::VARCHAR[] ELSE [source] END AS takeaways,
+             CASE WHEN doc_id % 3 = 0 THEN NULL ELSE [doc_id * 2] END AS minhash, 'new-source' AS source_url,
+             round(least(n_chars, 10000) / 10000.0, 6) AS relevance_score FROM documents WHERE source IN ('src1', 'src2'))
+SELECT coalesce(h.url, n.url) AS url,
+       CASE WHEN n.url IS NOT NULL THEN n.title ELSE h.title END AS title,
+       CASE WHEN h.url IS NULL THEN '{RUN_DATE}' ELSE h.first_seen END AS first_seen,
+       CASE WHEN n.url IS NOT NULL THEN '{RUN_DATE}' ELSE h.last_included END AS last_included,
+       CASE WHEN h.url IS NULL THEN n.source_url ELSE h.source_url END AS source_url,
+       array_to_string(CASE WHEN h.url IS NULL THEN n.takeaways WHEN n.url IS NULL THEN h.takeaways
+            WHEN len(coalesce(n.takeaways, [])) > 0 THEN n.takeaways ELSE coalesce(h.takeaways, []) END, '|') AS takeaways,
+       array_to_string(CASE WHEN h.url IS NULL THEN n.minhash WHEN n.url IS NULL THEN h.minhash
+            ELSE coalesce(n.minhash, h.minhash) END, ',') AS minhash,
+       CASE WHEN n.url IS NOT NULL THEN n.relevance_score ELSE h.relevance_score END AS relevance_score
+FROM h FULL OUTER JOIN n ON h.url = n.url""")
+def q_upsert_history(spark, d):
+    docs = table(spark, d, "documents")
+    h = _articles_from_docs(docs.where(F.col("source").isin("src0", "src1")), "old")
+    n = _articles_from_docs(docs.where(F.col("source").isin("src1", "src2")), "new")
+    out = ST.upsert_history(h, n, RUN_DATE)
+    return out.select("url", "title", "first_seen", "last_included", "source_url",
+                      F.array_join("takeaways", "|").alias("takeaways"), F.array_join("minhash", ",").alias("minhash"),
+                      "relevance_score")
+
+
+def _index_from_events(spark, d, kind: str) -> DataFrame:
+    e = table(spark, d, "events").where(F.col("event_type") == kind)
+    g = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("run_date")).agg(F.count(F.lit(1)).alias("count"))
+    ov = (F.when(F.col("count") % 2 == 0, F.concat(F.lit("ov-"), "run_date")) if kind == "view"
+          else F.when(F.col("count") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("new-"), "run_date")))
+    return g.select("run_date", F.concat(F.col("run_date"), F.lit("T00:00:00Z")).alias("generated_at"),
+                    F.array(F.lit("search:" + kind)).alias("source_urls"), F.col("count").cast("bigint").alias("count"),
+                    F.concat(F.lit("newsletter-"), "run_date", F.lit(".html")).alias("filename"), ov.alias("overview"))
+
+
+_INDEX_SQL = """
+o AS (SELECT strftime(ts, '%Y-%m-%d') AS run_date, count(*) AS count FROM events WHERE event_type = 'view' GROUP BY 1),
+n AS (SELECT strftime(ts, '%Y-%m-%d') AS run_date, count(*) AS count FROM events WHERE event_type = 'click' GROUP BY 1),
+ox AS (SELECT *, CASE WHEN count % 2 = 0 THEN 'ov-' || run_date END AS overview FROM o),
+nx AS (SELECT *, CASE WHEN count % 3 = 0 THEN '' ELSE 'new-' || run_date END AS overview FROM n),
+idx AS (SELECT coalesce(nx.run_date, ox.run_date) AS run_date,
+               CASE WHEN nx.run_date IS NOT NULL THEN nx.count ELSE ox.count END AS count,
+               CASE WHEN nx.run_date IS NOT NULL THEN coalesce(nullif(nx.overview, ''), ox.overview) ELSE ox.overview END AS overview,
+               CASE WHEN nx.run_date IS NOT NULL THEN 'search:click' ELSE 'search:view' END AS sources
+        FROM ox FULL OUTER JOIN nx ON ox.run_date = nx.run_date)"""
+
+
+def _index(spark, d) -> DataFrame:
+    return ST.upsert_index(_index_from_events(spark, d, "view"), _index_from_events(spark, d, "click"))
+
+
+@register("upsert_index", f"WITH {_INDEX_SQL} SELECT run_date, count, overview, sources FROM idx")
+def q_upsert_index(spark, d):
+    return _index(spark, d).select("run_date", "count", "overview", F.array_join("source_urls", "|").alias("sources"))
+
+
+@register("view_timeline", f"""
+WITH {_INDEX_SQL}
+SELECT run_date, strftime(run_date::DATE, '%A, %B %-d, %Y') AS label_long, strftime(run_date::DATE, '%b %-d') AS label_short,
+       row_number() OVER (ORDER BY run_date DESC) AS position, row_number() OVER (ORDER BY run_date DESC) = 1 AS is_default
+FROM idx""")
+def q_view_timeline(spark, d):
+    return V.timeline(_index(spark, d))
+
+
+@register("view_runs", f"""
+WITH {_INDEX_SQL}
+SELECT run_date, count, 'Daily Digest · ' || run_date || ' · ' || count || CASE WHEN count = 1 THEN ' article' ELSE ' articles' END AS subject,
+       'newsletter-' || run_date || '.html' AS filename,
+       regexp_replace(trim(replace(coalesce(overview, ''), chr(10), ' ')) || ' — Curated by A. Editor', '^[ —]+|[ —]+$', '', 'g') AS og_description
+FROM idx""")
+def q_view_runs(spark, d):
+    return V.runs_view(_index(spark, d), "Daily Digest", "A. Editor, Example Org")
+
+
+# --------------------------------------------------------------------- views
+# The daily table: every document annotated from its stored response; the
+# run date comes from the document's source (src0 -> 2024-06-01, ...).
+
+def daily_docs(spark, d) -> DataFrame:
+    recs = table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"),
+                                               F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/d/"),
+                                                        F.col("doc_id").cast("string")).alias("url"))
+    out = A.annotate_stored(recs, responses(spark, d), "doc_id")
+    run_date = F.date_format(F.date_add(F.to_date(F.lit(RUN_DATE)), F.substring("source", 4, 3).cast("int")), "yyyy-MM-dd")
+    rank = F.row_number().over(Window.partitionBy("run_date").orderBy(F.col("relevance_score").desc(), "doc_id"))
+    return out.withColumn("run_date", run_date).withColumn("rank", rank)
+
+
+_DAILY_SQL = f"""
+{_RESP_SQL},
+daily AS (SELECT p.doc_id, 'doc ' || p.doc_id AS title, 'https://' || p.source || '.example.org/d/' || p.doc_id AS url,
+          CASE WHEN is_json THEN a.summary END AS summary,
+          CASE WHEN is_json THEN coalesce(a.category, 'other') ELSE 'other' END AS category,
+          CASE WHEN is_json THEN coalesce(a.relevance_score, 0.0) ELSE 0.0 END AS relevance_score,
+          strftime(DATE '{RUN_DATE}' + CAST(substr(p.source, 4, 3) AS INTEGER), '%Y-%m-%d') AS run_date
+          FROM parsed p),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run_date ORDER BY relevance_score DESC, doc_id) AS rank FROM daily)"""
+
+
+@register("view_facets", f"""
+WITH {_DAILY_SQL},
+g AS (SELECT run_date, lower(coalesce(nullif(category, ''), 'other')) AS cat FROM ranked),
+c AS (SELECT run_date, coalesce(cat, 'all') AS facet, count(*) AS n FROM g GROUP BY GROUPING SETS ((run_date, cat), (run_date)))
+SELECT run_date, facet, n, list_position(['all', 'research', 'blog', 'news', 'tutorial', 'opinion', 'other'], facet) AS position
+FROM c WHERE list_position(['all', 'research', 'blog', 'news', 'tutorial', 'opinion', 'other'], facet) > 0""")
+def q_view_facets(spark, d):
+    return V.facets(daily_docs(spark, d))
+
+
+@register("view_filter", f"""
+WITH {_DAILY_SQL}
+SELECT run_date, doc_id FROM ranked WHERE lower(coalesce(nullif(category, ''), 'other')) = 'research'""")
+def q_view_filter(spark, d):
+    return V.filter_category(daily_docs(spark, d), "research").select("run_date", "doc_id")
+
+
+@register("view_cards", f"""
+WITH {_DAILY_SQL}
+SELECT run_date, url, title AS title_html, 'Unknown author' AS author_text,
+       coalesce(nullif(summary, ''), 'No summary available.') AS summary_text, 'No date' AS date_text, true AS discovered,
+       greatest(least(round(relevance_score * 100), 100.0), 2.0) AS bar_index, round(relevance_score * 100) AS bar_page
+FROM ranked""")
+def q_view_cards(spark, d):
+    daily = daily_docs(spark, d)
+    for c in ("author", "published_at", "first_seen"):
+        daily = daily.withColumn(c, F.lit(None).cast("string"))
+    c = V.cards(daily)
+    return c.select("run_date", "url", "title_html", "author_text", "summary_text", "date_text", "discovered",
+                    "bar_index", "bar_page")
+
+
+@register("digest_overview_input", f"""
+WITH {_DAILY_SQL}
+SELECT run_date, string_agg('- ' || trim(title) || chr(10) || '  ' || trim(coalesce(summary, '')), chr(10) || chr(10) ORDER BY rank) AS body
+FROM ranked WHERE rank <= 20 GROUP BY run_date""")
+def q_digest_overview_input(spark, d):
+    return V.overview_input(daily_docs(spark, d))
+
+
+@register("run_quality", f"""
+WITH {_DAILY_SQL}
+SELECT run_date, count(*) FILTER (WHERE rank <= 10 AND relevance_score > 0) AS selected,
+       count(*) FILTER (WHERE rank <= 10 AND relevance_score > 0) < 3 AS thin_run FROM ranked GROUP BY run_date""")
+def q_run_quality(spark, d):
+    sel = daily_docs(spark, d).withColumn("_s", (F.col("rank") <= 10) & (F.col("relevance_score") > 0))
+    return sel.groupBy("run_date").agg(F.count(F.when(F.col("_s"), 1)).alias("selected")) \
+        .withColumn("thin_run", F.col("selected") < 3)
+
+
+@register("digest_text")
+def q_digest_text(spark, d):
+    daily = daily_docs(spark, d).where(F.col("rank") <= 10)
+    ov = daily.select("run_date").distinct().withColumn("overview", F.concat(F.lit("Overview of "), "run_date"))
+    return V.digest_text(daily, ov, "Daily Digest")
+
+
+@register("emit_json")
+def q_emit_json(spark, d):
+    return ST.emit_json(ST.record_defaults(daily_docs(spark, d).drop("rank")))
+
+
+@register("record_defaults")
+def q_record_defaults(spark, d):
+    raw = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("content"))
+    r = ST.record_defaults(raw)
+    return r.select("url", "category", "relevance_score", F.size("tags").alias("n_tags"), F.size("takeaways").alias("n_takeaways"))
+
+
+@register("publish_report")
+def q_publish_report(spark, d):
+    daily = ST.public_view(ST.record_defaults(daily_docs(spark, d).drop("rank")))
+    return ST.publish_report(daily, _index(spark, d))
+
+
+# ------------------------------------------------- file sources and table sinks
+# Text lists and table sinks need files: Spark first writes them from the test
+# tables into the shared checkpoint folder, then the reader under test reads
+# them back.
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def _write_lines(df: DataFrame, col: str, path: str) -> str:
+    df.select(F.col(col).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
+@register("src_terms")
+def q_src_terms(spark, d):
+    conv = table(spark, d, "conversations").where(F.col("role") == "user").orderBy("conv_id", "turn")
+    lines = conv.select(F.concat(F.lit("  "), F.regexp_replace("text", r"[\r\n]+", " "), F.lit(" ")).alias("v"))
+    path = _write_lines(lines.unionByName(spark.createDataFrame([("   ",)], "v string")), "v", _scratch(spark, "terms"))
+    return L.load_terms(spark, path)
+
+
+@register("src_domains")
+def q_src_domains(spark, d):
+    hosts = table(spark, d, "pages").select(F.concat(F.lit(" "), F.upper(U.url_host("url"))).alias("v")).distinct()
+    extra = spark.createDataFrame([("# comment line",), ("",)], "v string")
+    path = _write_lines(hosts.unionByName(extra), "v", _scratch(spark, "domains"))
+    return L.load_domains(spark, path).select("domain")
+
+
+@register("src_url_list")
+def q_src_url_list(spark, d):
+    path = _write_lines(table(spark, d, "pages").select("url"), "url", _scratch(spark, "sources"))
+    return L.load_url_list(spark, path, ["https://extra.example.org/a"])
+
+
+@register("run_sources")
+def q_run_sources(spark, d):
+    urls = table(spark, d, "pages").select("url").where(F.col("url").rlike("^https://blog"))
+    terms = landing(spark, d).select(F.col("term_pos").alias("pos"), "term")
+    return L.run_sources(urls, terms).select(F.size("source_inputs").alias("n"),
+                                             F.array_join("source_inputs", "\n").alias("source_inputs"))
+
+
+@register("sink_daily")
+def q_sink_daily(spark, d):
+    path = _scratch(spark, "daily")
+    daily = daily_docs(spark, d).where(F.col("rank") <= 10)
+    for rd in [r.run_date for r in daily.select("run_date").distinct().collect()]:   # one write per run
+        ST.write_daily(daily.where(F.col("run_date") == rd).drop("run_date"), rd, path)
+    return ST.read_daily(spark, path).groupBy("run_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("rerun_same_day")
+def q_rerun_same_day(spark, d):
+    """Two runs on one date: the second replaces the daily partition; history
+    gets no duplicate row; the index keeps one row and the old overview."""
+    path = _scratch(spark, "rerun")
+    daily = daily_docs(spark, d)
+    first = daily.where(F.col("rank") <= 10).drop("run_date")
+    second = daily.where((F.col("rank") > 10) & (F.col("rank") <= 15)).drop("run_date")
+    ST.write_daily(first, RUN_DATE, path)
+    ST.write_daily(second, RUN_DATE, path)
+    back = ST.read_daily(spark, path, RUN_DATE)
+    h1 = ST.upsert_history(spark.createDataFrame([], _articles_from_docs(table(spark, d, "documents"), "old").schema),
+                           _articles_from_docs(table(spark, d, "documents").where(F.col("source") == "src0"), "new"), RUN_DATE)
+    h2 = ST.upsert_history(h1, _articles_from_docs(table(spark, d, "documents").where(F.col("source") == "src0"), "new"), RUN_DATE)
+    return back.agg(F.count(F.lit(1)).alias("daily_rows")).crossJoin(
+        h2.agg(F.count(F.lit(1)).alias("history_rows"), F.countDistinct("url").alias("history_urls")))
+
+
+@register("daily_by_date")
+def q_daily_by_date(spark, d):
+    path = _scratch(spark, "bydate")
+    ST.write_daily(daily_docs(spark, d).where(F.col("rank") <= 10).drop("run_date"), RUN_DATE, path)
+    return ST.read_daily(spark, path, RUN_DATE).select("url", "relevance_score")
+
+
+@register("publish_public")
+def q_publish_public(spark, d):
+    return ST.public_view(ST.record_defaults(daily_docs(spark, d).drop("rank")))
+
+
+# ------------------------------------------------------------- the curation run
+
+def page_snapshot(spark, d) -> DataFrame:
+    """Crawl snapshot keyed by canonical URL (one page per key)."""
+    p = table(spark, d, "pages").select("page_id", U.normalize_url("url").alias("url"), "html")
+    return p.groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
+
+
+def page_history(spark, d) -> DataFrame:
+    """Earlier published runs: the clean-URL pages as history articles."""
+    hist, _ = split_pages(spark, d)
+    r = H.extract_records(hist).drop("html")
+    return r.select(U.normalize_url("url").alias("url"), "title", "content", M.signature("content").alias("minhash"),
+                    F.date_format(F.date_sub(F.to_date(F.lit(RUN_DATE)), (F.col("page_id") % 90).cast("int")),
+                                  "yyyy-MM-dd").alias("last_included"))
+
+
+def word_scorer(df: DataFrame) -> DataFrame:
+    n_words = F.when(F.col("content") == "", F.lit(0)).otherwise(F.size(F.split("content", " ")))
+    return (df.withColumn("relevance_score", F.round(F.least(F.lit(1.0), n_words / 400.0), 6))
+            .withColumn("category", F.lit("other")).withColumn("summary", F.lit(None).cast("string"))
+            .withColumn("tags", F.array().cast("array<string>")).withColumn("takeaways", F.array().cast("array<string>")))
+
+
+def run_pipeline(spark, d):
+    cands = table(spark, d, "pages").select("url", F.lit("crawl").alias("source_url"))
+    params = CurateParams(run_date=RUN_DATE, url_key="normalized", preferred_domains=PREFERRED_DOMAINS,
+                          exclude_domains=EXCLUDE_DOMAINS)
+    return curate(cands, page_snapshot(spark, d), page_history(spark, d), word_scorer, params)
+
+
+@register("pipeline")
+def q_pipeline(spark, d):
+    selected, _, _ = run_pipeline(spark, d)
+    return selected.select("rank", "url", "title", "host", "relevance_score", F.round("eff_score", 6).alias("eff_score"),
+                           "overflow")
+
+
+@register("dedup_audit")
+def q_dedup_audit(spark, d):
+    _, audit, _ = run_pipeline(spark, d)
+    return audit
+
+
+@register("stream_incremental")
+def q_stream_incremental(spark, d):
+    """Documents arrive as files; each micro-batch (availableNow) is
+    deduplicated against everything kept before it, with kept rows appended
+    to the history table — the batch answer over the same rows."""
+    from ..streaming.incremental import run_incremental
+    return run_incremental(spark, table(spark, d, "documents"), _scratch(spark, "stream"))
