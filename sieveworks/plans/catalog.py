@@ -795,3 +795,45 @@ def q_stream_incremental(spark, d):
     to the history table — the batch answer over the same rows."""
     from ..streaming.incremental import run_incremental
     return run_incremental(spark, table(spark, d, "documents"), _scratch(spark, "stream"))
+
+
+@register("hist_window", f"""
+SELECT doc_id, last_included FROM {HIST_DOCS_SQL} h
+WHERE coalesce(last_included, '') >= strftime(DATE '{RUN_DATE}' - {DEDUP_DAYS}, '%Y-%m-%d')""")
+def q_hist_window(spark, d):
+    return D.hist_window(hist_docs(spark, d), RUN_DATE, DEDUP_DAYS).select("doc_id", "last_included")
+
+
+@register("harvest_links")
+def q_harvest_links(spark, d):
+    """Index pages (the test pages with <article> renamed) -> harvested links;
+    hint words chosen to occur in the test paths."""
+    p = table(spark, d, "pages").select("page_id", "url", F.replace(F.replace("html", F.lit("<article"), F.lit("<div")),
+                                                                     F.lit("</article"), F.lit("</div")).alias("html"))
+    links = p.select("page_id", F.explode(H.article_links(F.col("url"), F.col("html"), ["the", "de", "in"])).alias("link"))
+    return links
+
+
+_META_VARIANTS = [
+    '<meta property="og:title" content="OG {id}">',
+    '<meta name="citation_title" content="  Cite &amp; {id} ">',
+    '<meta name="author" content="Ann {id}"><meta name="author" content="Bo {id}">',
+    '<meta property="article:published_time" content="2024-05-{dd}T10:00:00Z">',
+    '<meta name="date" content=""><meta name="pubdate" content=" 2024-04-{dd} ">',
+    '<meta name="description" content="About {id}">',
+    '<meta property="og:description" content=""><meta name="description" content="x">',
+    '',
+]
+
+
+@register("x_meta")
+def q_x_meta(spark, d):
+    """Pages with one meta variant injected after <head> (chosen by page_id)."""
+    p = table(spark, d, "pages")
+    variants = F.array(*[F.lit(v) for v in _META_VARIANTS])
+    tmpl = F.element_at(variants, (F.col("page_id") % len(_META_VARIANTS) + 1).cast("int"))
+    dd = F.lpad(((F.col("page_id") % 28) + 1).cast("string"), 2, "0")
+    meta = F.replace(F.replace(tmpl, F.lit("{id}"), F.col("page_id").cast("string")), F.lit("{dd}"), dd)
+    html = F.regexp_replace("html", "<head>", F.concat(F.lit("<head>"), meta))
+    r = H.extract_records(p.select("page_id", "url", html.alias("html")))
+    return r.select("page_id", "title", "summary", "author", "published_at")
