@@ -775,7 +775,7 @@ def run_pipeline(spark, d):
     return curate(cands, page_snapshot(spark, d), page_history(spark, d), word_scorer, params)
 
 
-@register("pipeline")
+@register("curate")
 def q_pipeline(spark, d):
     selected, _, _ = run_pipeline(spark, d)
     return selected.select("rank", "url", "title", "host", "relevance_score", F.round("eff_score", 6).alias("eff_score"),
