@@ -1,13 +1,14 @@
 """MinHash near-duplicate removal with odd-sketch verification of banded candidates.
 
 1. One pass over the texts (mapInArrow) turns each into its distinct 5-word
-   shingle hashes, 128 MinHash samples, 32 bands of 4 samples, and an odd
-   sketch: the samples folded into a 512-bit parity bitmap. The XOR population
+   shingle hashes, 256 MinHash samples, 32 bands of 4 samples, and an odd
+   sketch: the samples folded into a 1024-bit parity bitmap. The XOR population
    count of two bitmaps estimates how many samples differ.
 2. Documents with equal shingle sets form a class by fingerprint; only its
    smallest doc_id goes on, so n copies cost n rows.
 3. Band buckets give candidates in two steps that never list a group's pairs:
-   first every member against the bucket's smallest doc_id; then, after
+   first every member against the bucket's leader, the member that meets most
+   others over all its bands (the original of near copies); then, after
    connected components over the confirmed links, only members of different
    components. The parity bitmaps are compared inside that join's condition,
    so a pair that cannot be similar is never a row.
@@ -31,12 +32,11 @@ from .components import connected_components
 from .kernels import WORD_LOWER, grams, mix64, row_slices, seeded, text_buffers, word_hashes
 from .scratch import materialise
 
-SAMPLES, BAND_ROWS, SKETCH_BITS = 128, 4, 512
-BANDS = SAMPLES // BAND_ROWS
+SAMPLES, BANDS, BAND_ROWS, SKETCH_BITS = 256, 32, 4, 1024
 SHINGLE = 5
-#: Two documents of similarity 0.75 differ in 32 of 128 samples on average; 62 or more have
-#: probability below 1e-8. 124 toggles leave 98.5 odd bits of 512 on average (deviation below 8).
-MAX_XOR = 140
+#: At similarity 0.75 on average 64 of 256 samples differ (deviation 6.9), so 113 of 1024 bits do
+#: (deviation 12.4 with the collisions of toggles). 5.3 deviations more: probability 1e-7.
+MAX_XOR = 179
 
 _A = (seeded(21, SAMPLES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (seeded(22, SAMPLES) >> np.uint64(32)).astype(np.uint32)
@@ -67,7 +67,7 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def minhash(s: np.ndarray) -> np.ndarray:
-    """128 minima of multilinear 32-bit hashes."""
+    """256 minima of multilinear 32-bit hashes."""
     best = np.full(SAMPLES, np.uint32(0xFFFFFFFF))
     for i in range(0, len(s), 4096):
         part = s[i:i + 4096]
@@ -77,7 +77,7 @@ def minhash(s: np.ndarray) -> np.ndarray:
 
 
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps (rows x 8 int64) of the set {(position, sample)}."""
+    """Parity bitmaps (rows x 16 int64) of the set {(position, sample)}."""
     n = len(samples)
     spot = mix64(samples.astype(np.uint64) * np.uint64(SAMPLES) + np.arange(SAMPLES, dtype=np.uint64)) % np.uint64(SKETCH_BITS)
     cell = spot.astype(np.int64) + np.arange(n)[:, None] * SKETCH_BITS
@@ -90,7 +90,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = list(shingle_sets(part))
         n = len(sets)
         samples = np.stack([minhash(s) for s in sets])
-        rows = samples.astype(np.uint64).reshape(n, BANDS, BAND_ROWS)
+        rows = samples[:, :BANDS * BAND_ROWS].astype(np.uint64).reshape(n, BANDS, BAND_ROWS)
         band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), (n, BANDS))
         for i in range(BAND_ROWS):
             band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, i])
@@ -101,7 +101,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([p[0] for p in prints], pa.int64()),
             pa.array([p[1] for p in prints], pa.int64()),
             pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, pa.array(band.view(np.int64).ravel())),
-            pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * 8, pa.array(odd_sketches(samples).ravel())),
+            pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (SKETCH_BITS // 64), pa.array(odd_sketches(samples).ravel())),
         ], names=["doc_id", "n_shingles", "fp_a", "fp_b", "bands", "sketch"])
 
 
@@ -168,8 +168,12 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
     reps = materialise(full.join(first, "doc_id", "left_semi").select("doc_id", "n_shingles", "bands", "sketch"))
 
     bands = reps.select(F.explode("bands").alias("band"), "doc_id")
-    lead = bands.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    bucket = materialise(bands.join(lead, "band").where("doc_id <> leader").select("band", "doc_id", "leader", "size"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    bucket = materialise(bands.join(shared, "band").select("band", "doc_id", "size"))
+    degree = bucket.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    lead = (bucket.join(degree, "doc_id").groupBy("band").agg(F.max(F.struct("degree", "doc_id")).alias("top"))
+            .select("band", F.col("top.doc_id").alias("leader")))
+    bucket = materialise(bucket.join(lead, "band").where("doc_id <> leader"))
     body = reps.select("doc_id", "n_shingles", "sketch")
     side = lambda d, x: d.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     may = _can_link(threshold_pct, "na", "nb", "sa", "sb")
