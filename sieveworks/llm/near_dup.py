@@ -6,13 +6,14 @@
    count of two bitmaps estimates how many samples differ.
 2. Documents with equal shingle sets form a class by fingerprint; only its
    smallest doc_id goes on, so n copies cost n rows.
-3. Band buckets give candidates in two steps that never list a group's pairs:
-   first every member against the bucket's leader, the member that meets most
-   others over all its bands (the original of near copies); then, after
-   connected components over the confirmed links, only members of different
-   components. The parity bitmaps are compared inside that join's condition,
-   so a pair that cannot be similar is never a row.
-4. Survivors are confirmed on their full shingle sets
+3. Band buckets give candidates in two steps that never list a group's pairs.
+   First every member against the bucket's leader, the member that meets most
+   others over all its bands (the original of near copies). Then, after
+   connected components over the confirmed links, the members of buckets that
+   still hold several components: pairs of different components meet inside
+   a join that compares parity bitmaps of their whole sets, a bound that loses
+   none and lets few dissimilar pairs become rows.
+4. Pairs that the bitmaps allow are confirmed on their full shingle sets
    (100 * intersection >= threshold_pct * union).
 
 A link is missed only if no band agrees (0.5e-5 at similarity 0.75, less
@@ -32,7 +33,7 @@ from .components import connected_components
 from .kernels import WORD_LOWER, grams, mix64, row_slices, seeded, text_buffers, word_hashes
 from .scratch import materialise
 
-SAMPLES, BANDS, BAND_ROWS, SKETCH_BITS = 256, 32, 4, 1024
+SAMPLES, BANDS, BAND_ROWS, SKETCH_BITS, PARITY_BITS = 256, 32, 4, 1024, 2048
 SHINGLE = 5
 #: At similarity 0.75 on average 64 of 256 samples differ (deviation 6.9), so 113 of 1024 bits do
 #: (deviation 12.4 with the collisions of toggles). 5.3 deviations more: probability 1e-7.
@@ -42,7 +43,7 @@ _A = (seeded(21, SAMPLES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (seeded(22, SAMPLES) >> np.uint64(32)).astype(np.uint32)
 
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>, sketch array<long>"
-SET_SCHEMA = "doc_id long, shingles array<long>"
+SET_SCHEMA = "doc_id long, shingles array<long>, parity array<long>"
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -76,13 +77,17 @@ def minhash(s: np.ndarray) -> np.ndarray:
     return best
 
 
+def parity(cell: np.ndarray, rows: int, bits: int) -> np.ndarray:
+    """Bitmaps (rows x bits / 64, int64) of the cells toggled an odd number of times."""
+    odd = (np.bincount(cell, minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps (rows x 16 int64) of the set {(position, sample)}."""
+    """Parity bitmaps of the sets {(position, sample)}, a row each."""
     n = len(samples)
     spot = mix64(samples.astype(np.uint64) * np.uint64(SAMPLES) + np.arange(SAMPLES, dtype=np.uint64)) % np.uint64(SKETCH_BITS)
-    cell = spot.astype(np.int64) + np.arange(n)[:, None] * SKETCH_BITS
-    odd = (np.bincount(cell.ravel(), minlength=n * SKETCH_BITS) & 1).astype(np.uint8).reshape(n, SKETCH_BITS)
-    return np.packbits(odd, axis=1).view(np.int64)
+    return parity((spot.astype(np.int64) + np.arange(n)[:, None] * SKETCH_BITS).ravel(), n, SKETCH_BITS)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +114,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in row_slices(batches):
         sets = list(shingle_sets(part))
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        flat = np.concatenate(sets)
+        cell = (flat % np.uint64(PARITY_BITS)).astype(np.int64) + np.repeat(np.arange(len(sets)), np.diff(ends)) * PARITY_BITS
+        words = PARITY_BITS // 64
         yield pa.RecordBatch.from_arrays([
             part.column(part.schema.get_field_index("doc_id")),
-            pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))),
-        ], names=["doc_id", "shingles"])
+            pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64))),
+            pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * words, pa.array(parity(cell, len(sets), PARITY_BITS).ravel())),
+        ], names=["doc_id", "shingles", "parity"])
 
 
 def _with_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +136,13 @@ def _can_link(threshold_pct: int, na: str, nb: str, sa: str, sb: str) -> Column:
     return F.expr(f"100 * least({na}, {nb}) >= {threshold_pct} * greatest({na}, {nb}) and {xor} <= {MAX_XOR}")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, threshold_pct: int) -> DataFrame:
+def _set_table(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the documents named in ``ids``."""
+    return materialise(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, SET_SCHEMA))
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
     """The pairs (a, b, na, nb) that are links on their full shingle sets."""
-    pairs = materialise(pairs)
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialise(texts.join(need, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, SET_SCHEMA))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -140,6 +151,22 @@ def _confirm(pairs: DataFrame, texts: DataFrame, threshold_pct: int) -> DataFram
             .select("a", "b"))
 
 
+def _cross_pairs(bucket: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of different components in one bucket that the parity of their whole sets allows.
+
+    Two sets differ in at least as many shingles as their parity bitmaps do in
+    bits, so no similar pair is lost here, and a dissimilar one is refused
+    inside the join.
+    """
+    rows = materialise(bucket.join(sets.select("doc_id", F.size("shingles").alias("n"), "parity"), "doc_id"))
+    x = rows.select("band", F.col("component").alias("ca"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    y = rows.select("band", F.col("component").alias("cb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    xor = " + ".join(f"bit_count(pa[{i}] ^ pb[{i}])" for i in range(PARITY_BITS // 64))
+    close = F.expr(f"ca < cb and 100 * least(na, nb) >= {threshold_pct} * greatest(na, nb) and "
+                   f"{100 + threshold_pct} * ({xor}) <= {100 - threshold_pct} * (na + nb)")
+    return x.join(y, (x.band == y.band) & close).select("a", "b", "na", "nb").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -175,24 +202,24 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
             .select("band", F.col("top.doc_id").alias("leader")))
     bucket = materialise(bucket.join(lead, "band").where("doc_id <> leader"))
     body = reps.select("doc_id", "n_shingles", "sketch")
-    side = lambda d, x: d.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     may = _can_link(threshold_pct, "na", "nb", "sa", "sb")
 
-    star = bucket.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = star.join(side(body, "b"), "b").join(side(body, "a"), "a").where(may).select("a", "b", "na", "nb")
-    links = materialise(_confirm(star, texts, threshold_pct))
+    def promising(pairs: DataFrame) -> DataFrame:
+        side = lambda x: body.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        return materialise(pairs.join(side("b"), "b").join(side("a"), "a").where(may).select("a", "b", "na", "nb"))
+
+    star = promising(bucket.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
+    sets = _set_table(texts, star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct())
+    links = materialise(_confirm(star, sets, threshold_pct))
     label = connected_components(links)
 
     rest = bucket.where("size > 2").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left") \
         .select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rest = rest.join(mixed.select("band"), "band", "left_semi").join(body, "doc_id")
-    rest = materialise(rest)
-    x = rest.select("band", F.col("component").alias("ca"), F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    y = rest.select("band", F.col("component").alias("cb"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    cross = x.join(y, (x.band == y.band) & (F.col("ca") < F.col("cb")) & may).select("a", "b", "na", "nb").distinct()
-    more = _confirm(cross, texts, threshold_pct)
-    label = connected_components(links.union(more))
+    rest = materialise(rest.join(mixed.select("band"), "band", "left_semi"))
+    sets = _set_table(texts, rest.select("doc_id").distinct())
+    cross = materialise(_cross_pairs(rest, sets, threshold_pct))
+    label = connected_components(links.union(_confirm(cross, sets, threshold_pct)))
 
     found = member.join(label.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("doc_id", F.coalesce("component", "rep").alias("component_id"))
