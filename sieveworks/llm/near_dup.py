@@ -228,3 +228,13 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
             .withColumn("component_id", F.coalesce("component_id", "doc_id"))
             .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
             .select("doc_id", "n_shingles", "component_id", "kept"))
+
+
+def keep_one(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
+    """``docs``, all columns, without the documents that a smaller doc_id of their component stands for.
+
+    Rows that repeat a kept doc_id leave one row; rows without a doc_id stay.
+    """
+    kept = near_duplicates(docs, threshold_pct).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

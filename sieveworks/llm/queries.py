@@ -2,18 +2,50 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
+from .packing import pack
+from .pii import pseudonymise
+from .toxicity import toxicity
+
+#: The pseudonyms' key; a deployment sets its own.
+PII_KEY = os.environ.get("SIEVEWORKS_PII_KEY", "sieveworks")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_before", "lines_removed")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_near_dup,)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_pseudonyms")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op7_packing, op8_near_dup, op9_pii, op10_toxicity)}
+#: Line runs of any length, learned models, tokenizers and keyed hashes: beyond SQL, or too slow there on whole tables.
 ORACLE: dict[str, str] = {}
