@@ -5,12 +5,18 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import pieces
+from .ann import neighbours
+from .lang_id import identify
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
 from .packing import pack
 from .pii import pseudonymise
+from .quality import quality
 from .toxicity import toxicity
+from .url_filter import filter_urls
 
 #: The pseudonyms' key; a deployment sets its own.
 PII_KEY = os.environ.get("SIEVEWORKS_PII_KEY", "sieveworks")
@@ -24,6 +30,31 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_before", "lines_removed")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    marked = F.translate("text", pieces.MARK, " ")  # a literal space marker is a space to the model
+    return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.col("decoded").eqNullSafe(marked).alias("round_trip"))
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +77,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op7_packing, op8_near_dup, op9_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_pieces, op4_ann, op5_lang_id, op6_quality, op7_packing, op8_near_dup, op9_pii, op10_toxicity)}
 #: Line runs of any length, learned models, tokenizers and keyed hashes: beyond SQL, or too slow there on whole tables.
 ORACLE: dict[str, str] = {}
