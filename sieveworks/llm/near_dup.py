@@ -42,6 +42,9 @@ MAX_XOR = 179
 _A = (seeded(21, SAMPLES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (seeded(22, SAMPLES) >> np.uint64(32)).astype(np.uint32)
 
+#: 16 MB of ids; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>, sketch array<long>"
 SET_SCHEMA = "doc_id long, shingles array<long>, parity array<long>"
 
@@ -136,9 +139,15 @@ def _can_link(threshold_pct: int, na: str, nb: str, sa: str, sb: str) -> Column:
     return F.expr(f"100 * least({na}, {nb}) >= {threshold_pct} * greatest({na}, {nb}) and {xor} <= {MAX_XOR}")
 
 
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of ``docs`` with distinct ids; up to BROADCAST_IDS of them (counted) are broadcast, so texts stay where they are."""
+    ids = materialise(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
 def _set_table(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the documents named in ``ids``."""
-    return materialise(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, SET_SCHEMA))
+    """(doc_id, shingles, parity) of the documents named in ``ids``."""
+    return materialise(_by_id(texts, ids, "left_semi").select("doc_id", "text").mapInArrow(_sets, SET_SCHEMA))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
@@ -235,6 +244,8 @@ def keep_one(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
 
     Rows that repeat a kept doc_id leave one row; rows without a doc_id stay.
     """
-    kept = near_duplicates(docs, threshold_pct).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    found = materialise(near_duplicates(docs, threshold_pct).where("doc_id is not null").select("doc_id", "kept"))
+    rest = _by_id(docs, found.where("not kept").select("doc_id").distinct(), "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rest.select(docs.columns)
+    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null")).select(docs.columns)
