@@ -8,11 +8,14 @@ page and every selector list is resolved with ``filter``/``element_at``.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import collapse_ws, strip_ws
-from .urls import ARTICLE_PATH_HINTS, normalize_url, resolve_url, slug_title, url_parts
+from .urls import ARTICLE_PATH_HINTS, let, normalize_url, resolve_url, slug_title, url_parts
 
 # --- fixed values that must equal the reference -----------------------------
 # Meta selectors for the title, in priority order: (attribute, value).
@@ -46,14 +49,6 @@ DATE_META = [
 JSONLD_DATE_KEYS = ["datePublished", "dateCreated", "uploadDate"]
 # Container classes tried (with <main>) when a page has no <article>.
 CONTENT_CLASSES = ["article-content", "post-content", "blog-post", "entry-content"]
-# Named entities decoded (numeric references are decoded by rule).
-NAMED_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
-    ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"),
-]
 # -----------------------------------------------------------------------------
 
 _TAG_RE = r"</?[A-Za-z][^>]*>|<![^>]*>|<\?[^>]*>"
@@ -65,24 +60,30 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _numeric_entity(m: Column) -> Column:
-    """'&#NNN;' / '&#xHH;' -> the character (BMP via UTF-16 bytes)."""
-    body = F.regexp_extract(m, r"^&#([xX]?)([0-9A-Fa-f]+);$", 2)
-    is_hex = F.regexp_extract(m, r"^&#([xX]?)", 1) != ""
-    code = F.when(is_hex, F.conv(body, 16, 10)).otherwise(body).cast("long")
-    ok = code.isNotNull() & (code > 0) & (code < 65536) & ((code < 55296) | (code > 57343))
-    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")).otherwise(F.lit("\ufffd"))
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# Named characters from the standard library's table; numbers 128-159 mean Windows-1252.
+_NAMES = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+_WINDOWS = json.dumps({str(c): bytes([c]).decode("cp1252") for c in range(128, 160) if c not in (129, 141, 143, 144, 157)})
+
+
+def _character(m: Column) -> Column:
+    """The text of one character reference; an unknown name stays as written."""
+    table = lambda text: F.from_json(F.lit(text), "map<string,string>")
+    number = F.regexp_extract(m, r"^&#[xX]?([0-9A-Fa-f]+);$", 1)
+    code = F.when(m.rlike("^&#[xX]"), F.conv(number, 16, 10)).when(m.startswith("&#"), number).cast("long")
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    plain = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+    numeric = F.when(code.between(128, 159), F.coalesce(F.try_element_at(table(_WINDOWS), code.cast("string")), plain)).otherwise(plain)
+    named = F.coalesce(F.try_element_at(table(_NAMES), F.regexp_extract(m, "^&([A-Za-z0-9]+);$", 1)), m)
+    return F.when(m.startswith("&#"), numeric).otherwise(named)
 
 
 def decode_entities(c) -> Column:
-    """Entity decoding, all native: numeric references and a fixed set of
-    common names first, ``&amp;`` last (so '&amp;lt;' stays '&lt;')."""
+    """Character references decoded in one pass from left to right, so what one yields is not decoded again."""
     x = _col(c)
-    nums = F.array_distinct(F.regexp_extract_all(x, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), 0))
-    x = F.when(x.contains("&#"), F.aggregate(nums, x, lambda acc, m: F.replace(acc, m, _numeric_entity(m)))).otherwise(x)
-    for ent, ch in NAMED_ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return F.replace(x, F.lit("&amp;"), F.lit("&"))
+    between, found = F.split(x, _REFERENCE, -1), F.regexp_extract_all(x, F.lit(_REFERENCE), F.lit(0))
+    joined = F.array_join(F.zip_with(between, F.transform(found, _character), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(x.contains("&"), joined).otherwise(x)
 
 
 def strip_markup(c) -> Column:
@@ -156,17 +157,52 @@ def extract_summary(metas: Column) -> Column:
              .when(desc.isNotNull(), strip_ws(F.coalesce(desc["content"], F.lit("")))))
 
 
-def _element_by_attr(html: Column, attr: str, value: str) -> Column:
-    """Inner HTML of the first element whose ``attr`` holds ``value`` (class/rel
-    as a token, others exactly). Non-nested: ends at the first matching close."""
-    if attr in ("class", "rel"):
-        v = r"(?:\"(?:[^\"]*\s)?" + value + r"(?:\s[^\"]*)?\"|'(?:[^']*\s)?" + value + r"(?:\s[^']*)?'|" + value + r"(?=[\s>/]))"
-        if attr == "rel":
-            v = r"(?:\"" + value + r"\"|'" + value + r"'|" + value + r"(?=[\s>/]))"
-    else:
-        v = r"(?:\"" + value + r"\"|'" + value + r"'|" + value + r"(?=[\s>/]))"
-    rx = r"(?is)<([a-z][a-z0-9]*)\b[^>]*?[\s\"']" + attr + r"\s*=\s*" + v + r"[^>]*>(.*?)</\1\s*>"
-    return F.when(html.rlike(rx), F.regexp_extract(html, rx, 2))
+_ANY_TAG = r"(?is)</?[a-z][a-z0-9]*\b[^>]*>"
+
+
+def tag_stream(html) -> Column:
+    """array<struct<tag, name, close, after>>: every tag of a page and the text up to the next one.
+
+    Comments, scripts and styles are dropped first, so nothing in them counts.
+    """
+    clean = F.regexp_replace(F.coalesce(_col(html), F.lit("")), _DROP_RE, " ")
+    tags = F.regexp_extract_all(clean, F.lit(_ANY_TAG), F.lit(0))
+    after = F.slice(F.split(clean, _ANY_TAG, -1), F.lit(2), F.size(tags) + 1)
+    return F.zip_with(tags, after, lambda t, x: F.struct(
+        t.alias("tag"), F.lower(F.regexp_extract(t, "^</?([A-Za-z][A-Za-z0-9]*)", 1)).alias("name"),
+        t.startswith("</").alias("close"), F.coalesce(x, F.lit("")).alias("after")))
+
+
+def inner_from(stream: Column, i: Column) -> Column:
+    """Inner HTML text of the element that the i-th tag (from 1) opens, up to its own close tag or the page's end; tags become spaces."""
+    name = F.element_at(stream, i)["name"]
+    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("text"))
+
+    def step(s, t):
+        depth = s["depth"] + F.when(t["name"] != name, 0).when(t["close"], -1).otherwise(1)
+        return F.when(s["done"], s).otherwise(F.struct(
+            depth.alias("depth"), (depth <= 0).alias("done"),
+            F.when(depth <= 0, s["text"]).otherwise(F.concat(s["text"], F.lit(" "), t["after"])).alias("text")))
+
+    return F.aggregate(F.slice(stream, i, F.size(stream)), state, step, lambda s: s["text"])
+
+
+def _openers(stream: Column, test) -> Column:
+    """Positions (from 1) of the start tags that pass ``test``, in document order."""
+    at = F.transform(stream, lambda t, i: F.when(~t["close"] & test(t), i + 1))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
+def _has_token(tag: Column, attr: str, value: str) -> Column:
+    """The attribute's value has ``value`` among its white-space separated tokens (itemprop: is it)."""
+    got = _attr(tag, attr, False)
+    return F.coalesce(got == value if attr == "itemprop" else F.array_contains(F.split(got, r"\s+"), value), F.lit(False))
+
+
+def _first_text(stream: Column, test) -> Column:
+    """Text of the first element whose start tag passes ``test``; null if there is none."""
+    at = _openers(stream, test)
+    return F.when(F.size(at) > 0, element_text(inner_from(stream, F.element_at(at, 1))))
 
 
 def extract_author(html, metas: Column) -> Column:
@@ -179,8 +215,10 @@ def extract_author(html, metas: Column) -> Column:
 
     joined = [joined_for(k, v) for k, v in AUTHOR_META]
     meta_hit = F.coalesce(*[_nonempty(j) for j in joined])
-    css = F.coalesce(*[(lambda t: F.when((t != "") & (F.length(t) <= AUTHOR_MAX_CHARS), t))(
-        element_text(_element_by_attr(h, a, v))) for a, v in AUTHOR_CSS])
+    stream = tag_stream(h)
+    css = let(stream, lambda st: F.coalesce(*[
+        let(_first_text(st, lambda t, a=a, v=v: _has_token(t["tag"], a, v)),
+            lambda x: F.when((x != "") & (F.length(x) <= AUTHOR_MAX_CHARS), x)) for a, v in AUTHOR_CSS]))
     low = F.lower(h)
     maybe = low.contains("author") | low.contains("byline")
     return (F.when(meta_hit.isNotNull(), F.when(F.length(meta_hit) <= AUTHOR_MAX_CHARS, meta_hit))
@@ -209,7 +247,7 @@ def extract_published(html, metas: Column) -> Column:
     meta = F.coalesce(*[(lambda m: F.when(F.coalesce(m["content"], F.lit("")) != "", strip_ws(m["content"])))(
         _first_meta(metas, k, v)) for k, v in DATE_META])
     time_dt_tag = F.regexp_extract(h, r"(?is)(<time\b[^>]*?[\s\"']datetime\s*=[^>]*>)", 1)
-    time_dt = _nonempty(strip_ws(F.coalesce(_attr(time_dt_tag, "datetime"), F.lit(""))))
+    time_dt = strip_ws(_nonempty(_attr(time_dt_tag, "datetime")))  # a blank one counts, as empty text
     time_txt = _nonempty(element_text(F.regexp_extract(h, r"(?is)<time\b[^>]*>(.*?)</time\s*>", 1)))
     has_time = h.rlike(r"(?is)<time\b")
     has_ld = F.lower(h).contains("ld+json")
@@ -217,21 +255,24 @@ def extract_published(html, metas: Column) -> Column:
 
 
 def extract_content(html) -> Column:
-    """Main text: first <article>; else <main> + content classes joined by a
-    blank line; else every <p> (text joined without separator)."""
+    """Main text: the whole first <article>; else every <main> and element of a content class, in
+    document order, joined by a blank line; else every <p> (text joined without separator)."""
     h = F.coalesce(_col(html), F.lit(""))
-    has_article = h.rlike(r"(?is)<article\b")
-    article = F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*?)(?:</article\s*>|$)", 1)
-    containers = [F.when(h.rlike(r"(?is)<main\b"), F.regexp_extract(h, r"(?is)<main\b[^>]*>(.*?)(?:</main\s*>|$)", 1))]
-    containers += [_element_by_attr(h, "class", c) for c in CONTENT_CLASSES]
-    cont = F.filter(F.array(*containers), lambda x: x.isNotNull())
-    cont_text = F.array_join(F.transform(cont, element_text), "\n\n")
     paras = F.regexp_extract_all(h, F.lit(r"(?is)<p\b[^>]*>(.*?)(?=</p\s*>|<p\b|$)"), 1)
     p_text = F.array_join(F.transform(paras, element_text_nosep), "\n\n")
-    raw = (F.when(has_article, element_text(article))
-            .when(F.size(cont) > 0, cont_text)
-            .otherwise(p_text))
-    return collapse_ws(raw)
+
+    def container(t):
+        classes = F.split(F.coalesce(_attr(t["tag"], "class", False), F.lit("")), r"\s+")
+        return (t["name"] == "main") | F.arrays_overlap(classes, F.array(*[F.lit(c) for c in CONTENT_CLASSES]))
+
+    def text(stream):
+        article = _openers(stream, lambda t: t["name"] == "article")
+        boxes = _openers(stream, container)
+        return (F.when(F.size(article) > 0, element_text(inner_from(stream, F.element_at(article, 1))))
+                 .when(F.size(boxes) > 0, F.array_join(F.transform(boxes, lambda i: element_text(inner_from(stream, i))), "\n\n"))
+                 .otherwise(p_text))
+
+    return collapse_ws(let(tag_stream(h), text))
 
 
 def is_article_page(html) -> Column:

@@ -38,12 +38,12 @@ def minhash_text(c) -> Column:
 
 
 def shingles(c, k: int = 9) -> Column:
-    """Character k-grams (code points). len <= k -> [text]; '' -> []."""
-    t = _col(c)
-    n = F.length(t)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))),
-                        lambda i: F.substring(t, i, k))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(grams)
+    """Character k-grams (code points). len <= k -> [text]; '' -> []. Linear: slices of the character array."""
+    chars = F.regexp_extract_all(_col(c), F.lit("(?s)."), F.lit(0))
+    cut = lambda xs: F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs) - (k - 1), F.lit(1))),
+                                 lambda i: F.array_join(F.slice(xs, i, k), ""))
+    grams = F.transform(F.array(chars), cut)[0]
+    return F.when(F.length(_col(c)) == 0, F.array().cast("array<string>")).otherwise(grams)
 
 
 def rtrim_ws(c) -> Column:

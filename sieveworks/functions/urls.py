@@ -37,6 +37,12 @@ USES_PARAMS = ["", "ftp", "hdl", "prospero", "http", "imap", "https", "shttp", "
 USES_NETLOC = ["", "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms",
                "https", "shttp", "snews", "prospero", "rtsp", "rtsps", "rtspu", "rsync",
                "svn", "svn+ssh", "sftp", "nfs", "git", "git+ssh", "ws", "wss", "itms-services"]
+# Preprint pages (HTML, PDF) and the parts a slug leaves out.
+PREPRINT_HTML = r"^(https?://arxiv\.org)/html/(.+?)(?:v\d+)?/?$"
+PREPRINT_PDF = r"^(https?://arxiv\.org)/pdf/(.+?)(?:\.pdf)?(?:v\d+)?/?$"
+SLUG_EXTENSION = r"(?i)\.(html?|php|aspx?|jsp|md|pdf|txt)$"
+SLUG_VERSION = r"v\d+$"
+SLUG_NUMERIC = r"^[\d.\-_v]+$"
 # -----------------------------------------------------------------------------
 
 _SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -54,17 +60,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+_BAD_ESCAPE = "%(?![0-9A-Fa-f]{2})"
+
+
 def pct_decode(c) -> Column:
-    """Form decoding: '+' -> space, %XX -> UTF-8. Bad escapes keep the raw text."""
-    c = _col(c)
-    return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+    """Form decoding: '+' -> space, %XX -> UTF-8; a '%' that starts no escape stays."""
+    return F.try_url_decode(F.regexp_replace(_col(c), _BAD_ESCAPE, "%25"))
 
 
 def pct_decode_path(c) -> Column:
-    """Path decoding (keeps '+'): protect '+' before the form decoder."""
-    c = _col(c)
-    protected = F.replace(c, F.lit("+"), F.lit("%2B"))
-    return F.coalesce(F.try_url_decode(protected), c)
+    """Path decoding: the same, but '+' stays."""
+    return pct_decode(F.replace(_col(c), F.lit("+"), F.lit("%2B")))
 
 
 def form_encode(c) -> Column:
@@ -172,10 +178,8 @@ def canon_fetch_url(url) -> Column:
     """Preprint page rewrite before lookup: /html/ID[vN][/] and
     /pdf/ID[.pdf][vN][/] on arxiv.org -> /abs/ID."""
     u = _col(url)
-    html_re = r"^(https?://arxiv\.org)/html/(.+?)(?:v\d+)?/?$"
-    pdf_re = r"^(https?://arxiv\.org)/pdf/(.+?)(?:\.pdf)?(?:v\d+)?/?$"
-    return (F.when(u.rlike(html_re), F.regexp_replace(u, html_re, "$1/abs/$2"))
-             .when(u.rlike(pdf_re), F.regexp_replace(u, pdf_re, "$1/abs/$2"))
+    return (F.when(u.rlike(PREPRINT_HTML), F.regexp_replace(u, PREPRINT_HTML, "$1/abs/$2"))
+             .when(u.rlike(PREPRINT_PDF), F.regexp_replace(u, PREPRINT_PDF, "$1/abs/$2"))
              .otherwise(u))
 
 
@@ -184,27 +188,36 @@ def slug_title(url) -> Column:
     p = url_parts(url)
     path = F.regexp_replace(p["path"], "/+$", "")
     seg = pct_decode_path(F.element_at(F.split(path, "/"), -1))
-    seg = F.regexp_replace(seg, r"(?i)\.(html?|php|aspx?|jsp|md|pdf|txt)$", "")
-    seg = F.regexp_replace(seg, r"v\d+$", "")
+    seg = F.regexp_replace(seg, SLUG_EXTENSION, "")
+    seg = F.regexp_replace(seg, SLUG_VERSION, "")
     cleaned = F.regexp_replace(strip_ws(F.regexp_replace(seg, "[-_+]+", " ")), WS + "+", " ")
     words = F.split(cleaned, " ")
     titled = F.transform(words, lambda w: F.when(
         F.lower(w).isin(*KNOWN_ACRONYMS), F.upper(w)).otherwise(
         F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))))
     out = F.array_join(titled, " ")
-    bad = (path == "") | (path == "/") | seg.rlike(r"^[\d.\-_v]+$") | (F.length(cleaned) < 3)
+    bad = (path == "") | (path == "/") | seg.rlike(SLUG_NUMERIC) | (F.length(cleaned) < 3)
     return F.when((F.coalesce(_col(url), F.lit("")) != "") & ~bad, out)
 
 
+_TIME = (r"([T ]([01]\d|2[0-3])(:?[0-5]\d(:?[0-5]\d([.,]\d{1,6})?)?)?"
+         r"(Z|[+-]([01]\d|2[0-3])(:?[0-5]\d(:?[0-5]\d)?)?)?)?$")
+ISO_DAY = r"^(\d{4})-?(\d{2})-?(\d{2})" + _TIME
+ISO_WEEK = r"^(\d{4})(?:-W(\d{2})(?:-([1-7]))?|W(\d{2})([1-7])?)" + _TIME
+
+
 def date_key(c) -> Column:
-    """ISO date or datetime text -> 'yyyy-MM-dd' as written (offset not applied); else null."""
+    """ISO date, week date or datetime text -> 'yyyy-MM-dd' as written (offset not applied); else null."""
     s = _col(c)
-    iso = (r"^(\d{4})-?(\d{2})-?(\d{2})"
-           r"([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d{1,6})?)?)?(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$")
-    ymd = F.concat_ws("-", F.regexp_extract(s, iso, 1), F.regexp_extract(s, iso, 2),
-                      F.regexp_extract(s, iso, 3))
-    d = F.try_to_date(ymd, "yyyy-MM-dd")
-    return F.when(s.rlike(iso) & d.isNotNull(), F.date_format(d, "yyyy-MM-dd"))
+    part = lambda pattern, i: F.regexp_extract(s, pattern, i)
+    day = F.try_to_date(F.concat_ws("-", part(ISO_DAY, 1), part(ISO_DAY, 2), part(ISO_DAY, 3)), "yyyy-MM-dd")
+    year = F.when(s.rlike(ISO_WEEK), part(ISO_WEEK, 1))
+    week = F.when(s.rlike(ISO_WEEK), F.concat(part(ISO_WEEK, 2), part(ISO_WEEK, 4))).cast("int")
+    offset = F.when(s.rlike(ISO_WEEK), F.concat(F.lit("0"), part(ISO_WEEK, 3), part(ISO_WEEK, 5))).cast("int")
+    monday = F.date_add(F.trunc(F.try_to_date(F.concat(year, F.lit("-01-04")), "yyyy-MM-dd"), "week"), (week - 1) * 7)
+    exists = (week >= 1) & (F.weekofyear(monday) == week)
+    of_week = F.when(exists, F.date_add(monday, F.greatest(offset, F.lit(1)) - 1))
+    return F.date_format(F.when(s.rlike(ISO_DAY), day).otherwise(of_week), "yyyy-MM-dd")
 
 
 def query_augment(query, domains) -> Column:

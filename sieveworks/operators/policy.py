@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import host_suffixes, url_host
 
-# Lists up to this many rows are broadcast after their size is checked;
-# longer lists take a shuffle join (AQE splits hot suffixes such as 'com').
-BROADCAST_DOMAINS_MAX = 200_000
-
-
 def clean_domains(domains) -> list[str]:
     out = []
     for d in domains or []:
@@ -43,13 +38,12 @@ def flag_in_domains(df: DataFrame, url: str, domains, flag: str = "in_list") ->
         return df.withColumn(flag, in_domains_col(url, domains))
     dom = (domains.select(F.regexp_replace(F.lower(F.trim("domain")), r"^www\.", "").alias("suffix"))
            .where(F.col("suffix") != "").distinct())
-    if dom.limit(BROADCAST_DOMAINS_MAX + 1).count() <= BROADCAST_DOMAINS_MAX:
-        dom = F.broadcast(dom)
-    keyed = df.withColumn("_rid", F.monotonically_increasing_id())
-    hits = (keyed.select("_rid", F.explode(host_suffixes(url_host(F.col(url)))).alias("suffix"))
-            .join(dom, "suffix", "left_semi").select("_rid").distinct().withColumn(flag, F.lit(True)))
-    return (keyed.join(hits, "_rid", "left")
-            .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop("_rid"))
+    keyed = df.withColumn("_host", F.coalesce(url_host(F.col(url)), F.lit("")))
+    # Each distinct host once, so a suffix such as 'com' meets hosts and not rows.
+    hosts = keyed.select("_host").distinct()
+    hits = (hosts.select("_host", F.explode(host_suffixes(F.col("_host"))).alias("suffix"))
+            .join(dom, "suffix", "left_semi").select("_host").distinct().withColumn("_hit", F.lit(True)))
+    return keyed.join(hits, "_host", "left").withColumn(flag, F.coalesce("_hit", F.lit(False))).drop("_host", "_hit")
 
 
 def exclude_domains(df: DataFrame, url: str, domains) -> DataFrame:

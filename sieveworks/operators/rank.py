@@ -6,11 +6,10 @@ Rank order: effective score desc, published_at (or '') desc, first_seen (or
 rank order. Equivalent set form: first n rows ordered by
 (host_rank > cap, rank order).
 
-Plan: the per-host rank is a ``row_number() <= cap`` window, which Spark
-turns into a WindowGroupLimit below the shuffle, so a host holding a third
-of all rows still sends at most ``cap`` rows per map task. Overflow rows are
-the rest (anti join on url) and only their global top n is kept
-(TakeOrderedAndProject). Nothing but <= 2n rows ever meets in one task.
+Plan: one window, ``row_number() <= cap + n`` per host, which Spark turns into
+a WindowGroupLimit below the shuffle (a host holding a third of all rows sends
+at most cap + n rows per map task; beyond them no row of a host can be
+chosen), then one TakeOrderedAndProject over (beyond the cap, rank order).
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_host
-from ..session import cut_lineage
 
 
 def rank_order(score: str = "eff_score"):
@@ -28,7 +26,7 @@ def rank_order(score: str = "eff_score"):
 
 
 def select_top(df: DataFrame, n: int = 10, max_per_domain: int | None = 2, score: str = "eff_score",
-               raw_score: str = "relevance_score", materialize: bool = True) -> DataFrame:
+               raw_score: str = "relevance_score") -> DataFrame:
     """Top ``n`` rows with ``rank`` 1..n and ``overflow`` flag. Rows with
     raw score <= 0 never qualify; n <= 0 selects nothing."""
     if n <= 0:
@@ -37,17 +35,12 @@ def select_top(df: DataFrame, n: int = 10, max_per_domain: int | None = 2, score
     if "host" not in base.columns:
         base = base.withColumn("host", url_host(F.col("url")))
     order = rank_order(score)
-    if materialize and max_per_domain and max_per_domain > 0:
-        base = cut_lineage(base)   # read by both the capped and the overflow branch
-    if not max_per_domain or max_per_domain <= 0:
-        top = base.orderBy(*order).limit(n).withColumn("overflow", F.lit(False))
+    if max_per_domain and max_per_domain > 0:
+        in_host = F.row_number().over(Window.partitionBy("host").orderBy(*order))
+        base = (base.withColumn("_hr", in_host).where(F.col("_hr") <= max_per_domain + n)
+                .withColumn("overflow", F.col("_hr") > max_per_domain).drop("_hr"))
     else:
-        w = Window.partitionBy("host").orderBy(*order)
-        under = (base.withColumn("_hr", F.row_number().over(w)).where(F.col("_hr") <= max_per_domain)
-                 .drop("_hr"))
-        under_top = under.orderBy(*order).limit(n).withColumn("overflow", F.lit(False))
-        over_top = (base.join(under.select("url"), "url", "left_anti")
-                    .orderBy(*order).limit(n).withColumn("overflow", F.lit(True)))
-        top = under_top.unionByName(over_top).orderBy(F.col("overflow").asc(), *order).limit(n)
+        base = base.withColumn("overflow", F.lit(False))
+    top = base.orderBy("overflow", *order).limit(n)
     rank_w = Window.orderBy(F.col("overflow").asc(), *order)   # <= n rows: one small task by design
     return top.withColumn("rank", F.row_number().over(rank_w))

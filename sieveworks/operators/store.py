@@ -7,9 +7,13 @@ partitioned by run_date and overwritten one partition at a time.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lists import path_exists
+
 ARTICLE_COLUMNS = ["url", "title", "author", "published_at", "summary", "content", "category", "relevance_score",
                    "tags", "takeaways", "first_seen", "last_included", "source_url", "minhash"]
 PUBLIC_DROP = ["content", "minhash"]
@@ -91,6 +95,56 @@ def write_daily(selected: DataFrame, run_date: str, path: str) -> None:
      .partitionBy("run_date").parquet(path))
 
 
+def write_daily_runs(selected: DataFrame, path: str) -> None:
+    """Replace the partitions of all run dates that ``selected`` (with run_date) holds, in one job."""
+    rows = selected.withColumn("run_date", F.col("run_date").cast("date")).withColumn("is_marker", F.lit(False))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
+
+
+HISTORY_SCHEMA = ("url string, title string, author string, published_at string, summary string, content string, category string, "
+                  "relevance_score double, tags array<string>, takeaways array<string>, first_seen string, last_included string, "
+                  "source_url string, minhash array<bigint>")
+INDEX_SCHEMA = "run_date string, generated_at string, source_urls array<string>, count bigint, filename string, overview string"
+
+
+def write_version(df: DataFrame, path: str) -> str:
+    """Write a table as a new version folder and point ``path``/current at it; readers of the old version are not disturbed."""
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    return f"{path}/{version}"
+
+
+def read_version(spark, path: str, schema: str) -> DataFrame:
+    """The current version of a table; an empty one if nothing was written yet."""
+    if not path_exists(spark, f"{path}/current/_SUCCESS"):
+        return spark.createDataFrame([], schema)
+    version = spark.read.schema("version string").json(f"{path}/current").first()["version"]
+    return spark.read.schema(schema).parquet(f"{path}/{version}")
+
+
+def import_history(spark, path: str) -> DataFrame:
+    """History from a JSON document {"articles": {url: article}}; a missing or malformed file gives an empty one."""
+    article = ", ".join(c.replace(" ", ": ", 1) for c in HISTORY_SCHEMA.split(", "))
+    whole = _json_document(spark, path, f"articles map<string, struct<{article}>>")
+    rows = whole.select(F.explode("articles").alias("key", "a")).select("key", "a.*")
+    return record_defaults(rows.withColumn("url", F.coalesce("url", "key")).drop("key"))
+
+
+def import_index(spark, path: str) -> DataFrame:
+    """Run index from a JSON document {"runs": [{date, ...}]}; a missing or malformed file gives an empty one."""
+    fields = ", ".join(c.replace(" ", ": ", 1) for c in INDEX_SCHEMA.replace("run_date", "date").split(", "))
+    whole = _json_document(spark, path, f"runs array<struct<{fields}>>")
+    return whole.select(F.explode("runs").alias("r")).select("r.*").withColumnRenamed("date", "run_date")
+
+
+def _json_document(spark, path: str, schema: str) -> DataFrame:
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
+
+
 def read_daily(spark, path: str, run_date: str | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     if run_date is not None:
@@ -108,6 +162,14 @@ def public_view(df: DataFrame) -> DataFrame:
     return df.drop(*PUBLIC_DROP)
 
 
+def publish_export(daily: DataFrame, index: DataFrame, path: str) -> DataFrame:
+    """Write the public daily rows (a folder per run_date) and the index as JSON lines, then report on them."""
+    out = public_view(daily)
+    out.write.mode("overwrite").partitionBy("run_date").json(f"{path}/daily")
+    index.write.mode("overwrite").json(f"{path}/index")
+    return publish_report(out, index)
+
+
 def publish_report(daily: DataFrame, index: DataFrame) -> DataFrame:
     """Counts per exported artefact and total size in KB of their JSON."""
     d = daily.select(F.to_json(F.struct(*daily.columns)).alias("j"))

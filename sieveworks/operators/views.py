@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_ws
 from ..functions.urls import absolute_url, form_encode
 from .annotate import OVERVIEW_MAX_ITEMS
 
@@ -71,7 +72,7 @@ def cards(daily: DataFrame, base_url: str = "") -> DataFrame:
 
 
 def og_description(overview, author_name: str) -> F.Column:
-    base = F.replace(F.trim(F.coalesce(F.col(overview) if isinstance(overview, str) else overview, F.lit(""))),
+    base = F.replace(strip_ws(F.coalesce(F.col(overview) if isinstance(overview, str) else overview, F.lit(""))),
                      F.lit("\n"), F.lit(" "))
     base = F.when(F.length(base) > OG_MAX_CHARS,
                   F.concat(F.regexp_replace(F.substring(base, 1, OG_MAX_CHARS - 1), r"\s+$", ""), F.lit("…"))).otherwise(base)
@@ -104,8 +105,8 @@ def timeline(index: DataFrame) -> DataFrame:
 def overview_input(selected: DataFrame) -> DataFrame:
     """Per run_date: first 20 selected rows as '- title\\n  summary' bullets
     joined by a blank line (the overview request body)."""
-    line = F.concat(F.lit("- "), F.trim(F.coalesce(_nz(F.col("title")), F.lit(UNTITLED))), F.lit("\n  "),
-                    F.trim(F.coalesce(F.col("summary"), F.lit(""))))
+    line = F.concat(F.lit("- "), strip_ws(F.coalesce(_nz(F.col("title")), F.lit(UNTITLED))), F.lit("\n  "),
+                    strip_ws(F.coalesce(F.col("summary"), F.lit(""))))
     top = selected.where(F.col("rank") <= OVERVIEW_MAX_ITEMS)
     g = top.groupBy("run_date").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("l")))).alias("xs"))
     return g.select("run_date", F.array_join(F.transform("xs", lambda x: x["l"]), "\n\n").alias("body"))
@@ -113,9 +114,9 @@ def overview_input(selected: DataFrame) -> DataFrame:
 
 def digest_text(selected: DataFrame, overview: DataFrame, brand: str) -> DataFrame:
     """Plain-text digest per run_date (header, count, overview, articles)."""
-    item = F.concat(F.lit("• "), F.trim(F.coalesce(_nz(F.col("title")), F.lit(UNTITLED))), F.lit("\n  "), F.col("url"),
-                    F.when(F.trim(F.coalesce(F.col("summary"), F.lit(""))) != "",
-                           F.concat(F.lit("\n  "), F.trim(F.col("summary")))).otherwise(F.lit("")), F.lit("\n"))
+    item = F.concat(F.lit("• "), strip_ws(F.coalesce(_nz(F.col("title")), F.lit(UNTITLED))), F.lit("\n  "), F.col("url"),
+                    F.when(strip_ws(F.coalesce(F.col("summary"), F.lit(""))) != "",
+                           F.concat(F.lit("\n  "), strip_ws(F.col("summary")))).otherwise(F.lit("")), F.lit("\n"))
     g = selected.groupBy("run_date").agg(F.sort_array(F.collect_list(F.struct("rank", item.alias("t")))).alias("xs"),
                                          F.count(F.lit(1)).alias("n"))
     g = g.join(overview.select("run_date", "overview"), "run_date", "left")

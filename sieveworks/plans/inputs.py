@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.urls import url_host
-
 RUN_DATE = "2024-06-01"
 DEDUP_DAYS = 60
 # Documents from these sources were published by earlier runs (history role).
@@ -25,7 +23,12 @@ SEARCH_PROVIDERS = ["bing", "serpapi", "tavily"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; text tables in fewer splits than cores are spread out."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def hist_docs(spark, sf_dir) -> DataFrame:
@@ -49,7 +52,3 @@ def split_pages(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     p = table(spark, sf_dir, "pages")
     hist = ~F.col("url").rlike("[?#]")
     return p.where(hist), p.where(~hist)
-
-
-def with_host(df: DataFrame, url: str = "url") -> DataFrame:
-    return df.withColumn("host", url_host(F.col(url)))

@@ -15,6 +15,12 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
             .select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line")))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def load_terms(spark: SparkSession, path: str) -> DataFrame:
     """(pos, term): stripped, blanks dropped, order and duplicates kept, no
     comment syntax. A missing file raises."""
@@ -40,19 +46,16 @@ def load_url_list(spark: SparkSession, path: str | None, extra: list[str] | None
 def load_domains(spark: SparkSession, path: str) -> DataFrame:
     """(pos, domain): stripped, blanks and '#' lines dropped, lower-cased.
     A missing file yields an empty list."""
-    try:
-        lines = _lines(spark, path)
-        lines.limit(1).collect()
-    except Exception:  # noqa: BLE001 - missing file -> empty list (reference default)
+    if not path_exists(spark, path):
         return spark.createDataFrame([], T.StructType([T.StructField("pos", T.LongType()),
                                                        T.StructField("domain", T.StringType())]))
-    s = lines.select("pos", strip_ws(F.col("line")).alias("d"))
+    s = _lines(spark, path).select("pos", strip_ws(F.col("line")).alias("d"))
     return s.where((F.col("d") != "") & ~F.col("d").startswith("#")).select("pos", F.lower("d").alias("domain"))
 
 
 def run_sources(source_urls: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row: sorted source URLs followed by 'search:' + term in file order."""
-    srcs = source_urls.agg(F.array_sort(F.collect_set("url")).alias("s"))
-    ts = terms.agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("t"))
-    return srcs.crossJoin(ts).select(F.concat(
-        F.col("s"), F.transform("t", lambda x: F.concat(F.lit("search:"), x["term"]))).alias("source_inputs"))
+    """The run's inputs, a row each: (kind, pos, source_input) with the distinct
+    source URLs (kind 0, in URL order) before 'search:' + term (kind 1, by pos)."""
+    urls = source_urls.select(F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("pos"), F.col("url").alias("source_input")).distinct()
+    found = terms.select(F.lit(1).alias("kind"), F.col("pos").cast("bigint").alias("pos"), F.concat(F.lit("search:"), "term").alias("source_input"))
+    return urls.unionByName(found)

@@ -1,8 +1,8 @@
 """Search-provider response payloads -> ordered result URLs.
 
 Landing table: (provider, term_pos, term, payload JSON). Each provider has
-its own payload shape; one ``CASE provider`` picks the parser. Unknown
-providers are quarantined (``bad_provider``) instead of failing the job.
+its own payload shape; one ``CASE provider`` picks the parser. An unknown
+provider fails the job.
 """
 
 from __future__ import annotations
@@ -39,22 +39,19 @@ def result_urls(provider, payload) -> F.Column:
 
 
 def parse_responses(landing: DataFrame) -> DataFrame:
-    """(provider, term_pos, term, result_pos, url) for every result; rows with
-    an unsupported provider are dropped here (see ``bad_provider``)."""
-    ok = landing.where(resolve_provider("provider").isNotNull())
-    return ok.select(resolve_provider("provider").alias("provider"), "term_pos", "term",
-                     F.posexplode(result_urls(F.col("provider"), F.col("payload"))).alias("result_pos", "url"))
-
-
-def bad_provider(landing: DataFrame) -> DataFrame:
-    return landing.where(resolve_provider("provider").isNull())
+    """(provider, term_pos, term, result_pos, url) for every result; an unsupported provider raises."""
+    known = F.coalesce(resolve_provider("provider"), F.raise_error(F.concat(
+        F.lit("unsupported search provider: "), F.coalesce("provider", F.lit("null")))))
+    rows = landing.withColumn("provider", known)
+    return rows.select("provider", "term_pos", "term",
+                       F.posexplode(result_urls(F.col("provider"), F.col("payload"))).alias("result_pos", "url"))
 
 
 def first_wins(results: DataFrame, max_results: int = 20) -> DataFrame:
-    """Per term keep the first ``max_results`` results; a URL belongs to the
+    """Per provider and term keep the first ``max_results`` results; a URL belongs to the
     first (term_pos, result_pos) that returned it. Both windows are
     ``row_number() <= k`` filters (partial group limit before the shuffle)."""
     per_term = (results.withColumn("_r", F.row_number().over(
-        Window.partitionBy("term_pos").orderBy("result_pos"))).where(F.col("_r") <= max_results).drop("_r"))
-    w = Window.partitionBy("url").orderBy("term_pos", "result_pos")
+        Window.partitionBy("provider", "term_pos").orderBy("result_pos"))).where(F.col("_r") <= max_results).drop("_r"))
+    w = Window.partitionBy("url").orderBy("term_pos", "provider", "result_pos")
     return per_term.withColumn("_f", F.row_number().over(w)).where(F.col("_f") == 1).drop("_f")

@@ -1,11 +1,15 @@
 """Incremental curation over a file stream.
 
 New landing files -> ``readStream`` (file source) -> ``foreachBatch``: each
-micro-batch is deduplicated against the history table (cross-run state is a
-table, not operator state: the window is on ``last_included`` and only kept
-rows enter it) and within itself, then its kept rows are appended to
-history. Writes are idempotent per batch id (dynamic partition overwrite of
+micro-batch is deduplicated against the history table's window on
+``last_included`` (cross-run state is a table, not operator state: only kept
+rows enter it) and within itself, then its kept rows are appended to history.
+Writes are idempotent per batch id (dynamic partition overwrite of
 ``batch_id=N``), so a replayed batch after a failure rewrites, not doubles.
+
+A landing file's rows carry their run date; a batch takes all files that have
+arrived unless ``max_files`` limits it. Within a batch the order is by id, so
+a run over one batch is the ordered scan over all rows.
 """
 
 from __future__ import annotations
@@ -15,29 +19,37 @@ from pyspark.sql import functions as F
 
 from ..functions import minhash as M
 from ..operators import dedup as D
+from ..session import cut_lineage
+from ..sources.lists import path_exists
+
+
+STATE_SCHEMA = "id bigint, sig array<bigint>, last_included string, batch_id bigint"
 
 
-def _process(history_path: str, spark: SparkSession):
+def _process(history_path: str, run_date: str, days: int, spark: SparkSession):
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        nodes = batch.select(F.col("doc_id").alias("id"), M.signature("text").alias("sig"),
-                             F.lit("").alias("title_key"))
-        try:
-            hist = spark.read.parquet(history_path).where(F.col("batch_id") != batch_id)
-            nodes = D.anti_neardup(nodes, hist.select("sig"), "id", "sig")
-        except Exception:  # noqa: BLE001 - no history yet on the first batch
-            pass
-        kept = D.greedy_dedup(nodes)
-        out = nodes.join(kept.select("id"), "id", "left_semi").withColumn("batch_id", F.lit(batch_id))
+        nodes = cut_lineage(batch.select(F.col("doc_id").alias("id"), M.signature("text").alias("sig"), F.lit("").alias("title_key")))
+        fresh = nodes
+        if path_exists(spark, history_path):
+            hist = spark.read.schema(STATE_SCHEMA).parquet(history_path).where(F.col("batch_id") != batch_id)
+            fresh = D.anti_neardup(nodes, D.hist_window(hist, run_date, days).where("sig is not null").select("sig"), "id", "sig")
+        kept = D.greedy_dedup(fresh)
+        out = (nodes.join(kept.select("id"), "id", "left_semi")
+               .select("id", "sig", F.lit(run_date).alias("last_included"), F.lit(batch_id).cast("bigint").alias("batch_id")))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(history_path))
     return run_batch
 
 
-def run_incremental(spark: SparkSession, docs: DataFrame, base: str, files: int = 4) -> DataFrame:
+def run_incremental(spark: SparkSession, docs: DataFrame, base: str, run_date: str, days: int = 60,
+                    max_files: int | None = None) -> DataFrame:
+    """(doc_id, batch_id) of the rows kept from ``docs`` landed under ``base``. ``max_files``: files per micro-batch."""
     landing, history, ckpt = f"{base}/landing", f"{base}/history", f"{base}/_checkpoint"
-    docs.select("doc_id", "text").repartitionByRange(files, "doc_id").write.mode("overwrite").parquet(landing)
-    stream = spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", 1).parquet(landing)
-    q = (stream.writeStream.foreachBatch(_process(history, spark))
+    docs.select("doc_id", "text").write.mode("overwrite").parquet(landing)
+    source = spark.readStream.schema("doc_id bigint, text string")
+    if max_files:
+        source = source.option("maxFilesPerTrigger", max_files)
+    q = (source.parquet(landing).writeStream.foreachBatch(_process(history, run_date, days, spark))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(history).select(F.col("id").alias("doc_id"), "batch_id")
+    return spark.read.schema(STATE_SCHEMA).parquet(history).select(F.col("id").alias("doc_id"), "batch_id")
