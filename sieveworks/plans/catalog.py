@@ -901,8 +901,16 @@ _META_VARIANTS = [
 ]
 
 
-@register("x_meta")
-def q_x_meta(spark, d):
+_ID, _DD = "CAST(page_id AS VARCHAR)", "lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0')"
+_META_SQL = {
+    "title": f"CASE page_id % 8 WHEN 0 THEN 'OG ' || {_ID} WHEN 1 THEN 'Cite & ' || {_ID} ELSE coalesce({Q.title_tag('html')}, url) END",
+    "summary": f"CASE page_id % 8 WHEN 5 THEN 'About ' || {_ID} WHEN 6 THEN '' END",
+    "author": f"CASE page_id % 8 WHEN 2 THEN 'Ann ' || {_ID} || ', Bo ' || {_ID} END",
+    "published_at": f"CASE page_id % 8 WHEN 3 THEN '2024-05-' || {_DD} || 'T10:00:00Z' WHEN 4 THEN '2024-04-' || {_DD} END",
+}
+
+
+def _meta_records(spark, d) -> DataFrame:
     """Pages with one meta variant injected after <head> (chosen by page_id)."""
     p = table(spark, d, "pages")
     variants = F.array(*[F.lit(v) for v in _META_VARIANTS])
@@ -910,5 +918,44 @@ def q_x_meta(spark, d):
     dd = F.lpad(((F.col("page_id") % 28) + 1).cast("string"), 2, "0")
     meta = F.replace(F.replace(tmpl, F.lit("{id}"), F.col("page_id").cast("string")), F.lit("{dd}"), dd)
     html = F.regexp_replace("html", "<head>", F.concat(F.lit("<head>"), meta))
-    r = H.extract_records(p.select("page_id", "url", html.alias("html")))
-    return r.select("page_id", "title", "summary", "author", "published_at")
+    return H.extract_records(p.select("page_id", "url", html.alias("html")))
+
+
+@register("x_meta", "SELECT page_id, " + ", ".join(f"{v} AS {k}" for k, v in _META_SQL.items()) + " FROM pages")
+def q_x_meta(spark, d):
+    return _meta_records(spark, d).select("page_id", *_META_SQL)
+
+
+@register("x_summary", f"SELECT page_id, {_META_SQL['summary']} AS summary FROM pages")
+def q_x_summary(spark, d):
+    return _meta_records(spark, d).select("page_id", "summary")
+
+
+@register("x_author", f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'By Ann ' || {_ID} || ' Lee' WHEN 1 THEN 'Bo' END AS author FROM pages")
+def q_x_author(spark, d):
+    """Author elements injected after <body>: one that holds nested elements, one by rel."""
+    box = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<div class="x byline">By <div>Ann '), F.col("page_id").cast("string"), F.lit("</div> Lee</div>"))) \
+        .when(F.col("page_id") % 3 == 1, F.lit('<a rel="author">Bo</a>')).otherwise(F.lit(""))
+    p = table(spark, d, "pages").withColumn("html", F.concat(F.lit("<html>"), box, F.col("html")))
+    return H.extract_records(p).select("page_id", "author")
+
+
+@register("x_published", f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN '2023-01-' || {_DD} WHEN 1 THEN 'May ' || {_DD} ELSE '2022-02-' || {_DD} END AS published_at FROM pages")
+def q_x_published(spark, d):
+    """Dates injected as <time datetime>, <time> text and JSON-LD."""
+    dd = F.lpad(((F.col("page_id") % 28) + 1).cast("string"), 2, "0")
+    k = F.col("page_id") % 3
+    box = F.when(k == 0, F.concat(F.lit('<time datetime=" 2023-01-'), dd, F.lit('">x</time>'))) \
+        .when(k == 1, F.concat(F.lit("<time>May "), dd, F.lit("</time>"))) \
+        .otherwise(F.concat(F.lit('<script type="application/ld+json">[{"a":1},{"dateCreated":"2022-02-'), dd, F.lit('"}]</script>')))
+    p = table(spark, d, "pages").withColumn("html", F.concat(box, F.col("html")))
+    return H.extract_records(p).select("page_id", "published_at")
+
+
+@register("x_content_nested", f"""
+SELECT page_id, {Q.article_content('html')} || ' in 😀 &lt; tail é' AS content FROM pages""")
+def q_x_content_nested(spark, d):
+    """Each article gets a nested one and text after it, with references beyond the common ones."""
+    more = "<article>in &#128512; &amp;lt;</article>tail &eacute;</article>"
+    p = table(spark, d, "pages").withColumn("html", F.replace("html", F.lit("</article>"), F.lit(more)))
+    return H.extract_records(p).select("page_id", "content")
