@@ -112,6 +112,12 @@ def overview_input(selected: DataFrame) -> DataFrame:
     return g.select("run_date", F.array_join(F.transform("xs", lambda x: x["l"]), "\n\n").alias("body"))
 
 
+def overview_with(selected: DataFrame, summarise) -> DataFrame:
+    """(run_date, overview) per run from a user function on the request text:
+    it takes the body Column and returns a Column (a model's answer, say)."""
+    return overview_input(selected).select("run_date", summarise(F.col("body")).alias("overview"))
+
+
 def digest_text(selected: DataFrame, overview: DataFrame, brand: str) -> DataFrame:
     """Plain-text digest per run_date (header, count, overview, articles)."""
     item = F.concat(F.lit("• "), strip_ws(F.coalesce(_nz(F.col("title")), F.lit(UNTITLED))), F.lit("\n  "), F.col("url"),

@@ -627,6 +627,23 @@ def q_digest_overview_input(spark, d):
     return V.overview_input(daily_docs(spark, d))
 
 
+@register("overview_with", f"""
+WITH {_DAILY_SQL}
+SELECT run_date, count(*) || ' items' AS overview FROM ranked WHERE rank <= 20 GROUP BY run_date""")
+def q_overview_with(spark, d):
+    """The user function here counts the bullets of the request text."""
+    items = lambda body: F.concat((F.size(F.split(body, r"\n\n- ", -1))).cast("string"), F.lit(" items"))
+    return V.overview_with(daily_docs(spark, d).withColumn("summary", F.lit("s")), items)
+
+
+@register("annotate_with", "SELECT doc_id, upper(lang) AS category, round(n_chars / 1000.0, 3) AS relevance_score FROM documents")
+def q_annotate_with(spark, d):
+    """A user function over the record columns in place of stored responses."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    scored = A.annotate_with(docs, lambda df: F.struct(F.upper("lang").alias("category"), F.round(F.col("n_chars") / 1000.0, 3).alias("relevance_score")))
+    return scored.select("doc_id", "category", "relevance_score")
+
+
 @register("run_quality", f"""
 WITH {_DAILY_SQL}
 SELECT run_date, count(*) FILTER (WHERE rank <= 10 AND relevance_score > 0) AS selected,
