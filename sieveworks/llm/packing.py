@@ -86,22 +86,39 @@ def curve_cells(ids: list[np.ndarray], size: int) -> np.ndarray:
 
 
 def tokens(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """(doc_id, curve, body, n, ids) of each row's whole text, the end id included; a null text is empty."""
+    """(row, doc_id, curve, body, n, ids) of each row's whole text, the end id included; a null text is empty.
+
+    ``row`` numbers the rows by task; it holds once the result is written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(vocabulary, pattern)
+        from pyspark import TaskContext
+
+        enc, row = _encoding(vocabulary, pattern), TaskContext.get().partitionId() << 40
         for part in row_slices(batches):
             texts = part.column("text").to_pylist()
             ids = [np.array(enc.encode_ordinary(t), np.uint16) if t else np.zeros(0, np.uint16) for t in texts]
             blobs = [np.append(x, np.uint16(END_ID)).astype("<u2").tobytes() for x in ids]
+            row += part.num_rows
             yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"), pa.array(hilbert_key(curve_cells(ids, enc.n_vocab))),
+                pa.array(np.arange(row - part.num_rows, row)), part.column("doc_id"), pa.array(hilbert_key(curve_cells(ids, enc.n_vocab))),
                 pa.array([zlib.crc32(b) for b in blobs], pa.int64()), pa.array([len(b) // 2 for b in blobs], pa.int64()),
                 pa.array(blobs, pa.binary()),
-            ], names=["doc_id", "curve", "body", "n", "ids"])
+            ], names=["row", "doc_id", "curve", "body", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, curve long, body long, n long, ids binary")
+    return rows.mapInArrow(run, "row long, doc_id long, curve long, body long, n long, ids binary")
+
+
+def _token_slices(batches: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows holding about ``limit`` tokens (column n)."""
+    for b in batches:
+        ends = np.concatenate([[0], np.cumsum(b.column("n").to_numpy())])
+        a = 0
+        while a < b.num_rows:
+            c = max(a + 1, int(np.searchsorted(ends, ends[a] + limit, side="right")) - 1)
+            yield b.slice(a, c - a)
+            a = c
 
 
 def pack(docs: DataFrame, vocabulary: str, pattern: str, length: int = 2048) -> DataFrame:
@@ -123,33 +140,36 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, length: int = 2048) ->
             n = b.column("n").to_numpy()
             first = at + np.cumsum(n) - n
             at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part), pa.int32()), pa.array(first, pa.int64()),
-                                              b.column("n"), b.column("ids")], names=["doc_id", "part", "first", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.full(len(n), part), pa.int32()), pa.array(first, pa.int64()), b.column("n")],
+                                             names=["row", "part", "first", "n"])
 
-    line = (coded.repartitionByRange(parts, "curve", "doc_id", "body").sortWithinPartitions("curve", "doc_id", "body")
-            .mapInArrow(place, "doc_id long, part int, first long, n long, ids binary"))
-    line = materialise(line)
+    # The order is found on narrow rows; the ids move once, to meet their places.
+    order = ["curve", "doc_id", "body", "row"]
+    line = materialise(coded.select(*order, "n").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                       .mapInArrow(place, "row long, part int, first long, n long"))
     # One row per partition: how many tokens lie before it.
     before = line.groupBy("part").agg(F.sum("n").alias("n"))
     before = before.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    placed = line.join(F.broadcast(before), "part").select("doc_id", (F.col("first") + F.col("before")).alias("at"), "n", "ids")
+    places = line.join(F.broadcast(before), "part").select("row", (F.col("first") + F.col("before")).alias("at"))
+    placed = coded.select("row", "doc_id", "n", "ids").join(places, "row").select("doc_id", "at", "n", "ids")
 
     schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
+        for b in _token_slices(batches):
+            rows, pieces = [], []
             for doc, at, n, blob in zip(*(b.column(c).to_pylist() for c in ("doc_id", "at", "n", "ids")), strict=True):
                 ids = np.frombuffer(blob, "<u2").astype("<u4")
                 start = 0
                 while start < n:
                     size = min(n - start, length - (at + start) % length)
                     piece = ids[start:start + size]
-                    rows.append((doc, start, size, zlib.crc32(piece.tobytes()), n, (at + start) // length, (at + start) % length, piece.astype(np.int32)))
+                    rows.append((doc, start, size, zlib.crc32(piece.tobytes()), n, (at + start) // length, (at + start) % length))
                     start += size
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)],
-                                             names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+                pieces.append(ids)
+            columns = [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)]
+            ends = np.concatenate([[0], np.cumsum([r[2] for r in rows])]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(pieces).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     return placed.mapInArrow(cut, schema)
