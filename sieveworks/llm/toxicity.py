@@ -7,7 +7,8 @@ one stem share a feature); a document is toxic if at least one sentence is
 tells where a document offends.
 
 The weights are fitted on the driver from at most ``max_train`` labelled
-documents, the ones whose ids hash lowest. Every text is scored whole, in one
+documents, the ones whose ids hash lowest; it reads their features a partition
+at a time and keeps those that get a weight. Every text is scored whole, in one
 narrow pass. No sentence is compared with another and nothing is shuffled.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ALNUM_LOWER, mix64, row_slices, text_buffers, word_hashes
+from .scratch import materialise
 
 DIMS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -82,37 +84,39 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["doc_id", "toxic", "bag"])
 
 
-def fit_noisy_or(bags: list[np.ndarray], toxic: np.ndarray, min_docs: int = 4, lift: float = 4.0,
-                 steps: int = 300, rate: float = 1.0, l1: float = 1e-5) -> SentenceModel:
+def fit_noisy_or(read, min_docs: int = 4, lift: float = 4.0, steps: int = 300, rate: float = 1.0, l1: float = 1e-5) -> SentenceModel:
     """Full-batch AdaGrad with soft thresholds on the noisy-or likelihood.
 
-    Only features in ``min_docs`` or more documents, and at least ``lift``
-    times as often in toxic ones as documents are toxic, get a weight: under
-    noisy-or the evidence is what speaks for a toxic sentence.
+    ``read()`` iterates over (id, toxic, bag); it is read twice, a bag at a
+    time. Only features in ``min_docs`` or more documents, and at least
+    ``lift`` times as often in toxic ones as documents are toxic, get a weight:
+    under noisy-or the evidence is what speaks for a toxic sentence.
     """
-    if not len(bags) or toxic.min() == toxic.max():  # nothing to tell apart: everything scores about 0
-        return SentenceModel(np.zeros(DIMS + 1, np.float32), -20.0)
-    lengths = [b[1:1 + b[0]].astype(np.int64) for b in bags]
-    words = [b[1 + b[0]:] for b in bags]
-    seen, positive = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
-    for w, t in zip(words, toxic, strict=True):
-        u = np.unique(w)
+    seen, positive, total, bad = np.zeros(DIMS + 1, np.int32), np.zeros(DIMS + 1, np.int32), 0, 0
+    for _, t, bag in read():
+        u = np.unique(bag[1 + bag[0]:])
         seen[u] += 1
         positive[u] += t
+        total, bad = total + 1, bad + t
+    if bad in (0, total):  # nothing to tell apart: everything scores about 0
+        return SentenceModel(np.zeros(DIMS + 1, np.float32), -20.0)
     seen[-1] = 0
-    kept = np.flatnonzero((seen >= min_docs) & (positive >= lift * toxic.mean() * seen))
+    kept = np.flatnonzero((seen >= min_docs) & (positive >= lift * bad / total * seen))
     index = np.full(DIMS + 1, -1)
     index[kept] = np.arange(len(kept))
-    doc = np.repeat(np.arange(len(bags)), [len(x) for x in lengths])
-    sent, idx, first = [], [], 0
-    for w, x in zip(words, lengths, strict=True):
-        i = index[w]
+    found = []
+    for key, t, bag in read():
+        length = bag[1:1 + bag[0]].astype(np.int64)
+        i = index[bag[1 + bag[0]:]]
         hit = np.flatnonzero(i >= 0)
-        idx.append(i[hit])
-        sent.append(first + np.repeat(np.arange(len(x)), x)[hit % max(1, x.sum())])
-        first += len(x)
-    sent, idx = np.concatenate(sent), np.concatenate(idx)
-    n, v, s = len(bags), len(kept), len(doc)
+        found.append((key, t, len(length), np.repeat(np.arange(len(length)), length)[hit % max(1, length.sum())], i[hit]))
+    found.sort(key=lambda f: (f[0], f[2], len(f[4])))
+    toxic, sizes = np.array([f[1] for f in found]), np.array([f[2] for f in found])
+    starts = np.cumsum(sizes) - sizes
+    doc = np.repeat(np.arange(total), sizes)
+    sent = np.concatenate([f[3] + a for f, a in zip(found, starts, strict=True)])
+    idx = np.concatenate([f[4] for f in found])
+    n, v, s = total, len(kept), len(doc)
     w, b = np.zeros(v), -5.0
     gw, gb = np.full(v, 1e-8), 1e-8
     y = toxic[doc] > 0
@@ -139,8 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> SentenceMo
     chosen = (labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
               .agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = sorted(texts.mapInArrow(_bags, "doc_id long, toxic int, bag binary").collect(), key=lambda r: (r.doc_id, r.bag))
-    return fit_noisy_or([np.frombuffer(r.bag, np.int32) for r in rows], np.array([r.toxic for r in rows], np.int64))
+    bags = materialise(texts.mapInArrow(_bags, "doc_id long, toxic int, bag binary"))
+    return fit_noisy_or(lambda: ((r.doc_id, r.toxic, np.frombuffer(r.bag, np.int32)) for r in bags.toLocalIterator()))
 
 
 def score(docs: DataFrame, model: SentenceModel, offends_at: float = 0.5) -> DataFrame:
