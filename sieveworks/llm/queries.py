@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +59,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    # The ranks file has the words alone; the tokenizer's own file names its added tokens.
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        specials = tuple((t["content"], t["id"]) for t in json.load(f)["added_tokens"])
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, specials=specials)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

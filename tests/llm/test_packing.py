@@ -6,6 +6,7 @@ import public_tokenizers as tokenizers_dir
 from tokenizers import Tokenizer
 
 from sieveworks.llm.packing import hilbert_key, pack
+from sieveworks.llm.queries import packed
 
 VOCABULARY, PATTERN = tokenizers_dir.path("byte_bpe_50k.tiktoken"), tokenizers_dir.PATTERN
 
@@ -49,6 +50,15 @@ def test_empty_and_repeated(spark):
     assert pack(df.limit(0), VOCABULARY, PATTERN).collect() == []
 
 
+def test_added_tokens_inside_texts(spark):
+    mark = "<|endoftext|>"
+    texts = [f"{mark} it's x", f"a {mark}", f"  {mark}{mark}\n\n{mark}b", mark, "<|endoftext |>", f"{mark[:-1]} |>", "x  " + mark + "  y", None]
+    t = Tokenizer.from_file(tokenizers_dir.path("byte_bpe_50k.json"))
+    want = {i: e.ids + [1] for i, e in enumerate(t.encode_batch([x or "" for x in texts], add_special_tokens=False))}
+    rows = packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert want[0] == [50256, 340, 338, 2124, 1] and {r.doc_id: r.ids for r in rows} == want
+
+
 def test_hilbert_curve_visits_neighbours():
     side = 8
     cells = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
