@@ -222,7 +222,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     shuffled or remembered: the key alone links equal values.
     """
     text = F.col(text_col)
-    hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    # Every pattern needs one of these characters: a digit, the @ of an address, or a secret's = or colon.
+    hits = F.when(text.rlike("[0-9@=:]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     found = docs.withColumn("_hits", hits)
     found = found.withColumn("_new", F.transform("_hits", lambda v: pseudonym(v, key)))
     joined = F.array_join(F.zip_with(F.split(text, ANY, -1), "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")

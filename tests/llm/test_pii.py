@@ -80,3 +80,13 @@ def test_invalid_values_and_edge_rows(spark):
     rows = pseudonymise(df, KEY).collect()
     assert rows[0] == rows[1] and rows[0].n_pseudonyms == 1 and rows[0].text != "a@b.com"
     assert pseudonymise(df.limit(0), KEY).collect() == []
+
+
+def test_secrets_without_digits(spark):
+    texts = ["my password: correcthorsebattery today", "API_KEY=abcdefghijkl", 'secret = "correcthorsebattery"', "password correcthorsebattery: x"]
+    out = run(spark, [*texts, texts[0] + " 1"])
+    assert out[3] == texts[3]
+    for a, b in zip(texts[:3], out[:3], strict=True):
+        assert a != b and re.sub("[a-z]{12,}", "", a) == re.sub("[a-z]{12,}", "", b)
+    value = out[0].split()[2]
+    assert len(value) == 19 and out[4] == out[0] + " 1" and out[2] == f'secret = "{value}"'
