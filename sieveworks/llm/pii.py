@@ -28,7 +28,7 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 
 # Fixed patterns, tried in this order at each place (Java syntax; groups do not capture).
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-SECRET = r"(?i:\b(?:token|secret|password|passwd|api_?key|access_?key)\b)\"?\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_+/-]{12,128}"
+SECRET = r"(?i:\b(?:token|secret|password|passwd|api_?key|access_?key)\b)\"?\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_+/-]{12,}+"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 DATE_YMD = r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?!-?[0-9])"
 DATE_DMY = r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}(?!\.?[0-9])"
@@ -152,7 +152,7 @@ def _email(v: Column, key: str) -> Column:
 
 
 def _secret(v: Column, key: str) -> Column:
-    cut = r"(?s)^(.*?)([A-Za-z0-9_+/-]{12,128})$"
+    cut = r"(?s)^(.*?)([A-Za-z0-9_+/-]{12,}+)$"
     name, value = _part(v, cut, 1), _part(v, cut, 2)
     new = F.when(value.rlike("^[0-9a-f]+$"), _permute(value, key, "hex", _hex_lower)) \
         .when(value.rlike("^[0-9A-F]+$"), _permute(value, key, "hex", _hex_upper)).otherwise(_permute(value, key, "secret"))

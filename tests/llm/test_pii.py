@@ -90,3 +90,13 @@ def test_secrets_without_digits(spark):
         assert a != b and re.sub("[a-z]{12,}", "", a) == re.sub("[a-z]{12,}", "", b)
     value = out[0].split()[2]
     assert len(value) == 19 and out[4] == out[0] + " 1" and out[2] == f'secret = "{value}"'
+
+
+def test_long_secrets_to_their_end(spark):
+    rng = random.Random(6)
+    for alphabet, size in (("0123456789abcdef", 240), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 5000)):
+        value = "".join(rng.choice(alphabet) for _ in range(size))
+        new, again = (x[len('token = "'):-len('" end')] for x in run(spark, [f'token = "{value}" end'] * 2))
+        assert new == again and len(new) == size and set(new) <= set(alphabet)
+        assert not any(value[i:i + 20] in new for i in range(size - 20)) and value[-20:] != new[-20:]
+    assert run(spark, ["token=" + "/" * 100_000 + "a" * 100_000 + "!"])[0].endswith("!")
