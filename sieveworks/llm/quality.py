@@ -24,8 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import WORD, WORD_LOWER, grams, mix64, row_slices, text_buffers, word_hashes
+from .scratch import materialise
 
 BUCKETS = 1 << 16
+#: 16 MB of ids; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 BINS, SPAN = 400, 4.0  # score histogram: BINS cells over [-SPAN, SPAN]
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -114,9 +117,10 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def count_ngrams(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts over the trusted documents and over all."""
+    """Bucket counts over the trusted documents and over all; up to BROADCAST_IDS ids (counted) are broadcast."""
+    trusted = materialise(trusted.withColumn("good", F.lit(1)))
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") \
-        .join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left").select("text", "good")
+        .join(F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted, "doc_id", "left").select("text", "good")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -182,20 +186,17 @@ def threshold(scores: DataFrame, labels: DataFrame) -> float:
     return float(-SPAN + 2 * SPAN * run.mean() / BINS)  # the middle of the gap
 
 
-def quality(docs: DataFrame, labels: DataFrame, max_trusted: int = 50000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base columns, base_failed, score and kept of every document.
 
     Null and word-less texts have zero counts, score 0 and fail the base
-    rules. The target is counted over at most ``max_trusted`` documents
-    labelled good (those whose ids hash lowest); the raw corpus and the
-    threshold's histograms cover everything. Repeated rows are treated alike,
-    other columns ignored.
+    rules. The target is counted over all documents labelled good, the raw
+    corpus and the threshold's histograms over everything. Repeated rows are
+    treated alike, other columns ignored.
     """
-    from .scratch import materialise
-
     known = (labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.min("quality").cast("int").alias("quality")))
-    trusted = known.where("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    trusted = known.where("quality = 1").select("doc_id")
     scores = materialise(_scored(docs, log_ratios(*count_ngrams(docs, trusted))))
     cut = threshold(scores, known)
     return scores.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= cut))

@@ -3,9 +3,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sieveworks.llm import quality as module
 from sieveworks.llm.kernels import text_buffers
 from sieveworks.llm.quality import base_counts, quality
 
@@ -52,3 +54,14 @@ def test_quality_separates_held_out_documents(spark):
     assert quality(df.limit(0), labels).collect() == []
     assert all(r.kept != r.base_failed for r in quality(df, labels.limit(0)).collect())
     assert np.isfinite([r.score for r in got.values()]).all()
+
+
+@pytest.mark.parametrize("bound", [module.BROADCAST_IDS, 0])
+def test_the_target_covers_all_good_documents(spark, monkeypatch, bound):
+    monkeypatch.setattr(module, "BROADCAST_IDS", bound)
+    last = "row_number() over (order by xxhash64(doc_id), doc_id) > 50000"
+    docs = spark.range(50400).withColumnRenamed("id", "doc_id").selectExpr(
+        "doc_id", f"if({last}, repeat('rare terms there ', 20), repeat('plain words here ', 20)) as text")
+    got = quality(docs, docs.selectExpr("doc_id", "1 as quality", "0 as toxic"))
+    low, high = got.selectExpr("min(score)", "max(score)").first()
+    assert -0.1 < low <= high < 0.1  # the trusted documents are all of them
