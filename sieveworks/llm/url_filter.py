@@ -1,15 +1,16 @@
 """URL filtering: fixed host and path rules first, mined association rules for the rest.
 
-Association rules: the URLs whose verdict is known are transactions of URL
-tokens plus, for blocked ones, a verdict item. FP-growth finds the frequent
+Association rules: the labelled URLs that no fixed rule fits are transactions
+of URL tokens plus, for bad ones, a verdict item. FP-growth finds the frequent
 combinations; those that imply the verdict item with enough support and
 confidence become rules. They are matched through an inverted index: each
 rule is filed under its rarest token, a URL looks up its own tokens, and only
 the rules found there are compared in full. URLs with the same tokens are
 looked up once.
 
-A verdict is known where a fixed rule fits, or else where the page's id has a
-row in ``labels``: blocked if toxic or of quality 0.
+A URL is labelled where the page's id has a row in ``labels``: bad if toxic or
+of quality 0. URLs that a fixed rule judges teach nothing, as the mined rules
+never judge their like.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ RULES = [
     ("block", "com/de/"),
 ]
 BLOCK = "=block"
+#: Blocked transactions that a mined rule has at least, however few are known.
+MIN_ROWS = 5
 
 
 def host(url: Column) -> Column:
@@ -66,11 +69,15 @@ def tokens(url: Column, host_col: Column, path_col: Column) -> Column:
 
 
 def mine(known: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9) -> DataFrame:
-    """(items, confidence, support, anchor) of the rules items -> block, from ``known`` (tokens, blocked)."""
+    """(items, confidence, support, anchor) of the rules items -> block, from ``known`` (tokens, blocked).
+
+    A rule's support is at least ``min_support`` of the rows and at least MIN_ROWS of them.
+    """
     basket = known.where("size(tokens) > 0").select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
-    if basket.isEmpty():
+    total = basket.count()
+    if total < MIN_ROWS:
         return known.sparkSession.createDataFrame([], "items array<string>, confidence double, support long, anchor string")
-    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(basket)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, (MIN_ROWS - 0.5) / total)).fit(basket)
     sets = materialise(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")))
     blocked = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("items"), F.col("n").alias("support"))
     rules = blocked.join(sets, "items").withColumn("confidence", F.col("support") / F.col("n")).where(F.col("confidence") >= min_confidence)
@@ -93,7 +100,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, fixed=RULES, min_support: f
 
     A null or malformed url has empty host and path; no rule can block it, so
     it is allowed. Repeated rows are judged alike and all returned; other
-    columns are ignored. Without known verdicts nothing is mined.
+    columns are ignored. Without labelled pages beyond the fixed rules nothing
+    is mined.
     """
     h, p = host(F.col("url")), path(F.col("url"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), fixed)
@@ -102,8 +110,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, fixed=RULES, min_support: f
     rows = materialise(rows)
     marks = (labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("page_id"))
              .agg(F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("bad")))
-    known = (rows.join(marks, "page_id", "left").where("fixed is not null or bad is not null")
-             .select("tokens", F.when(F.col("fixed").isNotNull(), F.col("fixed") == "block").otherwise(F.col("bad")).alias("blocked")))
+    known = rows.where("fixed is null").join(marks, "page_id").select("tokens", F.col("bad").alias("blocked"))
     rules = mine(known, min_support, min_confidence)
     open_sets = rows.where("fixed is null").select("tokens").distinct()
     found = match(open_sets, rules)

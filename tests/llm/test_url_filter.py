@@ -67,3 +67,16 @@ def test_labels_teach_unruled_hosts(spark):
     got = filter_urls(pages, labels)
     assert {(r.page_id % 3 == 0) == (r.verdict == "block") for r in got.collect()} == {True}
     assert got.where(F.col("rule").isNotNull()).count() == 0 and len(RULES) == 5
+
+
+def test_fixed_rules_teach_nothing(spark):
+    """Pages that com/de/ blocks share their tokens with open pages, of which the labelled ones are clean."""
+    urls = [f"http://blog.example.com/de/{i}" for i in range(200)] + [f"http://blog.example.net/de/{i}" for i in range(20)] \
+        + [f"http://bad.example.net/{i}" for i in range(6)] + [f"http://few.example.net/{i}" for i in range(4)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 205), 0) for i in [*range(50), *range(200, 205), *range(220, 230)]], "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.verdict, r.mined is not None) for r in filter_urls(pages, labels).collect()}
+    assert [got[i] for i in range(200)] == [("block", False)] * 200
+    assert [got[i] for i in range(200, 220)] == [("allow", False)] * 20
+    assert [got[i] for i in range(220, 226)] == [("block", True)] * 6
+    assert [got[i] for i in range(226, 230)] == [("allow", False)] * 4  # four pages are too few for a rule
