@@ -882,11 +882,17 @@ WITH RECURSIVE {Q.minhash_cte('documents', 'doc_id', 'text')},
 {_FOLD_SQL.format(agree=Q.agree('a.sig', 'b.sig'))}
 SELECT id AS doc_id FROM kept""")
 def q_stream_incremental(spark, d):
-    """Documents arrive as files; each micro-batch (availableNow) is
-    deduplicated against everything kept before it, with kept rows appended
-    to the history table — the batch answer over the same rows."""
+    """Documents arrive as files in four runs, by ascending id on the days up
+    to the run date; each run (availableNow) is deduplicated against the
+    history window of those before it, with all kept rows selected into
+    history — the batch answer over the same rows."""
     from ..streaming.incremental import run_incremental
-    return run_incremental(spark, table(spark, d, "documents"), _scratch(spark, "stream"), RUN_DATE).select("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    run = F.coalesce(F.floor((F.col("doc_id") - F.col("lo")) * 4 / (F.col("hi") - F.col("lo") + 1)), F.lit(0))
+    run_date = F.date_format(F.date_sub(F.to_date(F.lit(RUN_DATE)), (3 - run).cast("int")), "yyyy-MM-dd")
+    docs = docs.crossJoin(F.broadcast(ends)).select("doc_id", "text", run_date.alias("run_date"))
+    return run_incremental(spark, docs, _scratch(spark, "stream"), DEDUP_DAYS).select("doc_id")
 
 
 @register("hist_window", f"""

@@ -1,19 +1,23 @@
 """Incremental curation over a file stream.
 
-New landing files -> ``readStream`` (file source) -> ``foreachBatch``: each
-micro-batch is deduplicated against the history table's window on
-``last_included`` (cross-run state is a table, not operator state: only kept
-rows enter it) and within itself, then its kept rows are appended to history.
-Writes are idempotent per batch id (dynamic partition overwrite of
-``batch_id=N``), so a replayed batch after a failure rewrites, not doubles.
-
-A landing file's rows carry their run date; a batch takes all files that have
-arrived unless ``max_files`` limits it. Within a batch the order is by id, so
-a run over one batch is the ordered scan over all rows.
+New landing files -> ``readStream`` (file source) -> ``foreachBatch``: the rows
+of each run date are deduplicated against the history table's window on
+``last_included`` (cross-run state is a table, not operator state: only
+selected rows enter it) and within themselves; the kept rows are selected from
+and those selected go to history under their run date. Writes are idempotent
+per batch id (dynamic partition overwrite of ``batch_id=N/last_included=D``),
+so a replayed batch after a failure rewrites, not doubles.
+
+A landing file's rows carry their run date (``run_date``, yyyy-MM-dd). A batch
+takes all files that have arrived unless ``max_files`` limits it, and its run
+dates are taken in ascending order, so what arrives together gives the same as
+one arrival a date. Within a date the order is by id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,30 +30,49 @@ from ..sources.lists import path_exists
 STATE_SCHEMA = "id bigint, sig array<bigint>, last_included string, batch_id bigint"
 
 
-def _process(history_path: str, run_date: str, days: int, spark: SparkSession):
+def _process(history_path: str, days: int, select: Callable[[DataFrame], DataFrame] | None, spark: SparkSession):
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        nodes = cut_lineage(batch.select(F.col("doc_id").alias("id"), M.signature("text").alias("sig"), F.lit("").alias("title_key")))
-        fresh = nodes
-        if path_exists(spark, history_path):
-            hist = spark.read.schema(STATE_SCHEMA).parquet(history_path).where(F.col("batch_id") != batch_id)
-            fresh = D.anti_neardup(nodes, D.hist_window(hist, run_date, days).where("sig is not null").select("sig"), "id", "sig")
-        kept = D.greedy_dedup(fresh)
-        out = (nodes.join(kept.select("id"), "id", "left_semi")
-               .select("id", "sig", F.lit(run_date).alias("last_included"), F.lit(batch_id).cast("bigint").alias("batch_id")))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(history_path))
+        rows = cut_lineage(batch.withColumn("sig", M.signature("text")).drop("text"))
+        for run_date in _run_dates(rows):
+            today = rows.where(F.col("run_date") == run_date)
+            fresh = today.select(F.col("doc_id").alias("id"), "sig", F.lit("").alias("title_key"))
+            if path_exists(spark, history_path):
+                # A replayed batch does not meet what it wrote the time before.
+                hist = (spark.read.schema(STATE_SCHEMA).parquet(history_path)
+                        .where((F.col("batch_id") != batch_id) | (F.col("last_included") < run_date)))
+                fresh = D.anti_neardup(fresh, D.hist_window(hist, run_date, days).where("sig is not null").select("sig"), "id", "sig")
+            kept = today.join(D.greedy_dedup(fresh).select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+            out = (select(kept) if select else kept).select(
+                F.col("doc_id").alias("id"), "sig", F.col("run_date").alias("last_included"), F.lit(batch_id).cast("bigint").alias("batch_id"))
+            (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id", "last_included").parquet(history_path))
     return run_batch
 
 
-def run_incremental(spark: SparkSession, docs: DataFrame, base: str, run_date: str, days: int = 60,
-                    max_files: int | None = None) -> DataFrame:
-    """(doc_id, batch_id) of the rows kept from ``docs`` landed under ``base``. ``max_files``: files per micro-batch."""
+def _run_dates(rows: DataFrame) -> list[str]:
+    """The distinct run dates in order, one a run; a row without one is an error."""
+    dates = [r.run_date for r in rows.select("run_date").distinct().collect()]
+    if None in dates:
+        raise ValueError("every landing row needs a run_date")
+    return sorted(dates)
+
+
+def run_incremental(spark: SparkSession, docs: DataFrame, base: str, days: int = 60,
+                    select: Callable[[DataFrame], DataFrame] | None = None, max_files: int | None = None) -> DataFrame:
+    """(doc_id, batch_id) of the rows selected from ``docs`` (doc_id, text, run_date, ...), landed under ``base`` one run date after the other.
+
+    ``select`` chooses among a run's kept rows (all columns but text, and sig); without it all are selected.
+    ``max_files``: files per micro-batch.
+    """
     landing, history, ckpt = f"{base}/landing", f"{base}/history", f"{base}/_checkpoint"
-    docs.select("doc_id", "text").write.mode("overwrite").parquet(landing)
-    source = spark.readStream.schema("doc_id bigint, text string")
-    if max_files:
-        source = source.option("maxFilesPerTrigger", max_files)
-    q = (source.parquet(landing).writeStream.foreachBatch(_process(history, run_date, days, spark))
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+    for run_date in _run_dates(docs):
+        docs.where(F.col("run_date") == run_date).write.mode("append").parquet(landing)
+        source = spark.readStream.schema(docs.schema)
+        if max_files:
+            source = source.option("maxFilesPerTrigger", max_files)
+        q = (source.parquet(landing).writeStream.foreachBatch(_process(history, days, select, spark))
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+    if not path_exists(spark, history):
+        return spark.createDataFrame([], "doc_id bigint, batch_id bigint")
     return spark.read.schema(STATE_SCHEMA).parquet(history).select(F.col("id").alias("doc_id"), "batch_id")
