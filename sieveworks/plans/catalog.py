@@ -770,17 +770,26 @@ def q_page_lookup(spark, d):
     return page_lookup(wanted, pages).select("url", F.md5("html").alias("page"))
 
 
+def _history_documents(articles: DataFrame) -> DataFrame:
+    """Maps of articles (url, title, takeaways), one per JSON document; the importer reads all documents of the folder.
+
+    A url is a key, so null ones are left out and repeated ones are one
+    article. A document holds 500 articles on average, 1000 at most but for a
+    chance below 1e-50.
+    """
+    one = articles.where("url is not null").groupBy("url").agg(F.min(F.struct("title", "takeaways")).alias("article"))
+    block = F.pmod(F.xxhash64("url"), F.lit(one.count() // 500 + 1))
+    return one.groupBy(block.alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("url", "article"))).alias("articles")).select("articles")
+
+
 @register("src_history", """
 SELECT 'doc-' || doc_id AS url, 'old ' || doc_id AS title, 'other' AS category, len(['x']) AS n_takeaways FROM documents""")
 def q_src_history(spark, d):
     """History imported from a JSON document that Spark writes from the documents."""
     docs = table(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("url"),
                                                F.concat(F.lit("old "), F.col("doc_id").cast("string")).alias("title"), F.array("source").alias("takeaways"))
-    # One JSON document per map of articles; the importer reads all documents of the folder.
     path = _scratch(spark, "history-json")
-    block = F.pmod(F.xxhash64("url"), F.lit(64))
-    docs.groupBy(block.alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("url", F.struct("title", "takeaways")))).alias("articles")) \
-        .select("articles").write.option("maxRecordsPerFile", 1).json(path)  # a file holds one document
+    _history_documents(docs).write.option("maxRecordsPerFile", 1).json(path)  # a file holds one document
     missing = ST.import_history(spark, path + "-none")
     return ST.import_history(spark, path).unionByName(missing).select("url", "title", F.coalesce("category", F.lit("other")).alias("category"), F.size("takeaways").cast("bigint").alias("n_takeaways"))
 
