@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pieces
+from .alignment import alignment
 from .ann import neighbours
 from .lang_id import identify
 from .line_dedup import dedup_lines
@@ -81,6 +82,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_pieces, op4_ann, op5_lang_id, op6_quality, op7_packing, op8_near_dup, op9_pii, op10_toxicity)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    return alignment(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.PATTERN, P.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_pieces, op4_ann, op5_lang_id, op6_quality, op7_packing, op8_near_dup, op9_pii, op10_toxicity, op11_alignment)}
 #: Line runs of any length, learned models, tokenizers and keyed hashes: beyond SQL, or too slow there on whole tables.
 ORACLE: dict[str, str] = {}
