@@ -17,6 +17,7 @@ from .near_dup import near_duplicates
 from .packing import pack
 from .pii import pseudonymise
 from .quality import quality
+from .sharding import shard
 from .toxicity import toxicity
 from .url_filter import filter_urls
 
@@ -88,6 +89,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.PATTERN, P.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_pieces, op4_ann, op5_lang_id, op6_quality, op7_packing, op8_near_dup, op9_pii, op10_toxicity, op11_alignment)}
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = shard(table(spark, sf_dir, "documents"), 24)
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_pieces, op4_ann, op5_lang_id, op6_quality, op7_packing, op8_near_dup, op9_pii, op10_toxicity, op11_alignment, op13_sharding)}
 #: Line runs of any length, learned models, tokenizers and keyed hashes: beyond SQL, or too slow there on whole tables.
 ORACLE: dict[str, str] = {}
