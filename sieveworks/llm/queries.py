@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import pieces
 from .alignment import alignment
 from .ann import neighbours
+from .hard_negatives import hard_negatives, relabelled
 from .lang_id import identify
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
@@ -89,11 +90,28 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.PATTERN, P.path("piece_bpe_32k.model"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(relabelled(table(spark, sf_dir, "embeddings")))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = shard(table(spark, sf_dir, "documents"), 24)
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_pieces, op4_ann, op5_lang_id, op6_quality, op7_packing, op8_near_dup, op9_pii, op10_toxicity, op11_alignment, op13_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_pieces, op4_ann, op5_lang_id, op6_quality, op7_packing, op8_near_dup, op9_pii, op10_toxicity, op11_alignment, op12_hard_negatives, op13_sharding)}
+HARD_NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.q, c.q)::BIGINT AS score
+           FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+positive AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+hard AS (SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+                row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+         FROM positive p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM hard WHERE rank <= 5
+"""
 #: Line runs of any length, learned models, tokenizers and keyed hashes: beyond SQL, or too slow there on whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_hard_negatives": HARD_NEGATIVES_SQL}
