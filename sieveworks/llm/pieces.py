@@ -1,7 +1,7 @@
 """SentencePiece (BPE) encoding and decoding by suffix-array matching.
 
 A batch's distinct words (a space marker and what follows it; no piece spans
-two) are laid end to end. The text's suffixes are sorted by their first
+two) are laid end to end, ``INDEX_CHARS`` at a time. The text's suffixes are sorted by their first
 characters, as many as the longest piece has; a binary search of every piece
 gives the range of suffixes it begins, that is all its occurrences. These are
 the edges of the words' segmentation graphs. Sorted by end position they are
@@ -17,7 +17,12 @@ the last to the first and looking for a merge across the border that would
 have come earlier.
 
 Characters without a piece become byte pieces; runs of spaces are merged by
-themselves, after everything else. A model is read from its file in each task.
+themselves, after everything else. A word too long for a step-wise pass is
+indexed in stretches, each with as many characters more as a piece can reach,
+and its edges are relaxed one by one: the same ids by the same rule.
+
+A model is read from its file in each task. Words keep their ids from batch to
+batch in a cache of bounded bytes, which lets go of those not met lately.
 """
 
 from __future__ import annotations
@@ -31,12 +36,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import row_slices
+from .kernels import mix64, row_slices
 
 MARK, END = "▁", "\U0010ffff"
 _NEVER = np.int64(1) << 40
-LONG_WORD = 256  # longer words are relaxed one by one, not in step
-CACHE_WORDS = 200_000
+LONG_WORD = 256  # longer words are relaxed edge by edge, not in step
+INDEX_CHARS = 1 << 17
+SLICE = 1 << 20
+CACHE_BYTES = 32 << 20  # of each of two generations
+SLOTS = 1 << 20
+
+
+class WordCache:
+    """Ids by word. When the younger half is full it becomes the older one, and what was not met since then goes."""
+
+    def __init__(self, limit: int = CACHE_BYTES):
+        self.young, self.old, self.size, self.limit = {}, {}, 0, limit
+
+    def missing(self, words: set[str]) -> list[str]:
+        """The words without ids here; the others move to the younger half."""
+        todo = words - self.young.keys()
+        self._add({w: self.old[w] for w in todo & self.old.keys()})
+        return list(todo - self.old.keys())
+
+    def add(self, words: list[str], ids: list[tuple[int, ...]]) -> None:
+        self._add(dict(zip(words, ids, strict=True)))
+
+    def _add(self, new: dict) -> None:
+        self.young.update(new)
+        self.size += sum(200 + 4 * len(w) + 8 * len(i) for w, i in new.items())
+
+    def age(self) -> None:
+        """To be called between batches, so that a batch's own words are all in the younger half."""
+        if self.size > self.limit:
+            self.young, self.old, self.size = {}, self.young, 0
 
 
 def merge_by_score(symbols: list[str], rank: dict[str, int]) -> list[str]:
@@ -103,7 +136,8 @@ class PieceModel:
         self.piece_ids = np.array([i for _, i in words])
         self.piece_len = np.array([len(w) for w, _ in words])
         self.spaces = {}
-        self.known = (np.zeros(0, np.int64), np.zeros(0, bool))
+        # Compatibility of pairs already asked for, one to a slot.
+        self.known, self.answer = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
 
     def _last_merge(self, name: str) -> tuple[str, str] | None:
         symbols = list(name)
@@ -116,19 +150,16 @@ class PieceModel:
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces a and b side by side stay as they are."""
-        key, where = np.unique(a * (self.n + 1) + b, return_inverse=True)
-        old, answer = self.known
-        at = np.minimum(np.searchsorted(old, key), max(0, len(old) - 1))
-        out = np.zeros(len(key), bool)
-        have = old[at] == key if len(old) else np.zeros(len(key), bool)
-        out[have] = answer[at[have]]
-        todo = np.flatnonzero(~have)
-        out[todo] = self._compatible(key[todo] // (self.n + 1), key[todo] % (self.n + 1))
+        key = a.astype(np.int64) * (self.n + 1) + b
+        slot = (mix64(key.astype(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
+        out = self.answer[slot]
+        todo = np.flatnonzero(self.known[slot] != key)
         if len(todo):
-            keys, values = np.concatenate([old, key[todo]]), np.concatenate([answer, out[todo]])
-            order = np.argsort(keys, kind="stable")
-            self.known = (keys[order], values[order]) if len(keys) < 2_000_000 else (key, out)
-        return out[where]
+            new, where = np.unique(key[todo], return_inverse=True)
+            out[todo] = self._compatible(new // (self.n + 1), new % (self.n + 1))[where]
+            # Two keys of one slot: the later takes it, in both arrays.
+            self.known[slot[todo]], self.answer[slot[todo]] = key[todo], out[todo]
+        return out
 
     def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.ones(len(a), bool)
@@ -158,42 +189,65 @@ class PieceModel:
         size = hi - lo
         piece = np.repeat(np.arange(len(lo)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[piece]
-        return order[at], self.piece_len[piece], self.piece_ids[piece]
+        return order[at].astype(np.int32), self.piece_len[piece].astype(np.int32), self.piece_ids[piece].astype(np.int32)
+
+    def _codes(self, text: str) -> np.ndarray:
+        return self.code_of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+    def _all_edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``edges`` and one for each character without a piece."""
+        start, length, piece = self.edges(codes)
+        bare = np.flatnonzero(codes == 1).astype(np.int32)
+        one, unknown = np.ones(len(bare), np.int32), np.full(len(bare), self.unknown, np.int32)
+        return np.concatenate([start, bare]), np.concatenate([length, one]), np.concatenate([piece, unknown])
+
+    def _spell(self, word: str, ids, starts) -> tuple[int, ...]:
+        """Ids with byte pieces for the characters without a piece."""
+        out = []
+        for i, p in zip(ids, starts, strict=True):
+            out += [i] if i != self.unknown else [self.byte_id[b] for b in word[p].encode("utf-8", "replace")]
+        return tuple(out)
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of each space marker and word; words hold no space."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        block, size = [], 0
+        for i, w in enumerate(words):
+            if len(w) >= LONG_WORD:
+                out[i] = self._encode_long(MARK + w)
+                continue
+            block.append(i)
+            size += len(w) + 2
+            if size >= INDEX_CHARS:
+                for k, ids in zip(block, self._encode_block([words[k] for k in block]), strict=True):
+                    out[k] = ids
+                block, size = [], 0
+        if block:
+            for k, ids in zip(block, self._encode_block([words[k] for k in block]), strict=True):
+                out[k] = ids
+        return out
+
+    def _encode_block(self, words: list[str]) -> list[tuple[int, ...]]:
+        """All words in step, by depth."""
         text = "".join([END + MARK + w.replace(END, "\U0010fffe") for w in words])[1:] + END
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        breaks = np.flatnonzero(points == ord(END))
-        codes = self.code_of[points]
+        codes = self._codes(text)
+        breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == ord(END))
         codes[breaks] = 0
-        start, length, piece = self.edges(codes)
-        bare = np.flatnonzero(codes == 1)  # characters without a piece
-        start, length = np.concatenate([start, bare]), np.concatenate([length, np.ones(len(bare), np.int64)])
-        piece = np.concatenate([piece, np.full(len(bare), self.unknown)])
+        start, length, piece = self._all_edges(codes)
         begin = np.concatenate([[0], breaks[:-1] + 1])
-        word = np.searchsorted(breaks, start)
-        depth = start + length - begin[word]
-        last = np.full(len(codes) + 1, -1, np.int64)  # by end position
-        came = np.full(len(codes) + 1, -1, np.int64)
-        long = (breaks - begin > LONG_WORD)[word]
-        ended = start + length
-        # Short words go in step by depth; long ones position by position.
-        for these, by in ((np.flatnonzero(~long), depth), (np.flatnonzero(long), ended)):
-            order = these[np.argsort(by[these], kind="stable")]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(by[order])) + 1, [len(order)]])
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                e = order[a:b]
-                s, p = start[e], piece[e]
-                first = s == begin[word[e]]
-                reached = first | (last[s] >= 0)
-                ok = reached.copy()
-                check = np.flatnonzero(reached & ~first)
-                if len(check):
-                    ok[check] = self.compatible(last[s[check]], p[check])
-                end = ended[e][ok]
-                last[end], came[end] = p[ok], s[ok]
-        pieces, owner, at, who = [], [], breaks.copy(), np.arange(len(words))
+        depth = start - begin[np.searchsorted(breaks, start)]
+        last = np.full(len(codes) + 1, -1, np.int32)  # by end position
+        came = np.full(len(codes) + 1, -1, np.int32)
+        order = np.argsort(depth.astype(np.int16), kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(depth[order])) + 1, [len(order)]])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            e = order[a:b]  # all that start at one depth; what ends there is settled
+            if depth[e[0]]:
+                e = e[last[start[e]] >= 0]
+                e = e[self.compatible(last[start[e]], piece[e])]
+            end = start[e] + length[e]
+            last[end], came[end] = piece[e], start[e]
+        pieces, owner, at, who = [], [], breaks.astype(np.int32), np.arange(len(words), dtype=np.int32)
         while len(who):
             pieces.append(np.stack([last[at], came[at]]))
             owner.append(who)
@@ -203,18 +257,42 @@ class PieceModel:
         flat, own = np.concatenate(pieces, axis=1), np.concatenate(owner)
         order = np.lexsort((flat[1], own))
         ids, at, own = flat[0][order], flat[1][order], own[order]
-        odd = set(own[ids == self.unknown].tolist())
-        ends = np.searchsorted(own, np.arange(len(words) + 1))
+        ends = np.searchsorted(own, np.arange(len(words) + 1)).tolist()
         listed = ids.tolist()
         out = [tuple(listed[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        for k in odd:
-            w = MARK + words[k]
-            spelled = []
-            for i, p in zip(listed[ends[k]:ends[k + 1]], at[ends[k]:ends[k + 1]].tolist(), strict=True):
-                spelled += [i] if i != self.unknown else [self.byte_id[b] for b in w[p - begin[k]].encode("utf-8", "replace")]
-            out[k] = tuple(spelled)
+        for k in set(own[ids == self.unknown].tolist()):
+            out[k] = self._spell(MARK + words[k], out[k], (at[ends[k]:ends[k + 1]] - begin[k]).tolist())
         return out
 
+    def _encode_long(self, word: str) -> tuple[int, ...]:
+        """One word, edge by edge in the order of their starts."""
+        n = len(word)
+        last, came, ok = [-1] * (n + 1), [-1] * (n + 1), {}
+        for a in range(0, n, INDEX_CHARS):
+            codes = self._codes(word[a:a + INDEX_CHARS + self.width])
+            start, length, piece = self._all_edges(codes)
+            own = np.flatnonzero(start < INDEX_CHARS)
+            own = own[np.argsort(start[own], kind="stable")]
+            for s, size, p in zip((start[own] + a).tolist(), length[own].tolist(), piece[own].tolist(), strict=True):
+                if s:
+                    before = last[s]
+                    if before < 0:
+                        continue
+                    may = ok.get((before, p))
+                    if may is None:
+                        may = ok[before, p] = bool(self.compatible(np.array([before]), np.array([p]))[0])
+                    if not may:
+                        continue
+                last[s + size], came[s + size] = p, s
+            if len(ok) > SLOTS:
+                ok.clear()
+        ids, starts, at = [], [], n
+        while at > 0:
+            ids.append(last[at])
+            starts.append(came[at])
+            at = came[at]
+        return self._spell(word, ids[::-1], starts[::-1])
+
     def encode_spaces(self, n: int) -> tuple[int, ...]:
         """Ids of n markers that nothing else took."""
         if n not in self.spaces:
@@ -224,15 +302,14 @@ class PieceModel:
             self.spaces[n] = (self.id_of[MARK * full],) * head + tuple(self.id_of[s] for s in rest)
         return self.spaces[n]
 
-    def encode(self, texts: list[str | None], cache: dict[str, tuple[int, ...]]) -> list[list[int]]:
+    def encode(self, texts: list[str | None], cache: WordCache) -> list[list[int]]:
         """Ids of each text; ``cache`` keeps the words' ids from batch to batch."""
         split = [t.replace(MARK, " ").split(" ") if t else [] for t in texts]
-        new = list({w for ws in split for w in ws} - cache.keys() - {""})
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list({w for ws in split for w in ws} - {""})
+        cache.age()
+        new = cache.missing({w for ws in split for w in ws} - {""})
         if new:
-            cache.update(zip(new, self.encode_words(new), strict=True))
+            cache.add(new, self.encode_words(new))
+        cache = cache.young
         mark = self.id_of[MARK]
         out = []
         for ws in split:
@@ -272,8 +349,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFram
     """(id, text, ids) of each row's whole text. Null: null ids; empty: none. Repeated rows are encoded alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = load(model_path), {}
-        for part in row_slices(batches):
+        model, cache = load(model_path), WordCache()
+        for part in row_slices(batches, limit=SLICE):
             texts = part.column("text").to_pylist()
             ids = [None if t is None else i for t, i in zip(texts, model.encode(texts, cache), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("text"), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "text", "ids"])
@@ -298,3 +375,25 @@ def decode(coded: DataFrame, model_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     return coded.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, ids, n_ids, round_trip): ``encode``'s ids and whether they decode to the text (a literal space marker is a space), in one pass.
+
+    A null text has null ids, n_ids -1 as ``size`` gives it, and round_trip true.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, cache = load(model_path), WordCache()
+        for part in row_slices(batches, limit=SLICE):
+            texts = part.column("text").to_pylist()
+            coded = model.encode(texts, cache)
+            same = [t is None or model.decode(i) == t.replace(MARK, " ") for t, i in zip(texts, coded, strict=True)]
+            ends = np.cumsum([0, *map(len, coded)])
+            none = pa.array([t is None for t in texts], pa.bool_())
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(list(chain.from_iterable(coded)), pa.int32()), mask=none)
+            counts = [-1 if t is None else len(i) for t, i in zip(texts, coded, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(id_col), ids, pa.array(counts, pa.int32()), pa.array(same)], names=[id_col, "ids", "n_ids", "round_trip"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), "text")
+    return rows.mapInArrow(run, f"{id_col} long, ids array<int>, n_ids int, round_trip boolean")

@@ -41,10 +41,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
-    marked = F.translate("text", pieces.MARK, " ")  # a literal space marker is a space to the model
-    return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.col("decoded").eqNullSafe(marked).alias("round_trip"))
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
