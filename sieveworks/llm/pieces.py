@@ -41,9 +41,9 @@ from .kernels import mix64, row_slices
 MARK, END = "▁", "\U0010ffff"
 _NEVER = np.int64(1) << 40
 LONG_WORD = 256  # longer words are relaxed edge by edge, not in step
-INDEX_CHARS = 1 << 17
+INDEX_CHARS = 1 << 18
 SLICE = 1 << 20
-CACHE_BYTES = 32 << 20  # of each of two generations
+CACHE_BYTES = 64 << 20  # of each of two generations
 SLOTS = 1 << 20
 
 
@@ -235,7 +235,7 @@ class PieceModel:
         codes[breaks] = 0
         start, length, piece = self._all_edges(codes)
         begin = np.concatenate([[0], breaks[:-1] + 1])
-        depth = start - begin[np.searchsorted(breaks, start)]
+        depth = (np.arange(len(codes), dtype=np.int32) - np.repeat(begin, breaks + 1 - begin).astype(np.int32))[start]
         last = np.full(len(codes) + 1, -1, np.int32)  # by end position
         came = np.full(len(codes) + 1, -1, np.int32)
         order = np.argsort(depth.astype(np.int16), kind="stable")
