@@ -64,7 +64,7 @@ class WordCache:
 
     def _add(self, new: dict) -> None:
         self.young.update(new)
-        self.size += sum(200 + 4 * len(w) + 8 * len(i) for w, i in new.items())
+        self.size += 200 * len(new) + 4 * sum(map(len, new)) + 8 * sum(map(len, new.values()))
 
     def age(self) -> None:
         """To be called between batches, so that a batch's own words are all in the younger half."""
@@ -133,8 +133,10 @@ class PieceModel:
         for k, (w, _) in enumerate(words):
             coded[:, k, :len(w)] = [self.code_of[ord(c)] for c in w]
         self.low, self.high = (np.ascontiguousarray(c).view(f"S{2 * self.width}").ravel() for c in coded)
-        self.piece_ids = np.array([i for _, i in words])
-        self.piece_len = np.array([len(w) for w, _ in words])
+        self.piece_ids = np.array([i for _, i in words], np.int32)
+        self.piece_len = np.array([len(w) for w, _ in words], np.int32)
+        order = np.argsort(self.low)  # neighbouring pieces search neighbouring places
+        self.low, self.high, self.piece_ids, self.piece_len = (x[order] for x in (self.low, self.high, self.piece_ids, self.piece_len))
         self.spaces = {}
         # Compatibility of pairs already asked for, one to a slot.
         self.known, self.answer = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
@@ -189,7 +191,7 @@ class PieceModel:
         size = hi - lo
         piece = np.repeat(np.arange(len(lo)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[piece]
-        return order[at].astype(np.int32), self.piece_len[piece].astype(np.int32), self.piece_ids[piece].astype(np.int32)
+        return order[at].astype(np.int32), self.piece_len[piece], self.piece_ids[piece]
 
     def _codes(self, text: str) -> np.ndarray:
         return self.code_of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -306,7 +308,7 @@ class PieceModel:
         """Ids of each text; ``cache`` keeps the words' ids from batch to batch."""
         split = [t.replace(MARK, " ").split(" ") if t else [] for t in texts]
         cache.age()
-        new = cache.missing({w for ws in split for w in ws} - {""})
+        new = cache.missing(set().union(*split) - {""})
         if new:
             cache.add(new, self.encode_words(new))
         cache = cache.young
