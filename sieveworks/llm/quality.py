@@ -116,11 +116,15 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return bucket.astype(np.int64), np.concatenate([row, row[:len(pair)][inside]])
 
 
-def count_ngrams(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts over the trusted documents and over all; up to BROADCAST_IDS ids (counted) are broadcast."""
+def mark_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(doc_id, text, good: 1 or null); up to BROADCAST_IDS ids (counted) are broadcast."""
     trusted = materialise(trusted.withColumn("good", F.lit(1)))
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") \
-        .join(F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted, "doc_id", "left").select("text", "good")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") \
+        .join(F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted, "doc_id", "left").select("doc_id", "text", "good")
+
+
+def count_ngrams(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket counts over the trusted documents and over all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -132,37 +136,48 @@ def count_ngrams(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.nd
             good += np.bincount(bucket[flag[row]], minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(good), pa.array(raw)], names=["bucket", "good", "every"])
 
-    rows = marked.mapInArrow(run, "bucket long, good long, every long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("every").alias("every")).collect()
+    rows = marked.select("text", "good").mapInArrow(run, "bucket long, good long, every long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("every").alias("every")).collect()
     good, every = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rows:
         good[r.bucket], every[r.bucket] = r.good, r.every
     return good, every
 
 
-def log_ratios(good: np.ndarray, every: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    """Per bucket: log probability in the target minus that in the raw corpus, smoothed towards the raw."""
+def log_ratios(good: np.ndarray, every: np.ndarray, smooth: float = 1.0):
+    """A function of buckets, and of what to take off their target counts and the target's total, that gives
+    log probability in the target minus that in the raw corpus, smoothed towards the raw."""
     raw = (every + smooth) / (every.sum() + smooth * BUCKETS)
     weight = 0.1 * BUCKETS * smooth
-    target = (good + weight * raw) / (good.sum() + weight)
-    return np.log(target) - np.log(raw)
+    prior, total = weight * raw, good.sum() + weight
+
+    def ratios(bucket, less=0, less_total=0):
+        return np.log((good[bucket] - less + prior[bucket]) / (total - less_total)) - np.log(raw[bucket])
 
+    return ratios
 
-def _scored(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
+def ngram_scores(bucket: np.ndarray, row: np.ndarray, own: np.ndarray, ratios) -> np.ndarray:
+    """Mean ratio of each row's n-grams. A row that is ``own`` (counted in the target) is scored without its own counts,
+    as a document of the same words that nobody labelled would be."""
+    cell, number = np.unique(row * BUCKETS + bucket, return_counts=True)
+    at, bucket = np.divmod(cell, BUCKETS)
+    size = np.bincount(row, minlength=len(own))
+    mine = own[at]
+    value = number * ratios(bucket, np.where(mine, number, 0), np.where(mine, size[at], 0))
+    return np.bincount(at, value, minlength=len(own)) / np.maximum(1, size)
+
+
+def _scored(marked: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        ratios = log_ratios(*shared.value)
         for part in row_slices(batches):
             data, offsets = text_buffers(part.column("text"))
             base, _, _ = base_counts(data, offsets)
-            bucket, row = ngram_buckets(data, offsets)
-            n = part.num_rows
-            score = np.bincount(row, w[bucket], minlength=n) / np.maximum(1, np.bincount(row, minlength=n))
+            score = ngram_scores(*ngram_buckets(data, offsets), part.column("good").is_valid().to_numpy(zero_copy_only=False), ratios)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(base[c]) for c in _BASE], pa.array(score)],
                                              names=["doc_id", *_BASE, "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in _BASE) + "score double") \
+    return marked.mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in _BASE) + "score double") \
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -191,13 +206,18 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and word-less texts have zero counts, score 0 and fail the base
     rules. The target is counted over all documents labelled good, the raw
-    corpus and the threshold's histograms over everything. Repeated rows are
-    treated alike, other columns ignored.
+    corpus and the threshold's histograms over everything. A document that is
+    in the target is scored against the rest of it, so labelled and unlabelled
+    documents are measured alike, and the threshold is set on such scores.
+    Repeated rows are treated alike, other columns ignored.
     """
     known = (labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.min("quality").cast("int").alias("quality")))
     trusted = known.where("quality = 1").select("doc_id")
-    scores = materialise(_scored(docs, log_ratios(*count_ngrams(docs, trusted))))
+    marked = mark_trusted(docs, trusted)
+    shared = docs.sparkSession.sparkContext.broadcast(count_ngrams(marked))
+    scores = materialise(_scored(marked, shared))
+    shared.destroy()
     cut = threshold(scores, known)
     return scores.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= cut))
 
