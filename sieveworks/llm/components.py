@@ -5,40 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from .scratch import materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: long) -> (node, component: smallest node of its component).
 
-    Each round points every node at its smallest neighbour, doubles the
-    pointers until they reach their roots, and contracts the edges onto the
-    roots. Nodes and edges stay distributed and every step is checkpointed.
-    Nulls and loops in ``edges`` are ignored; no edges give no rows.
+    Each round points every node at its smallest neighbour, follows the
+    pointers to their roots (four steps a table, so shallow trees need one),
+    and contracts the edges onto the roots. Nodes and edges stay distributed
+    and every step is a written table. Nulls and loops in ``edges`` are
+    ignored; no edges give no rows.
     """
-    live = cut_lineage(edges.where("a is not null and b is not null and a <> b")
+    live = materialise(edges.where("a is not null and b is not null and a <> b")
                        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    label = live.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
-    first = True
+    label = None
     while not live.isEmpty():
         both = live.union(live.select("b", "a"))
-        point = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
+        point = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
                             .select("node", F.least("node", "to").alias("to")))
         while True:
-            far = point.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            point = cut_lineage(point.join(far, "to").select("node", F.col("next").alias("to"), (F.col("next") < F.col("to")).alias("moved")))
+            far = point
+            for k in range(3):
+                step = point.select(F.col("node").alias("to"), F.col("to").alias("next"))
+                far = far.join(step, "to").select("node", F.col("next").alias("to"), (F.col("next") < F.col("to")).alias("moved"))
+            point = materialise(far)
             if point.where("moved").isEmpty():
                 break
             point = point.drop("moved")
-        point = point.drop("moved")
-        if first:
-            label, first = point.select("node", F.col("to").alias("component")), False
-        else:
-            step = point.select(F.col("node").alias("component"), "to")
-            label = cut_lineage(label.join(step, "component", "left")
-                                .select("node", F.coalesce("to", "component").alias("component")))
-        pa = point.select(F.col("node").alias("a"), F.col("to").alias("ta"))
-        pb = point.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        live = cut_lineage(live.join(pa, "a").join(pb, "b").where("ta <> tb")
+        roots = point.select("node", F.col("to").alias("component"))
+        if label is not None:
+            step = roots.withColumnRenamed("node", "old").withColumnRenamed("component", "new")
+            roots = materialise(label.withColumnRenamed("component", "old").join(step, "old", "left")
+                                .select("node", F.coalesce("new", "old").alias("component")))
+        label = roots
+        ends = point.select("node", "to")
+        live = materialise(live.join(ends.toDF("a", "ta"), "a").join(ends.toDF("b", "tb"), "b").where("ta <> tb")
                            .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
-    return label
+    return label if label is not None else live.select(F.col("a").alias("node"), F.col("b").alias("component"))

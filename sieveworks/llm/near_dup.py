@@ -42,6 +42,9 @@ MAX_XOR = 179
 _A = (seeded(21, SAMPLES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (seeded(22, SAMPLES) >> np.uint64(32)).astype(np.uint32)
 
+#: Members of a bucket that meet in one task.
+BLOCK_ROWS = 2_000
+
 #: 16 MB of ids; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -165,15 +168,26 @@ def _cross_pairs(bucket: DataFrame, sets: DataFrame, threshold_pct: int) -> Data
 
     Two sets differ in at least as many shingles as their parity bitmaps do in
     bits, so no similar pair is lost here, and a dissimilar one is refused
-    inside the join.
+    inside the join. The members of a bucket's largest component are met by
+    the others alone, so one stray among n copies costs n comparisons; both
+    sides are split into salted blocks of about ``BLOCK_ROWS``, so a bucket
+    that holds a third of all rows is many tasks' work.
     """
-    rows = materialise(bucket.join(sets.select("doc_id", F.size("shingles").alias("n"), "parity"), "doc_id"))
-    x = rows.select("band", F.col("component").alias("ca"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-    y = rows.select("band", F.col("component").alias("cb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    held = bucket.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = held.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")) \
+        .select("band", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK_ROWS).cast("int").alias("few"),
+                F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("many"))
+    rows = materialise(bucket.join(sets.select("doc_id", F.size("shingles").alias("n"), "parity"), "doc_id").join(main, "band"))
+    salt = lambda k, blocks: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.col(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    x = rows.where("component <> main").select("band", salt(1, "few").alias("i"), each("many").alias("j"), F.col("component").alias("ca"),
+                                               F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    y = rows.select("band", each("few").alias("i"), salt(2, "many").alias("j"), F.col("component").alias("cb"), "main",
+                    F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
     xor = " + ".join(f"bit_count(pa[{i}] ^ pb[{i}])" for i in range(PARITY_BITS // 64))
-    close = F.expr(f"ca < cb and 100 * least(na, nb) >= {threshold_pct} * greatest(na, nb) and "
+    close = F.expr(f"(cb = main or ca < cb) and 100 * least(na, nb) >= {threshold_pct} * greatest(na, nb) and "
                    f"{100 + threshold_pct} * ({xor}) <= {100 - threshold_pct} * (na + nb)")
-    return x.join(y, (x.band == y.band) & close).select("a", "b", "na", "nb").distinct()
+    return x.join(y, ["band", "i", "j"]).where(close).select("a", "b", "na", "nb").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
@@ -228,7 +242,16 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
     rest = materialise(rest.join(mixed.select("band"), "band", "left_semi"))
     sets = _set_table(texts, rest.select("doc_id").distinct())
     cross = materialise(_cross_pairs(rest, sets, threshold_pct))
-    label = connected_components(links.union(_confirm(cross, sets, threshold_pct)))
+    # The second pass only has to join components of the first.
+    far = materialise(_confirm(cross, sets, threshold_pct))
+    if not far.isEmpty():
+        at = lambda x: F.coalesce(f"c{x}", x).alias(x)
+        known = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        joined = connected_components(far.join(known("a"), "a", "left").join(known("b"), "b", "left").select(at("a"), at("b")))
+        every_node = label.unionByName(far.select(F.col("a").alias("node")).union(far.select("b")).distinct()
+                                       .join(label, "node", "left_anti").withColumn("component", F.col("node")))
+        label = materialise(every_node.join(joined.toDF("component", "to"), "component", "left")
+                            .select("node", F.coalesce("to", "component").alias("component")))
 
     found = member.join(label.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("doc_id", F.coalesce("component", "rep").alias("component_id"))
