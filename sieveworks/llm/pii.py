@@ -3,7 +3,7 @@
 Recognised values: e-mail addresses, US-style phone numbers, IPv4 addresses,
 payment-card numbers that pass the Luhn check, social-security numbers, dates
 (year-month-day, day.month.year, month/day/year) that exist, and secrets
-assigned to a name such as token or password. Each is replaced by a value of
+assigned to a name such as token, client_secret or password, or after Bearer. Each is replaced by a value of
 the same format, permuted within that format's valid values by a keyed Feistel
 network; equal values get equal pseudonyms in all documents and different
 values different ones. What only looks like such a value stays as it is.
@@ -28,13 +28,20 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 
 # Fixed patterns, tried in this order at each place (Java syntax; groups do not capture).
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-SECRET = r"(?i:\b(?:token|secret|password|passwd|api_?key|access_?key)\b)\"?\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_+/-]{12,}+"
+# A secret's name may be the end of a longer one (client_secret). Passwords run to white space or a quote, whatever they
+# hold; tokens are of the characters that encodings use. Below the lengths given, what follows a name is mostly prose.
+PASSWORD_MIN, TOKEN_MIN = 8, 12
+PASSWORD_NAME = r"(?i:(?<![A-Za-z0-9])(?:password|passwd|passphrase|pwd)\"?\s{0,3}[=:]\s{0,3})[\"']?"
+TOKEN_NAME = r"(?i:(?<![A-Za-z0-9])(?:token|secret|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key)\"?\s{0,3}[=:]\s{0,3})[\"']?"
+BEARER = r"(?i:(?<![A-Za-z0-9])bearer\s{1,3})(?=[^\s0-9]{0,64}[0-9])"
+SECRET = (r"(?:" + PASSWORD_NAME + r"[^\s\"']{%d,}[^\s\"'.,;:!?)]" % (PASSWORD_MIN - 1) + r"|(?:" + TOKEN_NAME + "|" + BEARER
+          + r")[A-Za-z0-9_+/.~=-]{%d,}[A-Za-z0-9_+/~=-])" % (TOKEN_MIN - 1))
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 DATE_YMD = r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?!-?[0-9])"
 DATE_DMY = r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}(?!\.?[0-9])"
 DATE_MDY = r"(?<![0-9/])[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}(?!/?[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])"
-CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
+CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 PHONE = r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 KINDS = {"email": EMAIL, "secret": SECRET, "ipv4": IPV4, "ymd": DATE_YMD, "dmy": DATE_DMY, "mdy": DATE_MDY,
          "ssn": SSN, "phone": PHONE, "card": CARD}
@@ -152,7 +159,7 @@ def _email(v: Column, key: str) -> Column:
 
 
 def _secret(v: Column, key: str) -> Column:
-    cut = r"(?s)^(.*?)([A-Za-z0-9_+/-]{12,}+)$"
+    cut = r"(?s)^(" + PASSWORD_NAME + "|" + TOKEN_NAME + r"|(?i:bearer\s{1,3}))(.*)$"
     name, value = _part(v, cut, 1), _part(v, cut, 2)
     new = F.when(value.rlike("^[0-9a-f]+$"), _permute(value, key, "hex", _hex_lower)) \
         .when(value.rlike("^[0-9A-F]+$"), _permute(value, key, "hex", _hex_upper)).otherwise(_permute(value, key, "secret"))
@@ -219,8 +226,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
     Null texts stay null and empty ones empty, with 0 pseudonyms. Repeated
     rows are treated alike; all other columns pass through. Nothing is
-    shuffled or remembered: the key alone links equal values.
+    shuffled or remembered: the key alone links equal values, and who has it
+    can undo the pseudonyms, so it must be given and not be empty.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col(text_col)
     # Every pattern needs one of these characters: a digit, the @ of an address, or a secret's = or colon.
     hits = F.when(text.rlike("[0-9@=:]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from .sharding import shard
 from .toxicity import toxicity
 from .url_filter import filter_urls
 
-#: The pseudonyms' key; a deployment sets its own.
-PII_KEY = os.environ.get("SIEVEWORKS_PII_KEY", "sieveworks")
+#: The pseudonyms' key. A deployment sets its own; without one, a key that nobody knows links values within this process's runs alone.
+PII_KEY = os.environ.get("SIEVEWORKS_PII_KEY") or secrets.token_hex(32)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

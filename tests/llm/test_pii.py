@@ -100,3 +100,29 @@ def test_long_secrets_to_their_end(spark):
         assert new == again and len(new) == size and set(new) <= set(alphabet)
         assert not any(value[i:i + 20] in new for i in range(size - 20)) and value[-20:] != new[-20:]
     assert run(spark, ["token=" + "/" * 100_000 + "a" * 100_000 + "!"])[0].endswith("!")
+
+
+def test_secrets_of_many_kinds_to_their_end(spark):
+    rng = random.Random(9)
+    part = lambda n: "".join(rng.choice("abcdefghijkLMNOPQR0123456789") for _ in range(n))
+    jwt = f"eyJ{part(20)}1.{part(60)}.{part(43)}"
+    cases = [(f'token = "', jwt, '"'), ("password: ", "Tr0ub4dor&3xyzLong", " end"), ("password=", "hunter2pass", ""), ("client_secret: ", part(24) + "7", ","),
+             ("Authorization: Bearer ", jwt, "\n"), ("pwd = '", "p4ss,word;", "' x"), ("x-api-key: ", part(32) + "==", ""), ("Passphrase: ", "aé7-long,er", "")]
+    out = run(spark, [a + v + b for a, v, b in cases] + [a + v + "." for a, v, b in cases[4:5]])
+    for (a, v, b), new in zip(cases, out, strict=False):
+        got = new[len(a):len(new) - len(b)]
+        assert new.startswith(a) and new.endswith(b) and len(got) == len(v)
+        runs = [(x, y) for x, y in zip(re.findall("[A-Za-z0-9]+", v), re.findall("[A-Za-z0-9]+", got), strict=True)]
+        assert any(x != y for x, y in runs) and all(x != y for x, y in runs if len(x) >= 4), (v, got)
+    assert out[-1] == out[4][:-1] + "."  # the same secret at a sentence's end
+    same = ["the token: short", "password: none", "a bearer of bad news-and-more", "pass the word: abcdefghijkl"]
+    assert run(spark, same) == same
+    amex = with_check("37828224631000")
+    spaced = f"{amex[:4]} {amex[4:10]} {amex[10:]}"
+    new = run(spark, [spaced])[0]
+    assert new != spaced and re.fullmatch(r"\d{4} \d{6} \d{5}", new) and luhn(new.replace(" ", ""))
+
+
+def test_a_key_is_needed(spark):
+    with pytest.raises(ValueError):
+        pseudonymise(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "")
