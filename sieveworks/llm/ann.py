@@ -50,7 +50,11 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision; the same vectors give the same value in any batch."""
+    """Row by row, in double precision; the same vectors give the same value in any batch.
+
+    Rows are scaled by a power of two first, which changes no digit and keeps huge and tiny ones in range.
+    """
+    a, b = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) for v in (a, b))
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 

@@ -59,3 +59,10 @@ def test_scan_never_loses_the_nearest():
     near = np.argsort(-(q @ c.T), axis=1)[:, :6]
     assert sum((int(x), k) in left for k in range(40) for x in near[k]) >= 0.99 * near.size
     assert len(left) < 0.1 * 3000 * 40
+
+
+def test_cosines_of_huge_and_tiny_components():
+    from sieveworks.llm.ann import cosines
+
+    a, b = np.array([[1e200, 1.0], [1e-200, 1e-201], [3.0, 4.0]]), np.array([[1e200, 2.0], [1e-200, 0.0], [4.0, 3.0]])
+    assert cosines(a, b)[0] == 1.0 and abs(cosines(a, b)[1] - 1 / np.sqrt(1.01)) < 1e-12 and cosines(a, b)[2] == 0.96
