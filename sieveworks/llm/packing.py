@@ -76,13 +76,13 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def curve_cells(ids: list[np.ndarray], size: int) -> np.ndarray:
-    """Grid cells of the documents' mean hashed vectors, scaled to unit spread by their lengths."""
+    """Grid cells of the documents' mean hashed vectors; no coordinate of a direction, so none of a mean, is beyond 2."""
     table = _directions(size)
     points = np.zeros((len(ids), DIMS))
     for i, x in enumerate(ids):
         if len(x):
-            points[i] = table[x].sum(axis=0) / np.sqrt(len(x))
-    return np.clip((points / 16 + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+            points[i] = table[x].mean(axis=0)
+    return np.clip((points / 4 + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
 
 def tokens(docs: DataFrame, vocabulary: str, pattern: str, specials: tuple[tuple[str, int], ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers as tokenizers_dir
 from tokenizers import Tokenizer
 
-from sieveworks.llm.packing import hilbert_key, pack
+from sieveworks.llm.packing import curve_cells, hilbert_key, pack
 from sieveworks.llm.queries import packed
 
 VOCABULARY, PATTERN = tokenizers_dir.path("byte_bpe_50k.tiktoken"), tokenizers_dir.PATTERN
@@ -66,3 +66,17 @@ def test_hilbert_curve_visits_neighbours():
     assert sorted(key) == list(range(side ** 3))
     path = cells[np.argsort(key)]
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_neighbours_on_the_curve_are_alike_whatever_their_lengths():
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 50_000, 300) for _ in range(8)]  # eight subjects
+    subject = rng.integers(0, 8, 2000)
+    ids = [rng.choice(words[s], rng.integers(100, 4000)) for s in subject]
+    cells = curve_cells(ids, 50_257)
+    assert cells.min() > 0 and cells.max() < 2 ** 15 - 1
+    order = np.argsort(hilbert_key(cells), kind="stable")
+    same = np.mean(subject[order[1:]] == subject[order[:-1]])
+    sizes = np.array([len(x) for x in ids])
+    far = np.abs(cells - cells.mean(axis=0)).sum(axis=1)
+    assert same > 0.8 and abs(np.corrcoef(sizes, far)[0, 1]) < 0.1  # one in eight by chance
