@@ -1,18 +1,18 @@
 """History, daily and run-index tables: upserts and sinks.
 
-Upserts are full-outer joins on the key with per-column rules, written as a
-new table version (no lakehouse format needed); the daily table is
+Upserts are full-outer joins on the key with per-column rules, committed as a
+new version of the table (see ``versions``); the daily table is
 partitioned by run_date and overwritten one partition at a time.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.lists import path_exists
+from .versions import current_version, read_version, write_version
 
 ARTICLE_COLUMNS = ["url", "title", "author", "published_at", "summary", "content", "category", "relevance_score",
                    "tags", "takeaways", "first_seen", "last_included", "source_url", "minhash"]
@@ -107,21 +107,24 @@ HISTORY_SCHEMA = ("url string, title string, author string, published_at string,
 INDEX_SCHEMA = "run_date string, generated_at string, source_urls array<string>, count bigint, filename string, overview string"
 
 
-def write_version(df: DataFrame, path: str) -> str:
-    """Write a table as a new version folder and point ``path``/current at it; readers of the old version are not disturbed."""
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
-    return f"{path}/{version}"
-
-
-def read_version(spark, path: str, schema: str) -> DataFrame:
-    """The current version of a table; an empty one if nothing was written yet."""
-    if not path_exists(spark, f"{path}/current/_SUCCESS"):
-        return spark.createDataFrame([], schema)
-    version = spark.read.schema("version string").json(f"{path}/current").first()["version"]
-    return spark.read.schema(schema).parquet(f"{path}/{version}")
+def publish_run(spark, base: str, selected: DataFrame, run_date: str, generated_at: str, source_urls: list[str], overview: str | None = None) -> None:
+    """Write one run: its daily rows, the history with them and the run's index row, under ``base``.
+
+    The daily partition of the date is replaced. History and index become new
+    versions of those read here, so of two runs at once one is refused. The
+    index keeps one row a date, with the old overview if the run has none.
+    History is committed before the index: a run that dies in between is
+    repeated without harm, as every step gives the same again.
+    """
+    history, index = f"{base}/history", f"{base}/index"
+    before, runs = current_version(spark, history), current_version(spark, index)
+    rows = cut_lineage(selected)
+    write_daily(rows, run_date, f"{base}/daily")
+    write_version(upsert_history(read_version(spark, history, HISTORY_SCHEMA, before), rows, run_date), history, before)
+    run = rows.agg(F.count(F.lit(1)).alias("count")).select(
+        F.lit(run_date).alias("run_date"), F.lit(generated_at).alias("generated_at"), F.array(*[F.lit(u) for u in source_urls]).cast("array<string>").alias("source_urls"),
+        "count", F.lit(f"{run_date}.json").alias("filename"), F.lit(overview).cast("string").alias("overview"))
+    write_version(upsert_index(read_version(spark, index, INDEX_SCHEMA, runs), run), index, runs)
 
 
 def import_history(spark, path: str) -> DataFrame:
