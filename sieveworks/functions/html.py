@@ -174,17 +174,23 @@ def tag_stream(html) -> Column:
 
 
 def inner_from(stream: Column, i: Column) -> Column:
-    """Inner HTML text of the element that the i-th tag (from 1) opens, up to its own close tag or the page's end; tags become spaces."""
-    name = F.element_at(stream, i)["name"]
-    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("text"))
+    """Inner HTML text of the element that the i-th tag (from 1) opens, up to its own close tag or the page's end; tags become spaces.
 
-    def step(s, t):
-        depth = s["depth"] + F.when(t["name"] != name, 0).when(t["close"], -1).otherwise(1)
-        return F.when(s["done"], s).otherwise(F.struct(
-            depth.alias("depth"), (depth <= 0).alias("done"),
-            F.when(depth <= 0, s["text"]).otherwise(F.concat(s["text"], F.lit(" "), t["after"])).alias("text")))
+    The element's end is found by counting depth over the tags of its name
+    alone; its text is then one slice of the page, joined once.
+    """
+    rest = F.slice(stream, i, F.size(stream))
+
+    def inside(tags):
+        same = F.filter(F.transform(tags, lambda t, k: F.when(t["name"] == F.element_at(tags, 1)["name"], F.struct(
+            F.when(t["close"], -1).otherwise(1).alias("step"), k.alias("at")))), lambda t: t.isNotNull())
+        state = F.struct(F.lit(0).alias("depth"), F.size(tags).alias("end"))
+        # Once the depth is 0 it stays there, and the end with it.
+        end = F.aggregate(same, state, lambda s, t: F.when((s["depth"] == 0) & (t["at"] > 0), s).otherwise(F.struct(
+            (s["depth"] + t["step"]).alias("depth"), F.when(s["depth"] + t["step"] == 0, t["at"]).otherwise(s["end"]).alias("end"))), lambda s: s["end"])
+        return F.concat(F.lit(" "), F.array_join(F.transform(F.slice(tags, F.lit(1), end), lambda t: t["after"]), " "))
 
-    return F.aggregate(F.slice(stream, i, F.size(stream)), state, step, lambda s: s["text"])
+    return let(rest, inside)
 
 
 def _openers(stream: Column, test) -> Column:
@@ -199,12 +205,6 @@ def _has_token(tag: Column, attr: str, value: str) -> Column:
     return F.coalesce(got == value if attr == "itemprop" else F.array_contains(F.split(got, r"\s+"), value), F.lit(False))
 
 
-def _first_text(stream: Column, test) -> Column:
-    """Text of the first element whose start tag passes ``test``; null if there is none."""
-    at = _openers(stream, test)
-    return F.when(F.size(at) > 0, element_text(inner_from(stream, F.element_at(at, 1))))
-
-
 def extract_author(html, metas: Column) -> Column:
     """First meta selector with any content (all its tags joined ', '; > 500
     chars -> null, no fallback), else the first element selector <= 500."""
@@ -215,10 +215,19 @@ def extract_author(html, metas: Column) -> Column:
 
     joined = [joined_for(k, v) for k, v in AUTHOR_META]
     meta_hit = F.coalesce(*[_nonempty(j) for j in joined])
-    stream = tag_stream(h)
-    css = let(stream, lambda st: F.coalesce(*[
-        let(_first_text(st, lambda t, a=a, v=v: _has_token(t["tag"], a, v)),
-            lambda x: F.when((x != "") & (F.length(x) <= AUTHOR_MAX_CHARS), x)) for a, v in AUTHOR_CSS]))
+    def by_css(stream):
+        # All element selectors look for these words, so the other tags' attributes need not be read.
+        words = F.filter(F.transform(stream, lambda t, i: F.when(~t["close"] & F.lower(t["tag"]).rlike("author|byline"), F.struct(
+            t["tag"].alias("tag"), (i + 1).alias("at")))), lambda t: t.isNotNull())
+
+        def first(tags, attr, value):
+            hit = F.filter(tags, lambda t: _has_token(t["tag"], attr, value))
+            text = F.when(F.size(hit) > 0, element_text(inner_from(stream, F.element_at(hit, 1)["at"])))
+            return let(text, lambda x: F.when((x != "") & (F.length(x) <= AUTHOR_MAX_CHARS), x))
+
+        return let(words, lambda tags: F.when(F.size(tags) > 0, F.coalesce(*[first(tags, a, v) for a, v in AUTHOR_CSS])))
+
+    css = let(tag_stream(h), by_css)
     low = F.lower(h)
     maybe = low.contains("author") | low.contains("byline")
     return (F.when(meta_hit.isNotNull(), F.when(F.length(meta_hit) <= AUTHOR_MAX_CHARS, meta_hit))

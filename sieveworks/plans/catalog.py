@@ -231,10 +231,11 @@ def page_records(spark, d) -> DataFrame:
     """Article fields, host, word-count score for every page (raw url)."""
     r = H.extract_records(table(spark, d, "pages")).drop("html")
     n_words = F.when(F.col("content") == "", F.lit(0)).otherwise(F.size(F.split("content", " ")))
-    return (r.withColumn("host", U.url_host("url"))
-            .withColumn("relevance_score", F.round(F.least(F.lit(1.0), n_words / 400.0), 6))
-            .withColumn("published_at", F.lit(None).cast("string"))
-            .withColumn("first_seen", F.lit(None).cast("string")))
+    # Filters and orders on the score come back to the content: each page is to be extracted once.
+    return cut_lineage(r.withColumn("host", U.url_host("url"))
+                       .withColumn("relevance_score", F.round(F.least(F.lit(1.0), n_words / 400.0), 6))
+                       .withColumn("published_at", F.lit(None).cast("string"))
+                       .withColumn("first_seen", F.lit(None).cast("string")))
 
 
 def _page_records_sql() -> str:
@@ -810,25 +811,31 @@ def q_sink_daily(spark, d):
     return ST.read_daily(spark, path).groupBy("run_date").agg(F.count(F.lit(1)).alias("n"))
 
 
+_EARLIER = "2024-02-20"  # over 60 days before the run date
+
+
 @register("rerun_same_day", f"""
-WITH {_DAILY_SQL}
-SELECT 'daily' AS tab, count(*) AS n FROM ranked WHERE rank > 10 AND rank <= 15
-UNION ALL SELECT 'history', count(*) FROM documents
-UNION ALL SELECT 'history_urls', count(DISTINCT doc_id) FROM documents""")
+WITH r AS (SELECT 'doc-' || doc_id AS url, row_number() OVER (ORDER BY round(least(n_chars, 10000) / 10000.0, 6) DESC, 'doc-' || doc_id) AS k FROM documents)
+SELECT 'daily' AS tab, url AS key, '{_EARLIER}' AS a, '' AS b FROM r WHERE k <= 10
+UNION ALL SELECT 'daily', url, '{RUN_DATE}', '' FROM r WHERE k BETWEEN 11 AND 20
+UNION ALL SELECT 'history', url, CASE WHEN k <= 10 THEN '{_EARLIER}' ELSE '{RUN_DATE}' END, '{RUN_DATE}' FROM r WHERE k <= 20
+UNION ALL SELECT 'index', run_date, CAST((SELECT least(count(*), 10) FROM r) AS VARCHAR), overview FROM (VALUES ('{_EARLIER}', 'early'), ('{RUN_DATE}', 'first')) v(run_date, overview)""")
 def q_rerun_same_day(spark, d):
-    """Two runs on one date: the second replaces the daily partition and history gets no duplicate row."""
-    path = _scratch(spark, "rerun")
-    daily = daily_docs(spark, d)
-    ST.write_daily(daily.where(F.col("rank") <= 10).drop("run_date"), RUN_DATE, path)
-    ST.write_daily(daily.where((F.col("rank") > 10) & (F.col("rank") <= 15)).drop("run_date"), RUN_DATE, path)
-    back = ST.read_daily(spark, path, RUN_DATE)
-    base = _scratch(spark, "history")
-    for _ in range(2):
-        new = _articles_from_docs(table(spark, d, "documents"), "new")
-        ST.write_version(ST.upsert_history(ST.read_version(spark, base, ST.HISTORY_SCHEMA), new, RUN_DATE), base)
-    hist = ST.read_version(spark, base, ST.HISTORY_SCHEMA)
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tab"), "n")
-    return count(back, "daily").unionByName(count(hist, "history")).unionByName(count(hist.select("url").distinct(), "history_urls"))
+    """Three runs, two on one date: an article of a run beyond the window may
+    come back; the second run of the day leaves out what the first one
+    published, replaces the day's rows, and keeps one index row with the
+    first's overview, having none."""
+    base = _scratch(spark, "runs")
+    articles = cut_lineage(_articles_from_docs(table(spark, d, "documents"), "new"))
+    for run_date, at, overview in ((_EARLIER, "t0", "early"), (RUN_DATE, "t1", "first"), (RUN_DATE, "t2", "")):
+        history = ST.read_version(spark, f"{base}/history", ST.HISTORY_SCHEMA)
+        fresh = D.anti_url(articles, D.hist_window(history, run_date, DEDUP_DAYS).select("url"))
+        top = fresh.orderBy(F.desc("relevance_score"), "url").limit(10)
+        ST.publish_run(spark, base, top, run_date, at, ["search:documents"], overview)
+    daily = ST.read_daily(spark, f"{base}/daily").select(F.lit("daily").alias("tab"), F.col("url").alias("key"), F.col("run_date").cast("string").alias("a"), F.lit("").alias("b"))
+    history = ST.read_version(spark, f"{base}/history", ST.HISTORY_SCHEMA).select(F.lit("history").alias("tab"), "url", "first_seen", "last_included")
+    index = ST.read_version(spark, f"{base}/index", ST.INDEX_SCHEMA).select(F.lit("index").alias("tab"), "run_date", F.col("count").cast("string"), "overview")
+    return daily.union(history).union(index)
 
 
 @register("daily_by_date", f"WITH {_DAILY_SQL} SELECT url, relevance_score FROM ranked WHERE rank <= 10")
