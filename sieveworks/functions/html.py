@@ -220,12 +220,13 @@ def extract_author(html, metas: Column) -> Column:
         words = F.filter(F.transform(stream, lambda t, i: F.when(~t["close"] & F.lower(t["tag"]).rlike("author|byline"), F.struct(
             t["tag"].alias("tag"), (i + 1).alias("at")))), lambda t: t.isNotNull())
 
-        def first(tags, attr, value):
-            hit = F.filter(tags, lambda t: _has_token(t["tag"], attr, value))
-            text = F.when(F.size(hit) > 0, element_text(inner_from(stream, F.element_at(hit, 1)["at"])))
-            return let(text, lambda x: F.when((x != "") & (F.length(x) <= AUTHOR_MAX_CHARS), x))
+        def places(tags):
+            """The first element of each selector, in the selectors' order."""
+            first = lambda a, v: F.try_element_at(F.filter(tags, lambda t: _has_token(t["tag"], a, v)), F.lit(1))
+            return F.filter(F.array(*[first(a, v)["at"] for a, v in AUTHOR_CSS]), lambda i: i.isNotNull())
 
-        return let(words, lambda tags: F.when(F.size(tags) > 0, F.coalesce(*[first(tags, a, v) for a, v in AUTHOR_CSS])))
+        texts = F.transform(let(words, places), lambda i: element_text(inner_from(stream, i)))
+        return F.try_element_at(F.filter(texts, lambda x: (x != "") & (F.length(x) <= AUTHOR_MAX_CHARS)), F.lit(1))
 
     css = let(tag_stream(h), by_css)
     low = F.lower(h)
@@ -333,17 +334,13 @@ def article_links(source_url, html, hints=ARTICLE_PATH_HINTS) -> Column:
 RECORD_FIELDS = ["url", "title", "summary", "author", "published_at", "content"]
 
 
-def extract_records(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Add the six article fields (title, summary, author, published_at,
-    content; url kept). Narrow projection: no shuffle. The meta array is
-    materialised once per row and shared by all selector lists."""
-    staged = df.withColumn("_metas", meta_tags(F.col(html)))
+def extract_records(df: DataFrame, url: str = "url", html: str = "html", fields: tuple[str, ...] = ("title", "summary", "author", "published_at", "content")) -> DataFrame:
+    """Add the article ``fields`` (by default all five; url kept). Narrow
+    projection: no shuffle. The meta array is materialised once per row and
+    shared by all selector lists."""
     m = F.col("_metas")
-    out = staged.select(
-        "*",
-        extract_title(F.col(url), F.col(html), m).alias("title"),
-        extract_summary(m).alias("summary"),
-        extract_author(F.col(html), m).alias("author"),
-        extract_published(F.col(html), m).alias("published_at"),
-        extract_content(F.col(html)).alias("content"))
-    return out.drop("_metas")
+    make = {"title": lambda: extract_title(F.col(url), F.col(html), m), "summary": lambda: extract_summary(m),
+            "author": lambda: extract_author(F.col(html), m), "published_at": lambda: extract_published(F.col(html), m),
+            "content": lambda: extract_content(F.col(html))}
+    staged = df.withColumn("_metas", meta_tags(F.col(html)))
+    return staged.select("*", *[make[f]().alias(f) for f in fields]).drop("_metas")

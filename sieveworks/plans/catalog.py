@@ -134,13 +134,13 @@ def q_query_augment(spark, d):
 @register("x_title", f"""
 SELECT page_id, coalesce({Q.title_tag('html')}, url) AS title FROM pages""")
 def q_x_title(spark, d):
-    return H.extract_records(table(spark, d, "pages")).select("page_id", "title")
+    return H.extract_records(table(spark, d, "pages"), fields=("title",)).select("page_id", "title")
 
 
 @register("x_content", f"""
 SELECT page_id, {Q.article_content('html')} AS content, length({Q.article_content('html')}) AS n_chars FROM pages""")
 def q_x_content(spark, d):
-    r = H.extract_records(table(spark, d, "pages"))
+    r = H.extract_records(table(spark, d, "pages"), fields=("content",))
     return r.select("page_id", "content", F.length("content").alias("n_chars"))
 
 
@@ -322,8 +322,8 @@ WHERE {Q.norm_title(Q.title_tag('html'))} = '' OR {Q.norm_title(Q.title_tag('htm
   SELECT {Q.norm_title(Q.title_tag('html'))} FROM {_HIST_PAGES})""")
 def q_anti_title(spark, d):
     hist, new = split_pages(spark, d)
-    n = H.extract_records(new).select("page_id", T.normalize_title("title").alias("title_key"))
-    h = H.extract_records(hist).select(T.normalize_title("title").alias("title_key"))
+    n = H.extract_records(new, fields=("title",)).select("page_id", T.normalize_title("title").alias("title_key"))
+    h = H.extract_records(hist, fields=("title",)).select(T.normalize_title("title").alias("title_key"))
     return D.anti_title(n, h).select("page_id")
 
 
@@ -860,7 +860,7 @@ def page_snapshot(spark, d) -> DataFrame:
 def page_history(spark, d) -> DataFrame:
     """Earlier published runs: the clean-URL pages as history articles."""
     hist, _ = split_pages(spark, d)
-    r = cut_lineage(H.extract_records(hist).drop("html"))
+    r = cut_lineage(H.extract_records(hist, fields=("title", "content")).drop("html"))
     return r.select(U.normalize_url("url").alias("url"), "title", "content", M.signature("content").alias("minhash"),
                     F.date_format(F.date_sub(F.to_date(F.lit(RUN_DATE)), (F.col("page_id") % 90).cast("int")),
                                   "yyyy-MM-dd").alias("last_included"))
