@@ -38,3 +38,41 @@ def test_runs_equal_the_fold(spark, tmp_path):
     assert len({r.batch_id for r in out}) > 2
     assert {r[0] for r in rows if r[2] > "2024-03"} & set(want)  # the window lets some come back
     assert run_incremental(spark, docs.limit(0), str(tmp_path / "none")).collect() == []
+
+
+def test_a_batch_killed_between_its_two_writes_is_replayed(spark, tmp_path):
+    from sieveworks.operators.sig_index import SignatureIndex
+    from sieveworks.streaming.incremental import STATE_SCHEMA, _process
+
+    rng = random.Random(6)
+    base = [[f"v{i}x{k}" for k in range(60)] for i in range(4)]
+    rows = [(i, " ".join(w if rng.random() > 0.01 else f"n{i}" for w in rng.choice(base)), DATES[i % 3], 1) for i in range(18)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, run_date string, mark int")
+    want = fold(docs.withColumn("sig", M.signature("text")).collect())
+    docs.coalesce(1).write.parquet(str(tmp_path / "landing"))
+    index = SignatureIndex(spark, str(tmp_path / "index"), buckets=4)
+    real, calls = index.add, []
+
+    def dies_at_the_second_date(out):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("executor and driver gone")
+        real(out)
+
+    def run():
+        q = (spark.readStream.schema(docs.schema).parquet(str(tmp_path / "landing")).writeStream
+             .foreachBatch(_process(str(tmp_path / "history"), index, 60, None))
+             .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    index.add = dies_at_the_second_date
+    try:
+        run()
+        raise AssertionError("the batch was to fail")
+    except Exception as e:  # noqa: BLE001
+        assert "gone" in str(e)
+    index.add = real
+    run()
+    got = spark.read.schema(STATE_SCHEMA).parquet(str(tmp_path / "history")).collect()
+    assert sorted(r.id for r in got) == want and len(want) < 18
+    assert spark.table(index.sigs).count() == len({(r.last_included, tuple(r.sig)) for r in got})
