@@ -1,12 +1,15 @@
 """Structured annotations: request text, response parsing and validation.
 
 No network: annotations come from a table of stored responses (joined by
-key) or from a user-supplied Column / pandas-UDF scorer. Parsing and
-validation are native JSON functions.
+key) or from a user's function, called once a row. Parsing and validation are
+native JSON functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,10 +84,57 @@ def annotate_stored(records: DataFrame, responses: DataFrame, key: str, resp: st
         F.col("_a.tags").alias("tags"))
 
 
-def annotate_with(records: DataFrame, scorer) -> DataFrame:
-    """User scorer: a function DataFrame -> DataFrame (e.g. ``mapInPandas``)
-    or Column-returning function over the record columns."""
-    out = scorer(records)
-    if isinstance(out, DataFrame):
-        return out
-    return records.withColumn("_a", out).select("*", "_a.*").drop("_a")
+#: A user's function of a request text, or null for no answer; made once a task, so that it can open a client there.
+Answer = Callable[[str], str | None]
+
+
+def ask(text, make: Callable[[], Answer]) -> F.Column:
+    """struct(answer, error): the user's function called once for each row's text, its failures kept to their rows.
+
+    A function that raises gives a null answer and the exception as error, as
+    does one that gives something other than text; the task goes on. A null
+    text is not asked: both are null. Only the text goes to Python, in Arrow
+    batches. The function may cost money or answer differently each time, so
+    Spark must not call it twice: cut the lineage before reading the result
+    more than once.
+    """
+    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        fn = make()
+        for texts in batches:
+            rows = [_answer(fn, t) for t in texts]
+            yield pd.DataFrame({"answer": pd.Series([a for a, _ in rows], dtype=object), "error": pd.Series([e for _, e in rows], dtype=object)})
+    answers.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(answers, "answer string, error string").asNondeterministic()(text)
+
+
+def _answer(fn: Answer, text: str | None) -> tuple[str | None, str | None]:
+    if text is None:
+        return None, None
+    try:
+        got = fn(text)
+    except Exception as e:  # noqa: BLE001 - whatever a user's function raises is that row's failure
+        return None, f"{type(e).__name__}: {e}"
+    if got is None or isinstance(got, str):
+        return got, None
+    return None, f"TypeError: the answer is {type(got).__name__}, not text"
+
+
+def annotate_with(records: DataFrame, make: Callable[[], Answer], max_chars: int = DEFAULT_MAX_CONTENT_CHARS) -> DataFrame:
+    """``records`` with the annotation that the user's function answers to their request texts, and ``annotation_error``.
+
+    The answer is parsed as a stored response is (invalid JSON takes the
+    fallback, it is no failure). A row whose function raised has a null
+    annotation and the reason in ``annotation_error``; rows without an answer
+    get the reason ``no answer``. ``annotated`` leaves these rows out; dedup
+    runs before, so they still block their duplicates.
+    """
+    fields = ["summary", "takeaways", "category", "relevance_score", "tags"]
+    asked = records.withColumn("_asked", ask(request_text(records, max_chars), make))
+    error = F.coalesce(F.col("_asked.error"), F.when(F.col("_asked.answer").isNull(), F.lit("no answer")))
+    parsed = asked.withColumn("annotation_error", error).withColumn("_a", F.when(error.isNull(), parse_response(F.col("_asked.answer"))))
+    return parsed.select(*[c for c in records.columns if c not in (*fields, "annotation_error")], *[F.col(f"_a.{f}").alias(f) for f in fields], "annotation_error")
+
+
+def annotated(records: DataFrame) -> DataFrame:
+    """The rows whose annotation did not fail (all, if none was asked for)."""
+    return records.where("annotation_error is null") if "annotation_error" in records.columns else records

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
 from ..functions.urls import absolute_url, form_encode
-from .annotate import OVERVIEW_MAX_ITEMS
+from .annotate import OVERVIEW_MAX_ITEMS, Answer, ask
 
 # --- fixed values that must equal the reference -----------------------------
 FACET_ORDER = ["all", "research", "blog", "news", "tutorial", "opinion", "other"]
@@ -112,10 +114,14 @@ def overview_input(selected: DataFrame) -> DataFrame:
     return g.select("run_date", F.array_join(F.transform("xs", lambda x: x["l"]), "\n\n").alias("body"))
 
 
-def overview_with(selected: DataFrame, summarise) -> DataFrame:
-    """(run_date, overview) per run from a user function on the request text:
-    it takes the body Column and returns a Column (a model's answer, say)."""
-    return overview_input(selected).select("run_date", summarise(F.col("body")).alias("overview"))
+def overview_with(selected: DataFrame, make: Callable[[], Answer]) -> DataFrame:
+    """(run_date, overview, overview_error) per run: the user's function is asked once a run, with the request text.
+
+    A run whose function raises has a null overview and the reason, as it goes
+    on without one; an empty answer is null too.
+    """
+    asked = overview_input(selected).select("run_date", ask(F.col("body"), make).alias("a"))
+    return asked.select("run_date", _nz(strip_ws(F.col("a.answer"))).alias("overview"), F.col("a.error").alias("overview_error"))
 
 
 def digest_text(selected: DataFrame, overview: DataFrame, brand: str) -> DataFrame:

@@ -7,6 +7,7 @@ and returns scalar columns with the same names on both sides.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -628,21 +629,64 @@ def q_digest_overview_input(spark, d):
     return V.overview_input(daily_docs(spark, d))
 
 
-@register("overview_with", f"""
-WITH {_DAILY_SQL}
-SELECT run_date, count(*) || ' items' AS overview FROM ranked WHERE rank <= 20 GROUP BY run_date""")
-def q_overview_with(spark, d):
-    """The user function here counts the bullets of the request text."""
-    items = lambda body: F.concat((F.size(F.split(body, r"\n\n- ", -1))).cast("string"), F.lit(" items"))
-    return V.overview_with(daily_docs(spark, d).withColumn("summary", F.lit("s")), items)
+_OVERVIEW_LIMIT = 100_000  # characters that the summary function takes
+
 
+def editor():
+    """A run summary's function: names the first item; a request beyond its limit raises."""
+    def summarise(body: str) -> str:
+        if len(body) > _OVERVIEW_LIMIT:
+            raise ValueError(f"{len(body)} characters")
+        lead = body.split("\n", 1)[0].removeprefix("- ")
+        return f"{lead} leads; {len(body)} characters\n"
+    return summarise
 
-@register("annotate_with", "SELECT doc_id, upper(lang) AS category, round(n_chars / 1000.0, 3) AS relevance_score FROM documents")
+
+@register("overview_with", f"""
+WITH {_DAILY_SQL},
+asked AS (SELECT run_date, string_agg('- ' || trim(title) || chr(10) || '  ' || {Q.strip_ws("coalesce(summary, '')")}, chr(10) || chr(10) ORDER BY rank) AS body,
+                 arg_min(title, rank) AS lead FROM ranked WHERE rank <= 20 GROUP BY run_date)
+SELECT run_date, CASE WHEN length(body) <= {_OVERVIEW_LIMIT} THEN lead || ' leads; ' || length(body) || ' characters' END AS overview,
+       CASE WHEN length(body) > {_OVERVIEW_LIMIT} THEN 'ValueError: ' || length(body) || ' characters' END AS overview_error
+FROM asked""")
+def q_overview_with(spark, d):
+    """One request a run; a run whose summary fails goes on without an overview, with the reason."""
+    return V.overview_with(daily_docs(spark, d), editor)
+
+
+_MIN_WORDS = 20
+
+
+def extractive():
+    """An annotation function without a model: opening words, distinct words as score; short contents raise."""
+    def annotate(request: str) -> str:
+        content = request.split("\nContent:\n", 1)[1]
+        words = content.split(" ")
+        if len(words) < _MIN_WORDS:
+            raise ValueError(f"{len(words)} words")
+        return json.dumps({"summary": " ".join(words[:12]), "takeaways": [words[-1]], "category": "opinion" if "?" in content else "blog",
+                           "relevance_score": min(1.0, len(set(words)) / 400), "tags": [request.split("\n")[1]]})
+    return annotate
+
+
+@register("annotate_with", f"""
+WITH w AS (SELECT doc_id, source, c, string_split(c, ' ') AS words FROM (
+    SELECT doc_id, source, CASE WHEN length(text) > 6000 THEN {Q.strip_ws("substr(text, 1, 6000)")} || chr(10) || chr(10) || '[…content truncated for length]'
+                                ELSE coalesce(text, '') END AS c FROM documents)),
+a AS (SELECT *, len(words) >= {_MIN_WORDS} AS ok FROM w)
+SELECT doc_id, CASE WHEN ok THEN array_to_string(words[1:12], ' ') END AS summary, CASE WHEN ok THEN words[-1] END AS takeaways,
+       CASE WHEN ok THEN CASE WHEN contains(c, '?') THEN 'opinion' ELSE 'blog' END END AS category,
+       CASE WHEN ok THEN round(least(1.0, len(list_distinct(words)) / 400.0), 6)::DOUBLE END AS relevance_score,
+       CASE WHEN ok THEN 'Source: ' || source END AS tags, CASE WHEN NOT ok THEN 'ValueError: ' || len(words) || ' words' END AS annotation_error
+FROM a""")
 def q_annotate_with(spark, d):
-    """A user function over the record columns in place of stored responses."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    scored = A.annotate_with(docs, lambda df: F.struct(F.upper("lang").alias("category"), F.round(F.col("n_chars") / 1000.0, 3).alias("relevance_score")))
-    return scored.select("doc_id", "category", "relevance_score")
+    """A user's function asked with each document's request text, failures kept to their rows."""
+    none = F.lit(None).cast("string")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("source_url"),
+                                               none.alias("author"), none.alias("published_at"), F.col("text").alias("content"))
+    out = A.annotate_with(docs, extractive)
+    return out.select("doc_id", "summary", F.array_join("takeaways", "|").alias("takeaways"), "category", F.round("relevance_score", 6).alias("relevance_score"),
+                      F.array_join("tags", "|").alias("tags"), "annotation_error")
 
 
 @register("run_quality", f"""

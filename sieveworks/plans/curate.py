@@ -24,6 +24,7 @@ from ..functions.text import normalize_title
 from ..functions.urls import canon_fetch_url, normalize_url, url_host
 from ..operators import dedup as D
 from ..operators import policy as P
+from ..operators.annotate import annotated
 from ..operators.rank import select_top
 from ..session import cut_lineage
 
@@ -102,27 +103,27 @@ def curate(candidates: DataFrame, pages: DataFrame, history: DataFrame, scorer,
     kept_ids = D.greedy_dedup(after_near, "url", "title_key", "sig", spec)
     kept = recs.join(kept_ids.select("url"), "url", "left_semi")
 
-    annotated = kept.transform(scorer)
-    annotated = annotated.withColumn("first_seen", F.lit(params.run_date)).withColumn(
+    answered = cut_lineage(annotated(kept.transform(scorer)).drop("annotation_error"))  # a scorer may cost: once a row
+    articles = answered.withColumn("first_seen", F.lit(params.run_date)).withColumn(
         "last_included", F.lit(None).cast("string"))
     boost_list = params.preferred_domains if params.domain_mode == "boost" else []
-    scored = P.effective_score(annotated, "url", "relevance_score", boost_list, params.domain_boost)
+    scored = P.effective_score(articles, "url", "relevance_score", boost_list, params.domain_boost)
     selected = select_top(scored.withColumn("host", url_host(F.col("url"))), params.max_articles,
                           params.max_per_domain, "eff_score", "relevance_score")
     selected = selected.withColumn("run_date", F.lit(params.run_date)).withColumnRenamed("sig", "minhash")
 
     has_page = recs.select("url", F.lit(True).alias("has_page"))
     passed = after_near.select("url", F.lit(True).alias("_near_ok"))
-    audit = dedup_audit(cands, seen_urls, has_page, recs, seen_titles, passed, kept_ids, spec)
+    audit = dedup_audit(cands, seen_urls, has_page, recs, seen_titles, passed, kept_ids, spec, answered.select("url"))
     run_row = selected.agg(F.count(F.lit(1)).alias("count")).select(
         F.lit(params.run_date).alias("run_date"), F.col("count").cast("bigint").alias("count"),
         (F.col("count") < params.min_articles).alias("thin_run"))
     return selected, audit, run_row
 
 
-def dedup_audit(cands, seen_urls, looked, recs, seen_titles, near_ok, kept_ids, spec) -> DataFrame:
-    """Reason per candidate: seen_url, no_page, dup_title, near_dup, kept,
-    with the blocking row for in-run conflicts (title checked before
+def dedup_audit(cands, seen_urls, looked, recs, seen_titles, near_ok, kept_ids, spec, answered) -> DataFrame:
+    """Reason per candidate: seen_url, no_page, dup_title, near_dup, kept or
+    annotation_failed (kept by dedup, but without an annotation), with the blocking row for in-run conflicts (title checked before
     similarity, as in the ordered scan)."""
     seen = seen_urls.distinct().withColumn("_seen", F.lit(True))
     a = cands.select("url").join(seen, "url", "left").join(looked, "url", "left")
@@ -134,10 +135,11 @@ def dedup_audit(cands, seen_urls, looked, recs, seen_titles, near_ok, kept_ids,
     blocks = D.blocking_rows(recs.select(F.col("url").alias("id"), "title_key", "sig"), kept, spec) \
         .withColumnRenamed("id", "url")
     a = (a.join(hist_t, "url", "left").join(hist_s, "url", "left").join(blocks, "url", "left")
-         .join(kept_ids.select("url").withColumn("_k", F.lit(True)), "url", "left"))
+         .join(kept_ids.select("url").withColumn("_k", F.lit(True)), "url", "left")
+         .join(answered.withColumn("_an", F.lit(True)), "url", "left"))
     reason = (F.when(F.col("_seen"), "seen_url")
                .when(~F.coalesce(F.col("has_page"), F.lit(False)), "no_page")
-               .when(F.col("_k"), "kept")
+               .when(F.col("_k"), F.when(F.col("_an"), "kept").otherwise("annotation_failed"))
                .when(F.col("_ht") | F.col("t_block").isNotNull(), "dup_title")
                .otherwise("near_dup"))
     blocker = (F.when((reason == "dup_title") & ~F.coalesce(F.col("_ht"), F.lit(False)), F.col("t_block"))
