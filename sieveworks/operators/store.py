@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.lists import path_exists
-from .versions import current_version, read_version, write_version
+from .versions import current_version, read_version, version_mark, write_version
 
 ARTICLE_COLUMNS = ["url", "title", "author", "published_at", "summary", "content", "category", "relevance_score",
                    "tags", "takeaways", "first_seen", "last_included", "source_url", "minhash"]
@@ -107,24 +107,46 @@ HISTORY_SCHEMA = ("url string, title string, author string, published_at string,
 INDEX_SCHEMA = "run_date string, generated_at string, source_urls array<string>, count bigint, filename string, overview string"
 
 
-def publish_run(spark, base: str, selected: DataFrame, run_date: str, generated_at: str, source_urls: list[str], overview: str | None = None) -> None:
+def publish_run(spark, base: str, selected: DataFrame, run_date: str, generated_at: str, source_urls: list[str] | DataFrame, overview: str | None = None,
+                mark: str | None = None) -> None:
     """Write one run: its daily rows, the history with them and the run's index row, under ``base``.
 
     The daily partition of the date is replaced. History and index become new
     versions of those read here, so of two runs at once one is refused. The
     index keeps one row a date, with the old overview if the run has none.
-    History is committed before the index: a run that dies in between is
-    repeated without harm, as every step gives the same again.
+    ``source_urls``: a list, or a table with the column source_input.
+    History is committed before the index. A run that dies in between may be
+    repeated with the same rows, as every step gives the same again. Where the
+    rows would be chosen anew, give a ``mark``: if the history holds it (see
+    ``published``), only ``publish_index`` is left to do.
     """
-    history, index = f"{base}/history", f"{base}/index"
-    before, runs = current_version(spark, history), current_version(spark, index)
+    marked = {} if mark is None else {"mark": mark}
+    history = f"{base}/history"
+    before = current_version(spark, history)
     rows = cut_lineage(selected)
     write_daily(rows, run_date, f"{base}/daily")
-    write_version(upsert_history(read_version(spark, history, HISTORY_SCHEMA, before), rows, run_date), history, before)
-    run = rows.agg(F.count(F.lit(1)).alias("count")).select(
-        F.lit(run_date).alias("run_date"), F.lit(generated_at).alias("generated_at"), F.array(*[F.lit(u) for u in source_urls]).cast("array<string>").alias("source_urls"),
-        "count", F.lit(f"{run_date}.json").alias("filename"), F.lit(overview).cast("string").alias("overview"))
-    write_version(upsert_index(read_version(spark, index, INDEX_SCHEMA, runs), run), index, runs)
+    write_version(upsert_history(read_version(spark, history, HISTORY_SCHEMA, before), rows, run_date), history, before, **marked)
+    publish_index(spark, base, rows, run_date, generated_at, source_urls, overview, mark)
+
+
+def published(spark, base: str, table: str, mark: str) -> bool:
+    """Whether ``history`` or ``index`` holds the run of this mark; marks ascend in the order of the runs."""
+    return mark <= version_mark(spark, f"{base}/{table}")
+
+
+def publish_index(spark, base: str, rows: DataFrame, run_date: str, generated_at: str, source_urls: list[str] | DataFrame, overview: str | None = None,
+                  mark: str | None = None) -> None:
+    """The second half of ``publish_run``: the index row of a run whose daily ``rows`` and history are written."""
+    index = f"{base}/index"
+    marked = {} if mark is None else {"mark": mark}
+    runs = current_version(spark, index)
+    if not isinstance(source_urls, DataFrame):
+        source_urls = spark.createDataFrame([(u,) for u in source_urls], "source_input string")
+    counted = rows.select(F.lit(1).alias("n"), F.lit(None).cast("string").alias("u")).unionByName(source_urls.select(F.lit(0).alias("n"), F.col("source_input").alias("u")))
+    run = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.array_sort(F.collect_set("u")).alias("source_urls")).select(
+        F.lit(run_date).alias("run_date"), F.lit(generated_at).alias("generated_at"), "source_urls", "count",
+        F.lit(f"{run_date}.json").alias("filename"), F.lit(overview).cast("string").alias("overview"))
+    write_version(upsert_index(read_version(spark, index, INDEX_SCHEMA, runs), run), index, runs, **marked)
 
 
 def import_history(spark, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ writer says which version it has read (by default the current one when it
 starts): if another one was committed meanwhile, its commit is refused and its
 data removed. A crash before the rename leaves the old version current, and a
 reader always finds the highest committed one; nothing is ever overwritten.
+The manifest also carries a mark, the last unit of work (a stream's batch, say)
+that the version holds, so that a replay can tell what was committed already.
 Of the old versions the last ``keep`` stay, for readers that are still at them.
 
 File systems whose rename is not atomic (some object stores) need a single
@@ -40,44 +42,56 @@ def current_version(spark: SparkSession, path: str) -> int:
     return max(_commits(spark, path), default=0)
 
 
-def _folder(spark: SparkSession, path: str, number: int) -> str:
+def _manifest(spark: SparkSession, path: str, number: int) -> tuple[str, str]:
+    """(folder, mark) of a version."""
     p, fs = _fs(spark, f"{path}/_commits/{number}")
     stream = fs.open(p)
     try:
-        return stream.readUTF()
+        folder = stream.readUTF()
+        return folder, stream.readUTF() if stream.available() else ""
     finally:
         stream.close()
 
 
+def version_mark(spark: SparkSession, path: str, number: int | None = None) -> str:
+    """Mark of the current (or the given) version; empty if there is none."""
+    number = current_version(spark, path) if number is None else number
+    return _manifest(spark, path, number)[1] if number else ""
+
+
 def read_version(spark: SparkSession, path: str, schema: str, number: int | None = None) -> DataFrame:
     """The current (or the given) version of a table; an empty one if nothing was committed yet."""
     number = current_version(spark, path) if number is None else number
     if not number:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/{_folder(spark, path, number)}")
+    return spark.read.schema(schema).parquet(f"{path}/{_manifest(spark, path, number)[0]}")
+
 
+def write_version(df: DataFrame, path: str, based_on: int | None = None, keep: int = 3, mark: str | None = None) -> int:
+    """Commit ``df`` as the version after ``based_on`` and give its number; VersionConflict if that number is taken.
 
-def write_version(df: DataFrame, path: str, based_on: int | None = None, keep: int = 3) -> int:
-    """Commit ``df`` as the version after ``based_on`` and give its number; VersionConflict if that number is taken."""
+    Without a mark of its own the version keeps that of the one before.
+    """
     spark = df.sparkSession
     based_on = current_version(spark, path) if based_on is None else based_on
+    mark = version_mark(spark, path, based_on) if mark is None else mark
     folder = f"data-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{folder}")
     try:
-        commit_version(spark, path, folder, based_on + 1)
+        commit_version(spark, path, folder, based_on + 1, mark)
     except VersionConflict:
         where, fs = _fs(spark, f"{path}/{folder}")
         fs.delete(where, True)
         raise
     for old in [n for n in _commits(spark, path) if n <= based_on + 1 - keep]:
-        where, fs = _fs(spark, f"{path}/{_folder(spark, path, old)}")
+        where, fs = _fs(spark, f"{path}/{_manifest(spark, path, old)[0]}")
         manifest, _ = _fs(spark, f"{path}/_commits/{old}")
         fs.delete(manifest, False)  # first the manifest: what is listed can be read
         fs.delete(where, True)
     return based_on + 1
 
 
-def commit_version(spark: SparkSession, path: str, folder: str, number: int) -> None:
+def commit_version(spark: SparkSession, path: str, folder: str, number: int, mark: str = "") -> None:
     """Make the written ``folder`` version ``number``, or refuse."""
     jvm = spark._jvm
     draft, fs = _fs(spark, f"{path}/_drafts/{uuid.uuid4().hex}")
@@ -85,6 +99,7 @@ def commit_version(spark: SparkSession, path: str, folder: str, number: int) ->
     fs.mkdirs(final.getParent())
     stream = fs.create(draft, False)
     stream.writeUTF(folder)
+    stream.writeUTF(mark)
     stream.close()
     rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     how = spark.sparkContext._gateway.new_array(rename, 1)

@@ -739,12 +739,16 @@ def _write_lines(df: DataFrame, col: str, path: str) -> str:
     return path
 
 
-@register("src_terms", "SELECT trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), ' \t') AS term FROM conversations WHERE trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), ' \t') <> ''")
+@register("src_terms", """
+WITH t AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS pos, trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), ' \t') AS term FROM conversations WHERE text IS NOT NULL)
+SELECT pos, term FROM t WHERE term <> ''""")
 def q_src_terms(spark, d):
-    conv = table(spark, d, "conversations")
-    lines = conv.select(F.concat(F.lit("  "), F.regexp_replace("text", r"[\r\n]+", " "), F.lit(" ")).alias("v"))
-    path = _write_lines(lines.unionByName(spark.createDataFrame([("   ",)], "v string")), "v", _scratch(spark, "terms"))
-    return L.load_terms(spark, path).select("term")
+    """Terms with their line numbers over a folder of files: a blank line, then the turns in order."""
+    conv = table(spark, d, "conversations").where("text is not null").orderBy("conv_id", "turn")
+    path = _scratch(spark, "terms")
+    _write_lines(spark.createDataFrame([("   ",)], "v string"), "v", f"{path}/a")
+    _write_lines(conv.select(F.concat(F.lit("  "), F.regexp_replace("text", r"[\r\n]+", " "), F.lit(" ")).alias("v")), "v", f"{path}/b")
+    return L.load_terms(spark, f"{path}/*").select("pos", "term")
 
 
 @register("src_domains", f"SELECT DISTINCT {Q.url_host('url')} AS domain FROM pages WHERE {Q.url_host('url')} <> ''")
@@ -937,6 +941,24 @@ def q_dedup_audit(spark, d):
     return audit
 
 
+@register("stream_curate")
+def q_stream_curate(spark, d):
+    """Search responses arrive for three runs over 80 days; each is curated
+    whole (links, pages, policy, history window, dedup, annotation, top-k) and
+    published. Daily rows of all runs."""
+    from ..streaming.curated import LANDING_SCHEMA, curate_stream
+    found = landing(spark, d)
+    ends = found.agg(F.max("term_pos").alias("hi"))
+    run = F.floor(F.col("term_pos") * 3 / (F.col("hi") + 1))
+    run_date = F.date_format(F.date_sub(F.to_date(F.lit(RUN_DATE)), (40 * (2 - run)).cast("int")), "yyyy-MM-dd")
+    path, base = _scratch(spark, "responses"), _scratch(spark, "curated")
+    rows = found.crossJoin(F.broadcast(ends)).withColumn("run_date", run_date)
+    rows.select(*[c.split()[0] for c in LANDING_SCHEMA.split(", ")]).write.parquet(path)
+    params = CurateParams(run_date="", url_key="normalized", preferred_domains=PREFERRED_DOMAINS, exclude_domains=EXCLUDE_DOMAINS)
+    curate_stream(spark, path, base, page_snapshot(spark, d), _source_links(spark, d), word_scorer, params, editor)
+    return ST.read_daily(spark, f"{base}/daily").select("run_date", "rank", "url", "title", "relevance_score")
+
+
 # Run of a document, 0 to 3 by its id; runs are 40 days apart, so a 60-day window sees the run before and no earlier one.
 _RUN_SQL = "coalesce(floor(({x} - (SELECT min(doc_id) FROM documents)) * 4 / (SELECT max(doc_id) - min(doc_id) + 1 FROM documents)), 0)"
 

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_ws
+from ..session import cut_lineage
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file with their position (order-preserving id)."""
-    return (spark.read.text(path)
-            .select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line")))
+    """(pos, line): the lines of a text file, or of a folder's files by name, with their number from 0.
+
+    The numbers are exact and gapless, whatever the number of files and
+    splits: each split's lines are counted, a running sum over the splits in
+    order gives where each begins, and a line adds its place in its split. Only
+    the counts, one row a split, meet in one task.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = cut_lineage(spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("id"), F.col("value").alias("line")))
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))  # ids run on within a split
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = splits.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return lines.join(begins, ["file", "block"]).select((F.col("begin") + F.col("id") - F.col("first")).alias("pos"), "line")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -32,7 +43,7 @@ def load_url_list(spark: SparkSession, path: str | None, extra: list[str] | None
     """Distinct source URLs: file lines (stripped, non-blank) union extras."""
     parts = []
     if path:
-        parts.append(_lines(spark, path).select(strip_ws(F.col("line")).alias("url")).where(F.col("url") != ""))
+        parts.append(spark.read.text(path).select(strip_ws(F.col("value")).alias("url")).where(F.col("url") != ""))
     if extra:
         parts.append(spark.createDataFrame([(u,) for u in extra], "url string"))
     if not parts:
