@@ -100,8 +100,8 @@ def curate(candidates: DataFrame, pages: DataFrame, history: DataFrame, scorer,
 
     after_title = D.anti_title(recs, seen_titles, "title_key")
     after_near = cut_lineage(D.anti_neardup(after_title, seen_sigs, "url", "sig", spec).select("url", "title_key", "sig"))
-    kept_ids = D.greedy_dedup(after_near, "url", "title_key", "sig", spec)
-    kept = recs.join(kept_ids.select("url"), "url", "left_semi")
+    scan = D.ordered_scan(after_near, "url", "title_key", "sig", spec)
+    kept = recs.join(scan.kept.select(F.col("id").alias("url")), "url", "left_semi")
 
     answered = cut_lineage(annotated(kept.transform(scorer)).drop("annotation_error"))  # a scorer may cost: once a row
     articles = answered.withColumn("first_seen", F.lit(params.run_date)).withColumn(
@@ -113,29 +113,28 @@ def curate(candidates: DataFrame, pages: DataFrame, history: DataFrame, scorer,
     selected = selected.withColumn("run_date", F.lit(params.run_date)).withColumnRenamed("sig", "minhash")
 
     has_page = recs.select("url", F.lit(True).alias("has_page"))
-    passed = after_near.select("url", F.lit(True).alias("_near_ok"))
-    audit = dedup_audit(cands, seen_urls, has_page, recs, seen_titles, passed, kept_ids, spec, answered.select("url"))
+    audit = dedup_audit(cands, seen_urls, has_page, recs, seen_titles, scan, answered.select("url"))
     run_row = selected.agg(F.count(F.lit(1)).alias("count")).select(
         F.lit(params.run_date).alias("run_date"), F.col("count").cast("bigint").alias("count"),
         (F.col("count") < params.min_articles).alias("thin_run"))
     return selected, audit, run_row
 
 
-def dedup_audit(cands, seen_urls, looked, recs, seen_titles, near_ok, kept_ids, spec, answered) -> DataFrame:
+def dedup_audit(cands, seen_urls, looked, recs, seen_titles, scan: D.Scan, answered) -> DataFrame:
     """Reason per candidate: seen_url, no_page, dup_title, near_dup, kept or
-    annotation_failed (kept by dedup, but without an annotation), with the blocking row for in-run conflicts (title checked before
-    similarity, as in the ordered scan)."""
+    annotation_failed (kept by dedup, but without an annotation), with the
+    blocking row for in-run conflicts (title checked before similarity, as in
+    the ordered scan). Rows that history dropped did not enter the scan; their
+    titles are held against what it kept. Nothing is compared again."""
     seen = seen_urls.distinct().withColumn("_seen", F.lit(True))
     a = cands.select("url").join(seen, "url", "left").join(looked, "url", "left")
     hist_t = recs.join(seen_titles.select(F.col("title_key").alias("_t")).where(F.col("_t") != ""),
                        F.col("title_key") == F.col("_t"), "left_semi").select("url").withColumn("_ht", F.lit(True))
-    hist_s = recs.join(near_ok, "url", "left_anti").join(hist_t.select("url"), "url", "left_anti") \
-        .select("url").withColumn("_hs", F.lit(True))
-    kept = recs.join(kept_ids.select("url"), "url", "left_semi").select(F.col("url").alias("id"), "title_key", "sig")
-    blocks = D.blocking_rows(recs.select(F.col("url").alias("id"), "title_key", "sig"), kept, spec) \
-        .withColumnRenamed("id", "url")
-    a = (a.join(hist_t, "url", "left").join(hist_s, "url", "left").join(blocks, "url", "left")
-         .join(kept_ids.select("url").withColumn("_k", F.lit(True)), "url", "left")
+    scanned = scan.rows.select(F.col("id").alias("url"), F.lit(True).alias("_in"))
+    other = recs.select(F.col("url").alias("id"), "title_key").join(scan.rows.select("id"), "id", "left_anti")
+    blocks = D.blocking_rows(scan, other).withColumnRenamed("id", "url")
+    a = (a.join(hist_t, "url", "left").join(scanned, "url", "left").join(blocks, "url", "left")
+         .join(scan.kept.select(F.col("id").alias("url"), F.lit(True).alias("_k")), "url", "left")
          .join(answered.withColumn("_an", F.lit(True)), "url", "left"))
     reason = (F.when(F.col("_seen"), "seen_url")
                .when(~F.coalesce(F.col("has_page"), F.lit(False)), "no_page")
@@ -143,5 +142,5 @@ def dedup_audit(cands, seen_urls, looked, recs, seen_titles, near_ok, kept_ids,
                .when(F.col("_ht") | F.col("t_block").isNotNull(), "dup_title")
                .otherwise("near_dup"))
     blocker = (F.when((reason == "dup_title") & ~F.coalesce(F.col("_ht"), F.lit(False)), F.col("t_block"))
-                .when((reason == "near_dup") & ~F.coalesce(F.col("_hs"), F.lit(False)), F.col("s_block")))
+                .when((reason == "near_dup") & F.col("_in"), F.col("s_block")))
     return a.select("url", reason.alias("reason"), blocker.alias("blocked_by"))
