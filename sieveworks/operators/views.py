@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from ..functions.urls import absolute_url, form_encode
+from ..functions.urls import absolute_url, form_encode, url_host
 from .annotate import OVERVIEW_MAX_ITEMS, Answer, ask
 
 # --- fixed values that must equal the reference -----------------------------
@@ -50,27 +50,37 @@ def html_escape(c) -> F.Column:
     return x
 
 
+def percent_encode(c) -> F.Column:
+    """UTF-8 percent encoding of a URL parameter; a space is %20."""
+    return F.replace(form_encode(c), F.lit("+"), F.lit("%20"))
+
+
 def cards(daily: DataFrame, base_url: str = "") -> DataFrame:
     """Display fields for each row: title, author, summary, date + discovered
-    flag, score text and bar widths, favicon and share URLs (escaped)."""
+    flag, score text and bar widths, favicon, page and share URLs.
+
+    The score's two decimals round the binary value, a tie to even. The
+    index's bar is the score in percent within 2 to 100, the page's is whole
+    percents (a tie to even). Favicons go by host without ``www.`` (empty
+    without a host); the share URL names the run's page, empty without one.
+    """
     pub = _nz(F.col("published_at"))
     date = F.coalesce(pub, _nz(F.col("first_seen")), F.lit(NO_DATE))
     score = F.coalesce(F.col("relevance_score"), F.lit(0.0))
-    host = F.regexp_extract(F.lower(F.col("url")), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:]*)", 1)
+    host = url_host(F.col("url"))
+    page = absolute_url(F.concat(F.lit("newsletter-"), F.col("run_date").cast("string"), F.lit(".html")), F.lit(base_url))
     return daily.select(
         "run_date", "url",
         html_escape(F.coalesce(_nz(F.col("title")), F.lit(UNTITLED))).alias("title_html"),
         F.coalesce(_nz(F.col("author")), F.lit(UNKNOWN_AUTHOR)).alias("author_text"),
         F.coalesce(_nz(F.col("summary")), F.lit(NO_SUMMARY)).alias("summary_text"),
-        date.alias("date_text"), pub.isNull().alias("discovered"),
-        F.format_string("%.2f", score).alias("score_text"),
-        F.greatest(F.least(F.round(score * 100), F.lit(100.0)), F.lit(2.0)).alias("bar_index"),
-        F.round(score * 100).alias("bar_page"),
-        F.concat(F.lit("https://www.google.com/s2/favicons?domain="), host, F.lit("&sz=32")).alias("favicon"),
-        absolute_url(F.concat(F.lit("newsletter-"), F.col("run_date").cast("string"), F.lit(".html")),
-                     F.lit(base_url)).alias("page_url"),
-        F.concat(F.lit("https://www.linkedin.com/sharing/share-offsite/?url="),
-                 F.replace(form_encode(F.col("url")), F.lit("+"), F.lit("%20"))).alias("share_url"))
+        date.alias("date_text"), (pub.isNull() & _nz(F.col("first_seen")).isNotNull()).alias("discovered"),
+        F.replace(F.format_number(score, 2), F.lit(","), F.lit("")).alias("score_text"),
+        F.greatest(F.least(score * 100, F.lit(100.0)), F.lit(2.0)).alias("bar_index"),
+        F.bround(score * 100).alias("bar_page"),
+        F.when(host == "", F.lit("")).otherwise(F.concat(F.lit("https://www.google.com/s2/favicons?domain="), percent_encode(host), F.lit("&sz=32"))).alias("favicon"),
+        page.alias("page_url"),
+        F.when(page == "", F.lit("")).otherwise(F.concat(F.lit("https://www.linkedin.com/sharing/share-offsite/?url="), percent_encode(page))).alias("share_url"))
 
 
 def og_description(overview, author_name: str) -> F.Column:

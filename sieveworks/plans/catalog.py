@@ -226,6 +226,20 @@ def q_greedy_dedup(spark, d):
     return D.greedy_dedup(nodes).select(F.col("id").alias("doc_id"))
 
 
+@register("greedy_dedup_titles", f"""
+WITH RECURSIVE {Q.minhash_cte('documents', 'doc_id', 'text')},
+tk AS (SELECT doc_id AS id, {Q.norm_title("array_to_string(string_split(text, ' ')[1:2], ' ')")} AS t FROM documents),
+{_FOLD_SQL.format(agree=Q.agree('a.sig', 'b.sig')).replace("nodes AS (", "same AS (SELECT a.id AS u, b.id AS k FROM tk a JOIN tk b ON b.id < a.id AND a.t = b.t AND a.t <> ''), both_edges AS (SELECT * FROM edges UNION SELECT * FROM same), nodes AS (", 1)
+  .replace("SELECT u AS id FROM edges UNION SELECT k FROM edges", "SELECT u AS id FROM both_edges UNION SELECT k FROM both_edges").replace("FROM edges e", "FROM both_edges e")}
+SELECT id AS doc_id FROM kept""")
+def q_greedy_dedup_titles(spark, d):
+    """The ordered scan with titles: a document's title is its first two words, so titles and bodies conflict apart."""
+    docs = table(spark, d, "documents")
+    title = T.normalize_title(F.array_join(F.slice(F.split("text", " "), 1, 2), " "))
+    nodes = docs.select(F.col("doc_id").alias("id"), title.alias("title_key"), M.signature("text").alias("sig"))
+    return D.greedy_dedup(nodes).select(F.col("id").alias("doc_id"))
+
+
 # ------------------------------------------------------------ pages as records
 
 def page_records(spark, d) -> DataFrame:
@@ -606,19 +620,32 @@ def q_view_filter(spark, d):
     return V.filter_category(daily_docs(spark, d), "research").select("run_date", "doc_id")
 
 
+_SITE = "https://digest.example.org/reader/"
+
+
 @register("view_cards", f"""
-WITH {_DAILY_SQL}
-SELECT run_date, url, title AS title_html, 'Unknown author' AS author_text,
-       coalesce(nullif(summary, ''), 'No summary available.') AS summary_text, 'No date' AS date_text, true AS discovered,
-       greatest(least(round(relevance_score * 100), 100.0), 2.0) AS bar_index, round(relevance_score * 100) AS bar_page
-FROM ranked""")
+WITH {_DAILY_SQL},
+shown AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE title END AS t, relevance_score * 100 AS pct,
+                 '2024-05-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS day,
+                 'https://digest.example.org/reader/newsletter-' || run_date || '.html' AS page FROM ranked)
+SELECT run_date, url, CASE WHEN coalesce(t, '') = '' THEN 'Untitled' ELSE '&lt;b&gt;' || t || '&lt;/b&gt; &amp;amp; &quot;Q&quot; it&#39;s' END AS title_html,
+       CASE WHEN doc_id % 3 = 0 THEN 'Ann' ELSE 'Unknown author' END AS author_text,
+       coalesce(nullif(summary, ''), 'No summary available.') AS summary_text,
+       CASE doc_id % 3 WHEN 0 THEN day WHEN 1 THEN 'seen ' || day ELSE 'No date' END AS date_text, doc_id % 3 = 1 AS discovered,
+       printf('%.2f', relevance_score) AS score_text, CASE WHEN pct < 2 THEN 2.0 WHEN pct > 100 THEN 100.0 ELSE pct END AS bar_index,
+       round_even(pct, 0) AS bar_page, 'https://www.google.com/s2/favicons?domain=' || source || '.example.org&sz=32' AS favicon,
+       page AS page_url, 'https://www.linkedin.com/sharing/share-offsite/?url=' || replace(replace(page, ':', '%3A'), '/', '%2F') AS share_url
+FROM shown JOIN (SELECT doc_id, source FROM documents) USING (doc_id)""")
 def q_view_cards(spark, d):
-    daily = daily_docs(spark, d)
-    for c in ("author", "published_at", "first_seen"):
-        daily = daily.withColumn(c, F.lit(None).cast("string"))
-    c = V.cards(daily)
-    return c.select("run_date", "url", "title_html", "author_text", "summary_text", "date_text", "discovered",
-                    "bar_index", "bar_page")
+    """Cards of the daily rows; titles with all special characters or none at all, some rows with author and dates."""
+    id3, id4 = F.col("doc_id") % 3, F.col("doc_id") % 4
+    day = F.concat(F.lit("2024-05-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    daily = (daily_docs(spark, d)
+             .withColumn("title", F.when(id4 == 1, "").when(id4 > 1, F.concat(F.lit("<b>"), "title", F.lit("</b> &amp; \"Q\" it's"))))
+             .withColumn("author", F.when(id3 == 0, "Ann").when(id3 == 1, ""))
+             .withColumn("published_at", F.when(id3 == 0, day).when(id3 == 1, ""))
+             .withColumn("first_seen", F.when(id3 == 1, F.concat(F.lit("seen "), day))))
+    return V.cards(daily, _SITE)
 
 
 @register("digest_overview_input", f"""
@@ -699,27 +726,82 @@ def q_run_quality(spark, d):
         .withColumn("thin_run", F.col("selected") < 3)
 
 
-@register("digest_text")
+@register("digest_text", f"""
+WITH {_DAILY_SQL},
+line AS (SELECT run_date, rank, '• ' || title || chr(10) || '  ' || url || CASE WHEN {Q.strip_ws("coalesce(summary, '')")} <> '' THEN chr(10) || '  ' || {Q.strip_ws("summary")} ELSE '' END || chr(10) AS item
+         FROM ranked WHERE rank <= 10)
+SELECT run_date, 'Daily Digest — ' || run_date || chr(10) || count(*) || CASE WHEN count(*) = 1 THEN ' article' ELSE ' articles' END || chr(10) || chr(10) ||
+       CASE WHEN right(run_date, 1) IN ('1', '3', '5', '7', '9') THEN 'Overview of ' || run_date || chr(10) || chr(10) ELSE '' END || string_agg(item, chr(10) ORDER BY rank) AS text
+FROM line GROUP BY run_date""")
 def q_digest_text(spark, d):
+    """Text digests of the runs; those of odd days have an overview."""
     daily = daily_docs(spark, d).where(F.col("rank") <= 10)
-    ov = daily.select("run_date").distinct().withColumn("overview", F.concat(F.lit("Overview of "), "run_date"))
+    ov = daily.select("run_date").distinct().withColumn("overview", F.when(F.right("run_date", F.lit(1)).cast("int") % 2 == 1, F.concat(F.lit("Overview of "), "run_date")))
     return V.digest_text(daily, ov, "Daily Digest")
 
 
-@register("emit_json")
+_PUBLIC_SQL = f"""
+{_DAILY_SQL},
+pub AS (SELECT r.run_date, r.url, r.title, NULL::VARCHAR AS author, NULL::VARCHAR AS published_at, r.summary, r.category, r.relevance_score,
+               CASE WHEN is_json THEN coalesce(a.tags, []) ELSE [] END AS tags, CASE WHEN is_json THEN coalesce(a.takeaways, []) ELSE [] END AS takeaways
+        FROM ranked r JOIN parsed p USING (doc_id))"""
+
+
+def _json_sql(struct: str) -> str:
+    """JSON text with the scores below 0.001 written as the JVM writes them (2.5E-4)."""
+    out = f"to_json({struct})::VARCHAR"
+    for small, form in ((r"0\.000([1-9]),", r"\1.0E-4,"), (r"0\.000([1-9])([0-9]+),", r"\1.\2E-4,"), (r"([1-9])e-0?5,", r"\1.0E-5,")):
+        out = f"regexp_replace({out}, '\"relevance_score\":{small}', '\"relevance_score\":{form}')"
+    return out
+
+
+_RECORD = ("{'url': url, 'title': title, 'author': author, 'published_at': published_at, 'summary': summary, 'content': NULL::VARCHAR, 'category': category, "
+           "'relevance_score': relevance_score, 'tags': tags, 'takeaways': takeaways, 'first_seen': NULL::VARCHAR, 'last_included': NULL::VARCHAR, "
+           "'source_url': NULL::VARCHAR, 'minhash': NULL::BIGINT[]}")
+
+
+@register("emit_json", f"WITH {_PUBLIC_SQL} SELECT url, {_json_sql(_RECORD)} AS json FROM pub")
 def q_emit_json(spark, d):
+    """Each daily row as one JSON object with all columns of a record, in order, nulls kept."""
     return ST.emit_json(ST.record_defaults(daily_docs(spark, d).drop("rank")))
 
 
-@register("record_defaults")
-def q_record_defaults(spark, d):
-    raw = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("content"))
-    r = ST.record_defaults(raw)
-    return r.select("url", "category", "relevance_score", F.size("tags").alias("n_tags"), F.size("takeaways").alias("n_takeaways"))
+_DEFAULTS_SQL = """
+SELECT 'absent' AS kind, doc_id::VARCHAR AS url, NULL::VARCHAR AS title, NULL::VARCHAR AS author, NULL::VARCHAR AS published_at, NULL::VARCHAR AS summary, text AS content,
+       'other' AS category, 0.0::DOUBLE AS relevance_score, '' AS tags, '' AS takeaways, NULL::VARCHAR AS first_seen, NULL::VARCHAR AS last_included,
+       NULL::VARCHAR AS source_url, NULL::VARCHAR AS minhash FROM documents
+UNION ALL SELECT 'given', doc_id::VARCHAR, 't' || doc_id, source, lang, NULL, text, CASE WHEN doc_id % 3 > 0 THEN 'news' END, CASE WHEN doc_id % 3 > 0 THEN n_chars / 10.0 END,
+       CASE WHEN doc_id % 3 = 1 THEN lang WHEN doc_id % 3 = 2 THEN '' END, CASE WHEN doc_id % 3 = 1 THEN coalesce(source, '-') ELSE '' END,
+       'f', 'l', source, n_chars || ',' || doc_id FROM documents"""
 
 
-@register("publish_report")
+@register("record_defaults", _DEFAULTS_SQL)
+def q_record_defaults(spark, d):
+    """Records that lack most columns, and records that have all, some of them null or empty."""
+    docs, none = table(spark, d, "documents"), F.lit(None).cast("string")
+    absent = docs.select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("content"))
+    k, empty = F.col("doc_id") % 3, F.array().cast("array<string>")
+    given = docs.select(F.col("doc_id").cast("string").alias("url"), F.concat(F.lit("t"), "doc_id").alias("title"), F.col("source").alias("author"),
+                        F.col("lang").alias("published_at"), none.alias("summary"), F.col("text").alias("content"), F.when(k > 0, "news").alias("category"),
+                        F.when(k > 0, F.col("n_chars") / 10).alias("relevance_score"), F.when(k == 1, F.array("lang")).when(k == 2, empty).alias("tags"),
+                        F.when(k == 1, F.array(F.coalesce("source", F.lit("-")))).when(k == 2, empty).alias("takeaways"), F.lit("f").alias("first_seen"),
+                        F.lit("l").alias("last_included"), F.col("source").alias("source_url"), F.array(F.col("n_chars").cast("long"), "doc_id").alias("minhash"))
+
+    def shown(df, kind):
+        flat = {c: F.array_join(c, ",").alias(c) for c in ("tags", "takeaways", "minhash")}
+        return ST.record_defaults(df).select(F.lit(kind).alias("kind"), *[flat.get(c, F.col(c)) for c in ST.ARTICLE_COLUMNS])
+    return shown(absent, "absent").unionByName(shown(given, "given"))
+
+
+@register("publish_report", f"""
+WITH {_PUBLIC_SQL}, {_INDEX_SQL},
+sized AS (SELECT 'daily' AS artefact, {_json_sql("{'url': url, 'title': title, 'summary': summary, 'category': category, 'relevance_score': relevance_score, 'tags': tags, 'takeaways': takeaways}")} AS j,
+                 CASE WHEN summary IS NULL THEN length(',"summary":null') ELSE 0 END AS less FROM pub
+          UNION ALL SELECT 'index', to_json({{'run_date': run_date, 'generated_at': run_date || 'T00:00:00Z', 'source_urls': [sources], 'count': count,
+                 'filename': 'newsletter-' || run_date || '.html', 'overview': overview}})::VARCHAR, CASE WHEN overview IS NULL THEN length(',"overview":null') ELSE 0 END FROM idx)
+SELECT artefact, count(*) AS rows, round(sum(strlen(j) - less) / 1024.0, 3) AS kb FROM sized GROUP BY artefact""")
 def q_publish_report(spark, d):
+    """Rows and size of what would be published: null fields are left out."""
     daily = ST.public_view(ST.record_defaults(daily_docs(spark, d).drop("rank")))
     return ST.publish_report(daily, _index(spark, d))
 
@@ -893,9 +975,33 @@ def q_daily_by_date(spark, d):
     return ST.read_daily(spark, path, RUN_DATE).select("url", "relevance_score")
 
 
-@register("publish_public")
+@register("publish_public", f"""
+WITH {_PUBLIC_SQL}
+SELECT url, title, author, published_at, summary, category, relevance_score, array_to_string(tags, '|') AS tags, array_to_string(takeaways, '|') AS takeaways,
+       NULL::VARCHAR AS first_seen, NULL::VARCHAR AS last_included, NULL::VARCHAR AS source_url FROM pub""")
 def q_publish_public(spark, d):
-    return ST.public_view(ST.record_defaults(daily_docs(spark, d).drop("rank")))
+    """The columns that are published: all of a record but its content and signature."""
+    out = ST.public_view(ST.record_defaults(daily_docs(spark, d).drop("rank")))
+    return out.withColumn("tags", F.array_join("tags", "|")).withColumn("takeaways", F.array_join("takeaways", "|"))
+
+
+@register("publish_export", f"""
+WITH {_PUBLIC_SQL}, {_INDEX_SQL}
+SELECT 'daily' AS artefact, run_date, url AS key, category AS value, relevance_score AS number, false AS leaks FROM pub
+UNION ALL SELECT 'index', run_date, 'newsletter-' || run_date || '.html', overview, count::DOUBLE, false FROM idx""")
+def q_publish_export(spark, d):
+    """The export written as JSON lines and read back without a schema: daily rows a run, and the index; whether text or signatures leak."""
+    path = _scratch(spark, "export")
+    daily = ST.record_defaults(daily_docs(spark, d).drop("rank").withColumn("content", F.col("summary"))).drop("first_seen")
+    runs = daily_docs(spark, d).select("url", "run_date")
+    ST.publish_export(daily.join(runs, "url"), _index(spark, d), path)
+    out = spark.read.json(f"{path}/daily")
+    leaks = F.lit(bool({"content", "minhash"} & set(out.columns)))
+    out = out.select(F.lit("daily").alias("artefact"), F.col("run_date").cast("string").alias("run_date"), F.col("url").alias("key"), F.col("category").alias("value"),
+                     F.col("relevance_score").cast("double").alias("number"), leaks.alias("leaks"))
+    idx = spark.read.json(f"{path}/index").select(F.lit("index").alias("artefact"), "run_date", F.col("filename").alias("key"), F.col("overview").alias("value"),
+                                                  F.col("count").cast("double").alias("number"), F.lit(False).alias("leaks"))
+    return out.unionByName(idx)
 
 
 # ------------------------------------------------------------- the curation run
@@ -928,14 +1034,62 @@ def run_pipeline(spark, d):
     return curate(cands, page_snapshot(spark, d), page_history(spark, d), word_scorer, params)
 
 
-@register("curate")
+def _excluded_sql(url: str) -> str:
+    return _pref_sql(Q.url_host(url), EXCLUDE_DOMAINS)
+
+
+_HIST_TITLES = f"(SELECT {Q.norm_title('title')} FROM win WHERE title <> '')"
+_CURATE_SQL = f"""
+WITH RECURSIVE {_CAND_SQL},
+allowed AS (SELECT DISTINCT {Q.norm_url('url')} AS url FROM cand WHERE kind = 0 OR NOT {_excluded_sql('url')}),
+hp AS (SELECT page_id, {Q.norm_url('url')} AS url, coalesce({Q.title_tag('html')}, url) AS title, {Q.article_content('html')} AS content,
+              strftime(DATE '{RUN_DATE}' - CAST(page_id % 90 AS INTEGER), '%Y-%m-%d') AS last_included FROM {_HIST_PAGES} h),
+win AS (SELECT * FROM hp WHERE last_included >= strftime(DATE '{RUN_DATE}' - {DEDUP_DAYS}, '%Y-%m-%d')),
+fresh AS (SELECT url FROM allowed WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM win WHERE url IS NOT NULL)),
+snap AS (SELECT {Q.norm_url('url')} AS u, html, row_number() OVER (PARTITION BY {Q.norm_url('url')} ORDER BY page_id) AS w FROM pages WHERE coalesce(html, '') <> ''),
+recs AS (SELECT f.url, coalesce({Q.title_tag('html')}, f.url) AS title, {Q.article_content('html')} AS content
+         FROM fresh f JOIN snap ON snap.u = {_canon_sql('f.url')} AND w = 1),
+tit AS (SELECT *, {Q.norm_title('title')} AS tk FROM recs),
+{Q.minhash_cte('win', 'page_id', 'content', 'hsig')},
+{Q.minhash_cte('tit', 'url', 'content', 'rsig')},
+aft AS (SELECT url, tk, sig FROM tit LEFT JOIN rsig ON rsig.id = tit.url
+        WHERE (tk = '' OR tk NOT IN {_HIST_TITLES}) AND url NOT IN (SELECT rsig.id FROM rsig, hsig WHERE {Q.agree('rsig.sig', 'hsig.sig')} >= 64)),
+near AS (SELECT a.url AS u, b.url AS k FROM aft a JOIN aft b ON b.url < a.url AND {Q.agree('a.sig', 'b.sig')} >= 64),
+edges AS (SELECT u, k FROM near UNION SELECT a.url, b.url FROM aft a JOIN aft b ON b.url < a.url AND a.tk = b.tk AND a.tk <> ''),
+nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM (SELECT u AS id FROM edges UNION SELECT k FROM edges)),
+fold(rn, kept) AS (
+  SELECT 0::BIGINT, []::VARCHAR[]
+  UNION ALL
+  SELECT f.rn + 1, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.u = c.id AND list_contains(f.kept, e.k)) THEN f.kept ELSE list_append(f.kept, c.id) END
+  FROM fold f JOIN nodes c ON c.rn = f.rn + 1),
+kept AS (SELECT unnest(kept) AS id FROM fold WHERE rn = (SELECT max(rn) FROM fold)
+         UNION ALL SELECT url FROM aft WHERE url NOT IN (SELECT id FROM nodes))"""
+
+
+@register("curate", f"""{_CURATE_SQL},
+scored AS (SELECT url, title, {Q.url_host('url')} AS host, round(least(1.0, (CASE WHEN content = '' THEN 0 ELSE len(string_split(content, ' ')) END) / 400.0), 6) AS relevance_score
+           FROM recs WHERE url IN (SELECT id FROM kept)),
+eff AS (SELECT *, CASE WHEN {_pref_sql('host', PREFERRED_DOMAINS)} THEN relevance_score * 1.3 ELSE relevance_score END AS eff_score FROM scored WHERE relevance_score > 0),
+h AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY eff_score DESC, url) AS hr FROM eff),
+o AS (SELECT *, hr > 2 AS overflow, row_number() OVER (ORDER BY hr > 2, eff_score DESC, url) AS rank FROM h)
+SELECT rank, url, title, host, relevance_score, round(eff_score, 6) AS eff_score, overflow FROM o WHERE rank <= 10""")
 def q_pipeline(spark, d):
     selected, _, _ = run_pipeline(spark, d)
     return selected.select("rank", "url", "title", "host", "relevance_score", F.round("eff_score", 6).alias("eff_score"),
                            "overflow")
 
 
-@register("dedup_audit")
+@register("dedup_audit", f"""{_CURATE_SQL},
+by_title AS (SELECT t.url AS u, min(k.url) AS k FROM tit t JOIN tit k ON k.tk = t.tk AND k.url < t.url WHERE t.tk <> '' AND k.url IN (SELECT id FROM kept) GROUP BY t.url),
+by_body AS (SELECT u, min(k) AS k FROM near WHERE k IN (SELECT id FROM kept) GROUP BY u),
+why AS (SELECT a.url, t.k AS tb, b.k AS sb, CASE
+          WHEN a.url IN (SELECT url FROM win WHERE url IS NOT NULL) THEN 'seen_url'
+          WHEN a.url NOT IN (SELECT url FROM tit) THEN 'no_page'
+          WHEN a.url IN (SELECT id FROM kept) THEN 'kept'
+          WHEN x.tk <> '' AND x.tk IN {_HIST_TITLES} THEN 'dup_title of history'
+          WHEN t.k IS NOT NULL THEN 'dup_title' ELSE 'near_dup' END AS reason
+        FROM allowed a LEFT JOIN tit x ON x.url = a.url LEFT JOIN by_title t ON t.u = a.url LEFT JOIN by_body b ON b.u = a.url WHERE a.url IS NOT NULL)
+SELECT url, replace(reason, ' of history', '') AS reason, CASE reason WHEN 'dup_title' THEN tb WHEN 'near_dup' THEN sb END AS blocked_by FROM why""")
 def q_dedup_audit(spark, d):
     _, audit, _ = run_pipeline(spark, d)
     return audit
@@ -988,14 +1142,43 @@ def q_hist_window(spark, d):
     return D.hist_window(hist_docs(spark, d), RUN_DATE, DEDUP_DAYS).select("doc_id", "last_included")
 
 
-@register("harvest_links")
+# Anchors given to each source page beside those it has: every form of reference, hints in paths and in texts, what is left out.
+_ANCHORS = [
+    ("/blog/{id}?b=2&utm_source=x&a=1#top", "x"), ("post-{id}/../note-{id}", "y"), ("./papers/{id}/", "z"), ("//www.elsewhere.example/news/1", "read this article"),
+    ("mailto:post@example.org", "post"), ("ftp://example.org/paper", "paper"), ("?q={id}", " Read the whole story "), ("#post", "read"), ("", "read the article"),
+    ("/plain/{id}", "short read"), ("/plain/{id}", "a longer read"), ("/Research/{id}", "in upper case"), ("/blog/{id}?a=1&b=2", "again"),
+]
+
+
+def _harvest_sql() -> str:
+    nav = "".join(f'<a href="{h}">{t}</a>' for h, t in _ANCHORS)
+    s = Q.url_split("url")
+    path, href = s["path"], "href"
+    joined = (f"CASE WHEN {href} = '' THEN url WHEN regexp_matches({href}, '^[a-z]+:') THEN {href} WHEN starts_with({href}, '//') THEN scheme || ':' || {href} "
+              f"WHEN starts_with({href}, '/') THEN origin || {href} WHEN {href}[1] = '?' THEN origin || path || {href} "
+              f"WHEN {href}[1] = '#' THEN origin || path || query || {href} ELSE origin || regexp_replace(path, '[^/]*$', '') || {href} END")
+    undotted = "regexp_replace(regexp_replace(j, '/[^/]+/\\.\\./', '/', 'g'), '/\\./', '/', 'g')"
+    low = "lower(regexp_extract(link, '^[a-z]+://[^/]*([^?#]*)', 1))"
+    return f"""
+WITH p AS (SELECT page_id, url, {s['scheme']} AS scheme, {s['scheme']} || '://' || {s['netloc']} AS origin, CASE WHEN {path} = '' THEN '/' ELSE {path} END AS path,
+                  CASE WHEN contains(url, '?') THEN regexp_extract(url, '\\?[^#]*') ELSE '' END AS query,
+                  html || replace({Q.q(nav)}, '{{id}}', page_id::VARCHAR) AS html FROM pages WHERE NOT contains(html, 'article:published_time')),
+a AS (SELECT *, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS el FROM p),
+r AS (SELECT *, regexp_extract(el, 'href="([^"]*)"', 1) AS href, regexp_extract(el, '>([^<]*)<', 1) AS txt FROM a),
+j AS (SELECT *, {joined} AS j FROM r WHERE NOT starts_with(href, 'mailto:')),
+n AS (SELECT *, {Q.norm_url(undotted)} AS link FROM j)
+SELECT DISTINCT page_id, link FROM n
+WHERE regexp_matches(link, '^https?://') AND link <> url AND (starts_with(link, url) OR regexp_extract(link, '^[a-z]+://([^/?#]*)', 1) = {s['netloc']})
+  AND (regexp_matches({low}, 'article|blog|post|paper|research|news|note') OR (length(trim(txt)) > 12 AND regexp_matches(lower(txt), 'read|article|post')))"""
+
+
+@register("harvest_links", _harvest_sql())
 def q_harvest_links(spark, d):
-    """Index pages (the test pages with <article> renamed) -> harvested links;
-    hint words chosen to occur in the test paths."""
-    p = table(spark, d, "pages").select("page_id", "url", F.replace(F.replace("html", F.lit("<article"), F.lit("<div")),
-                                                                     F.lit("</article"), F.lit("</div")).alias("html"))
-    links = p.select("page_id", F.explode(H.article_links(F.col("url"), F.col("html"), ["the", "de", "in"])).alias("link"))
-    return links
+    """Index pages (the test pages with <article> renamed, and more anchors) -> harvested links by the fixed hint words."""
+    nav = F.replace(F.lit("".join(f'<a href="{h}">{t}</a>' for h, t in _ANCHORS)), F.lit("{id}"), F.col("page_id").cast("string"))
+    html = F.concat(F.replace(F.replace("html", F.lit("<article"), F.lit("<div")), F.lit("</article"), F.lit("</div")), nav)
+    p = table(spark, d, "pages").select("page_id", "url", html.alias("html"))
+    return p.select("page_id", F.explode(H.article_links(F.col("url"), F.col("html"))).alias("link"))
 
 
 _META_VARIANTS = [
