@@ -20,6 +20,7 @@ from ..functions import urls as U
 from ..operators import dedup as D
 from ..operators import annotate as A
 from ..operators import candidates as C
+from ..operators import pages as PG
 from ..operators import policy as P
 from ..operators import store as ST
 from ..operators import views as V
@@ -901,6 +902,19 @@ def q_page_lookup(spark, d):
     return page_lookup(wanted, pages).select("url", F.md5("html").alias("page"))
 
 
+@register("page_table", f"""
+WITH k AS (SELECT page_id, {Q.norm_url('url')} AS u, html FROM pages),
+w AS (SELECT DISTINCT {Q.norm_url('url')} AS u FROM {_NEW_PAGES} n),
+one AS (SELECT u, min(page_id) AS page_id FROM k WHERE coalesce(html, '') <> '' AND u IN (SELECT u FROM w) GROUP BY u)
+SELECT one.u AS url, md5(k.html) AS page FROM one JOIN k USING (page_id)""")
+def q_page_table(spark, d):
+    """All snapshots published for lookups; the pages of today's URLs read from the table."""
+    pages = PG.publish_pages(page_snapshot(spark, d), _scratch(spark, "pages"), parts=64)
+    _, new = split_pages(spark, d)
+    wanted = new.select(U.normalize_url("url").alias("url")).distinct().withColumn("_page_url", F.col("url"))
+    return page_lookup(wanted, pages).select("url", F.md5("html").alias("page"))
+
+
 def _history_documents(articles: DataFrame) -> DataFrame:
     """Maps of articles (url, title, takeaways), one per JSON document; the importer reads all documents of the folder.
 

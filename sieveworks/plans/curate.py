@@ -25,6 +25,7 @@ from ..functions.urls import canon_fetch_url, normalize_url, url_host
 from ..operators import dedup as D
 from ..operators import policy as P
 from ..operators.annotate import annotated
+from ..operators.pages import PageTable
 from ..operators.rank import select_top
 from ..session import cut_lineage
 
@@ -49,24 +50,28 @@ def _key(c, mode: str):
     return normalize_url(c) if mode == "normalized" else c
 
 
-def page_lookup(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+def page_lookup(wanted: DataFrame, pages: DataFrame | PageTable) -> DataFrame:
     """``wanted`` (with _page_url) with the html of its page; rows whose page is missing or empty go.
 
-    The page is picked by key before any html moves: pages that nobody wants
-    are filtered by the join with the wanted keys, and of several snapshots of
-    one URL the smallest page_id counts.
+    Of several snapshots of one URL the smallest page_id counts. A published
+    ``PageTable`` is asked for the wanted pages alone. Any other frame of
+    snapshots (url, page_id, html) is scanned, as its html has to be seen to
+    know that it is not empty; pages that nobody wants are filtered by the
+    join with the wanted keys before html is shuffled.
     """
+    if isinstance(pages, PageTable):
+        return wanted.join(pages.lookup(wanted), "_page_url").drop("_page_url")
     keys = wanted.select("_page_url").distinct()
     snap = pages.select(F.col("url").alias("_page_url"), "page_id", "html").where(F.coalesce("html", F.lit("")) != "").join(keys, "_page_url", "left_semi")
     one = snap.groupBy("_page_url").agg(F.min_by("html", "page_id").alias("html"))
     return wanted.join(one, "_page_url").drop("_page_url")
 
 
-def curate(candidates: DataFrame, pages: DataFrame, history: DataFrame, scorer, params: CurateParams):
+def curate(candidates: DataFrame, pages: DataFrame | PageTable, history: DataFrame, scorer, params: CurateParams):
     """Returns (selected, audit, run_row).
 
     candidates: (url, provenance, kind, src, pos), see operators.candidates;
-    pages: (url, html); history: article rows; scorer: DataFrame -> DataFrame
+    pages: (url, page_id, html) or a published page table; history: article rows; scorer: DataFrame -> DataFrame
     adding summary/category/relevance_score/tags/takeaways (rows it drops
     count as failed annotations). No candidate at all is an error.
     """
