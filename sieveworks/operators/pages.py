@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 LITERAL_KEYS = 2000  # wanted URLs that are collected, after they are counted, to become filters of the scan
+ROW_GROUP_URLS = 5000  # URLs of a row group that its Bloom filter is laid out for (6 KB; without a number each takes 1 MB)
 SCHEMA = "url string, page_id bigint, html string, part int"
 
 
@@ -28,7 +29,8 @@ def publish_pages(pages: DataFrame, path: str, parts: int = 1024, row_group_byte
     holds some hundred MB. Rows are dealt by ranges of (part, url, page_id), so a URL with many snapshots is split."""
     rows = pages.where("url is not null and coalesce(html, '') <> ''").select("url", F.col("page_id").cast("bigint").alias("page_id"), "html", _part("url", parts).alias("part"))
     (rows.repartitionByRange("part", "url", "page_id").sortWithinPartitions("part", "url", "page_id")
-     .write.option("parquet.bloom.filter.enabled#url", "true").option("parquet.block.size", row_group_bytes).partitionBy("part").parquet(path))
+     .write.option("parquet.bloom.filter.enabled#url", "true").option("parquet.bloom.filter.expected.ndv#url", ROW_GROUP_URLS)
+     .option("parquet.block.size", row_group_bytes).partitionBy("part").parquet(path))
     return PageTable(pages.sparkSession, path, parts)
 
 
