@@ -62,3 +62,34 @@ def test_signature_kernel_matches_big_ints():
 def test_band_layout_is_exact():
     bands = M.band_layout(0.5, 128)
     assert sum(w for _, w in bands) == 128 and len(bands) == 65
+
+
+def test_kernels_equal_the_definition_on_any_text(monkeypatch):
+    """Grams of one to four bytes a character, alphabets of over 128, texts around 9 characters and beyond a slab."""
+    import hashlib
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    alphabets = ["abc def", "\u00e4\u00f6\u00fc xyz", "\u65e5\u672c \u8a9e", "\U0001f600\U0001f601ab \u00e9", "".join(chr(i) for i in range(0x4E00, 0x4F00))]
+    texts = [None, "", "a", "\u00e9", "12345678", "123456789", "1234567890", "x" * 3000]
+    texts += ["".join(rng.choice(a) for _ in range(rng.randrange(1, top))) for a in alphabets for top in (12, 60, 2000)]
+    coeffs = M.coefficient_table()
+    for slab in (M._SLAB, 70):
+        monkeypatch.setattr(M, "_SLAB", slab)
+        for text, got in zip(texts, M.signatures_of(texts), strict=True):
+            if not text:
+                assert got is None
+                continue
+            base = np.array([int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "big") for g in M.shingle_set(text)], dtype=np.uint32)
+            assert got.tolist() == (coeffs[:, :1] * base + coeffs[:, 1:]).min(axis=1).tolist()
+    assert [M.n_shingles_of(t) for t in texts] == [len(M.shingle_set(t or "")) for t in texts]
+
+
+def test_shingles_are_counted_by_the_kernel(spark):
+    """The counter is the Arrow kernel: no array of strings a text is built in the row."""
+    df = spark.createDataFrame([(None,), ("",), ("  A  b ",), ("abcdefghij" * 50,)], "text string")
+    out = df.select(M.distinct_shingles("text").alias("k"))
+    assert [r.k for r in out.collect()] == [0, 0, 1, 10]
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
