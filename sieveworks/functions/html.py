@@ -9,13 +9,14 @@ page and every selector list is resolved with ``filter``/``element_at``.
 from __future__ import annotations
 
 import json
+from functools import reduce
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import collapse_ws, strip_ws
-from .urls import ARTICLE_PATH_HINTS, let, normalize_url, resolve_url, slug_title, url_parts
+from .urls import ARTICLE_PATH_HINTS, let, normalize_url, resolved, slug_title, url_parts
 
 # --- fixed values that must equal the reference -----------------------------
 # Meta selectors for the title, in priority order: (attribute, value).
@@ -80,10 +81,12 @@ def _character(m: Column) -> Column:
 
 def decode_entities(c) -> Column:
     """Character references decoded in one pass from left to right, so what one yields is not decoded again."""
-    x = _col(c)
-    between, found = F.split(x, _REFERENCE, -1), F.regexp_extract_all(x, F.lit(_REFERENCE), F.lit(0))
-    joined = F.array_join(F.zip_with(between, F.transform(found, _character), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(x.contains("&"), joined).otherwise(x)
+    def body(x):
+        between, found = F.split(x, _REFERENCE, -1), F.regexp_extract_all(x, F.lit(_REFERENCE), F.lit(0))
+        joined = F.array_join(F.zip_with(between, F.transform(found, _character), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(x.contains("&"), joined).otherwise(x)
+
+    return let(_col(c), body)
 
 
 def strip_markup(c) -> Column:
@@ -106,11 +109,12 @@ def element_text_nosep(inner_html) -> Column:
 def _attr(tag: Column, name: str, decode: bool = True) -> Column:
     """Attribute value in a start tag (double, single or no quotes); null if absent."""
     rx = r"(?is)^<[a-z0-9]+\b(?:[^>]*?[\s\"'/])?" + name + r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
-    raw = F.regexp_extract(tag, rx, 1)
-    quoted = raw.startswith('"') | raw.startswith("'")
-    val = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    val = decode_entities(val) if decode else val
-    return F.when(raw != "", val)
+    def value(raw):
+        quoted = raw.startswith('"') | raw.startswith("'")
+        val = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+        return F.when(raw != "", decode_entities(val) if decode else val)
+
+    return let(F.regexp_extract(tag, rx, 1), value)
 
 
 def meta_tags(html) -> Column:
@@ -304,31 +308,35 @@ def looks_like_article_link(href_norm: Column, anchor_text: Column, source_url:
                             hints=ARTICLE_PATH_HINTS) -> Column:
     """Same host (or under the source URL) and a hint in the path, or anchor
     text > 12 chars mentioning read/article/post."""
-    same = href_norm.startswith(source_url) | (
-        url_parts(href_norm)["netloc"] == url_parts(source_url)["netloc"])
-    path = F.lower(url_parts(href_norm)["path"])
-    hint = F.lit(False)
-    for h in hints:
-        hint = hint | path.contains(h)
-    a = F.lower(strip_ws(F.coalesce(anchor_text, F.lit(""))))
-    txt = (F.length(a) > 12) & (a.contains("read") | a.contains("article") | a.contains("post"))
-    return same & (hint | txt)
+    return let(F.struct(url_parts(href_norm).alias("link"), url_parts(source_url).alias("page")), lambda p: _article_like(
+        href_norm, p["link"], anchor_text, source_url, p["page"], hints))
+
+
+def _article_like(href: Column, link: Column, anchor_text: Column, source_url: Column, page: Column, hints) -> Column:
+    """The same with the ``url_parts`` of both URLs."""
+    same = href.startswith(source_url) | (link["netloc"] == page["netloc"])
+    hint = let(F.lower(link["path"]), lambda path: reduce(lambda x, h: x | path.contains(h), hints, F.lit(False)))
+    text = let(F.lower(strip_ws(F.coalesce(anchor_text, F.lit("")))), lambda a: (
+        (F.length(a) > 12) & (a.contains("read") | a.contains("article") | a.contains("post"))))
+    return same & (hint | text)
 
 
 def article_links(source_url, html, hints=ARTICLE_PATH_HINTS) -> Column:
     """Distinct harvested article links of one source page (empty if the page
     is itself an article page; the caller falls back to the source)."""
     src = _col(source_url)
-    links = F.transform(anchors(html), lambda a: F.struct(
-        a["href"].alias("raw"), normalize_url(resolve_url(a["href"], src)).alias("href"), a["text"].alias("text")))
-    keep = F.filter(links, lambda a: a["raw"].isNotNull() & ~a["raw"].startswith("mailto:")
-                    & a["href"].isNotNull()
-                    & url_parts(a["href"])["scheme"].isin("http", "https")
-                    & (a["href"] != src)
-                    & looks_like_article_link(a["href"], a["text"], src, hints))
-    out = F.array_distinct(F.transform(keep, lambda a: a["href"]))
+
+    def harvested(page):
+        links = F.transform(anchors(html), lambda a: F.struct(
+            a["href"].alias("raw"), normalize_url(resolved(a["href"], src, page)).alias("href"), a["text"].alias("text")))
+        keep = F.filter(links, lambda a: a["raw"].isNotNull() & ~a["raw"].startswith("mailto:")
+                        & a["href"].isNotNull() & (a["href"] != src)
+                        & let(url_parts(a["href"]), lambda link: link["scheme"].isin("http", "https")
+                              & _article_like(a["href"], link, a["text"], src, page, hints)))
+        return F.array_distinct(F.transform(keep, lambda a: a["href"]))
+
     return F.when(is_article_page(html) | (F.coalesce(_col(html), F.lit("")) == ""),
-                  F.array().cast("array<string>")).otherwise(out)
+                  F.array().cast("array<string>")).otherwise(let(url_parts(src), harvested))
 
 
 RECORD_FIELDS = ["url", "title", "summary", "author", "published_at", "content"]

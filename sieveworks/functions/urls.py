@@ -80,9 +80,8 @@ def form_encode(c) -> Column:
 
 
 def is_tracking_param(key) -> Column:
-    k = F.lower(_col(key))
     prefix_re = "^(" + "|".join(TRACKING_PREFIXES) + ")"
-    return k.isin(*TRACKING_PARAMS) | k.rlike(prefix_re)
+    return let(F.lower(_col(key)), lambda k: k.isin(*TRACKING_PARAMS) | k.rlike(prefix_re))
 
 
 def url_parts(url) -> Column:
@@ -92,12 +91,14 @@ def url_parts(url) -> Column:
     """
     def split(u):
         has_scheme = u.rlike(_SCHEME_RE)
-        rest = F.when(has_scheme, F.regexp_replace(u, _SCHEME_RE, "")).otherwise(u)
-        return F.struct(F.when(has_scheme, F.lower(F.regexp_extract(u, _SCHEME_RE, 1))).alias("scheme"),
-                        F.regexp_extract(rest, _REST_RE, 2).alias("netloc"),
-                        F.regexp_extract(rest, _REST_RE, 3).alias("path_full"),
-                        F.regexp_extract(rest, _REST_RE, 4).alias("query_q"),
-                        F.regexp_extract(rest, _REST_RE, 6).alias("frag"))
+        cut = F.when(has_scheme, F.regexp_replace(u, _SCHEME_RE, "")).otherwise(u)
+        scheme = F.when(has_scheme, F.lower(F.regexp_extract(u, _SCHEME_RE, 1)))
+        return let(cut, lambda rest: F.struct(
+            scheme.alias("scheme"),
+            F.regexp_extract(rest, _REST_RE, 2).alias("netloc"),
+            F.regexp_extract(rest, _REST_RE, 3).alias("path_full"),
+            F.regexp_extract(rest, _REST_RE, 4).alias("query_q"),
+            F.regexp_extract(rest, _REST_RE, 6).alias("frag")))
 
     def finish(p):
         path_full = p["path_full"]
@@ -115,7 +116,10 @@ def url_parts(url) -> Column:
 
 def normalize_query(q) -> Column:
     """parse_qsl(keep_blank_values) -> drop tracking keys -> sort -> urlencode."""
-    q = _col(q)
+    return let(_col(q), _normalized_query)
+
+
+def _normalized_query(q: Column) -> Column:
     pieces = F.filter(F.split(q, "&"), lambda x: x != "")
     pairs = F.transform(pieces, lambda x: F.struct(
         pct_decode(F.when(x.contains("="), F.substring_index(x, "=", 1)).otherwise(x)).alias("k"),
@@ -127,7 +131,7 @@ def normalize_query(q) -> Column:
 
 
 def _unparse(scheme, netloc, path, params, query) -> Column:
-    path_p = F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path)
+    path_p = F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path)  # all arguments are bound values
     with_netloc = F.concat(F.lit("//"), netloc,
                            F.when((path_p != "") & ~path_p.startswith("/"),
                                   F.concat(F.lit("/"), path_p)).otherwise(path_p))
@@ -152,7 +156,8 @@ def normalize_url(url) -> Column:
         path = (F.when(path0 == "", F.lit("/"))
                  .when((F.length(path0) > 1) & path0.endswith("/"), F.regexp_replace(path0, "/+$", ""))
                  .otherwise(path0))
-        out = _unparse(scheme, netloc, path, p["params"], normalize_query(p["query"]))
+        parts = F.struct(netloc.alias("netloc"), path.alias("path"), normalize_query(p["query"]).alias("query"))
+        out = let(parts, lambda n: _unparse(scheme, n["netloc"], n["path"], p["params"], n["query"]))
         return F.when(scheme.isNotNull(), out)
     return let(url_parts(url), body)
 
@@ -239,45 +244,49 @@ def absolute_url(maybe_relative, base) -> Column:
 
 def _remove_dots(segments: Column) -> Column:
     """Dot-segment removal over an array of path segments (urljoin's loop)."""
-    folded = F.aggregate(
-        segments, F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-                        .when(s == ".", acc)
-                        .otherwise(F.concat(acc, F.array(s))))
-    last = F.element_at(segments, -1)
-    folded = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    joined = F.array_join(folded, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    def body(xs):
+        folded = F.aggregate(
+            xs, F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+                            .when(s == ".", acc)
+                            .otherwise(F.concat(acc, F.array(s))))
+        last = F.element_at(xs, -1)
+        ended = let(folded, lambda f: F.when(last.isin(".", ".."), F.concat(f, F.array(F.lit("")))).otherwise(f))
+        return let(F.array_join(ended, "/"), lambda joined: F.when(joined == "", F.lit("/")).otherwise(joined))
+
+    return let(segments, body)
 
 
 def resolve_url(href, base) -> Column:
     """``urljoin(base, href)`` for the common reference forms (RFC 3986)."""
-    h = _col(href)
-    bp = url_parts(base)
+    return let(url_parts(base), lambda bp: resolved(href, base, bp))
+
+
+def resolved(href, base, bp: Column) -> Column:
+    """``resolve_url`` with the base's ``url_parts``, for callers with many references to one base."""
     bscheme, bnetloc, bpath = bp["scheme"], bp["netloc"], bp["path"]
     bpath_p = F.when(bp["params"] != "", F.concat(bpath, F.lit(";"), bp["params"])).otherwise(bpath)
-    hpath = F.regexp_extract(h, r"(?s)^([^?#]*)", 1)
-    hquery_part = F.regexp_extract(h, r"(?s)^[^?#]*(\?[^#]*)?", 1)
-    hfrag_part = F.regexp_extract(h, r"(?s)^[^#]*(#.*)?$", 1)
-    base_dir = F.split(bpath, "/")
-    base_dir = F.when(F.element_at(base_dir, -1) != "",
-                      F.slice(base_dir, 1, F.greatest(F.size(base_dir) - 1, F.lit(0)))).otherwise(base_dir)
-    rel_segs = F.concat(base_dir, F.split(hpath, "/"))
-    n = F.size(rel_segs)
-    rel_segs = F.when(n <= 2, rel_segs).otherwise(F.concat(
-        F.slice(rel_segs, 1, 1), F.filter(F.slice(rel_segs, 2, n - 2), lambda s: s != ""),
-        F.slice(rel_segs, n, 1)))
-    abs_path = _remove_dots(F.split(hpath, "/"))
-    rel_path = _remove_dots(rel_segs)
     origin = F.concat(bscheme, F.lit("://"), bnetloc)
-    base_no_q = F.concat(origin, bpath_p)
-    bquery = F.when(bp["query"] != "", F.concat(F.lit("?"), bp["query"])).otherwise(F.lit(""))
-    return (F.when(F.coalesce(h, F.lit("")) == "", _col(base))
-             .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-             .when(h.startswith("//"), F.concat(bscheme, F.lit(":"), h))
-             .when(hpath == "", F.concat(base_no_q,
-                                         F.when(hquery_part != "", hquery_part).otherwise(bquery),
-                                         hfrag_part))
-             .when(hpath.startswith("/"), F.concat(origin, abs_path, hquery_part, hfrag_part))
-             .otherwise(F.concat(origin, F.when(rel_path.startswith("/"), rel_path)
-                                 .otherwise(F.concat(F.lit("/"), rel_path)), hquery_part, hfrag_part)))
+
+    def rel_path(hpath):
+        base_dir = let(F.split(bpath, "/"), lambda d: F.when(
+            F.element_at(d, -1) != "", F.slice(d, 1, F.greatest(F.size(d) - 1, F.lit(0)))).otherwise(d))
+        segs = let(F.concat(base_dir, F.split(hpath, "/")), lambda xs: F.when(F.size(xs) <= 2, xs).otherwise(F.concat(
+            F.slice(xs, 1, 1), F.filter(F.slice(xs, 2, F.size(xs) - 2), lambda s: s != ""),
+            F.slice(xs, F.size(xs), 1))))
+        return let(_remove_dots(segs), lambda r: F.when(r.startswith("/"), r).otherwise(F.concat(F.lit("/"), r)))
+
+    def body(h):
+        hquery_part = F.regexp_extract(h, r"(?s)^[^?#]*(\?[^#]*)?", 1)
+        hfrag_part = F.regexp_extract(h, r"(?s)^[^#]*(#.*)?$", 1)
+        bquery = F.when(bp["query"] != "", F.concat(F.lit("?"), bp["query"])).otherwise(F.lit(""))
+        by_path = let(F.regexp_extract(h, r"(?s)^([^?#]*)", 1), lambda hpath: (
+            F.when(hpath == "", F.concat(origin, bpath_p, F.when(hquery_part != "", hquery_part).otherwise(bquery), hfrag_part))
+             .when(hpath.startswith("/"), F.concat(origin, _remove_dots(F.split(hpath, "/")), hquery_part, hfrag_part))
+             .otherwise(F.concat(origin, rel_path(hpath), hquery_part, hfrag_part))))
+        return (F.when(F.coalesce(h, F.lit("")) == "", _col(base))
+                 .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+                 .when(h.startswith("//"), F.concat(bscheme, F.lit(":"), h))
+                 .otherwise(by_path))
+
+    return let(_col(href), body)
