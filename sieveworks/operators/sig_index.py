@@ -1,7 +1,7 @@
 """Signature index kept with the history.
 
 Two tables, written once a run and never rewritten: ``bands`` holds a row per
-band key of each selected signature, bucketed by the key, and ``sigs`` the
+band key of each selected signature (with its sketch), bucketed by the key, and ``sigs`` the
 signatures, bucketed by their hash. Both are partitioned by the date of the
 run and the batch that wrote them, so the dedup window prunes folders and a
 replayed batch overwrites its own. A run shuffles only its own band rows: the
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.lists import path_exists
-from .dedup import SimSpec, band_rows, candidate_pairs, verified
+from .dedup import SimSpec, band_rows, candidate_pairs, sketch_columns, verified
 
 PARTS = ["last_included", "batch_id"]
 
@@ -33,7 +33,8 @@ class SignatureIndex:
         self.path, self.spec = path, spec
         tag = hashlib.sha1(path.encode()).hexdigest()[:16]
         self.bands, self.sigs = f"sig_bands_{tag}", f"sig_rows_{tag}"
-        for name, columns, key in ((self.bands, "id BIGINT, bkey BIGINT", "bkey"), (self.sigs, "id BIGINT, sig ARRAY<BIGINT>", "id")):
+        self.words = sketch_columns(spec)
+        for name, columns, key in ((self.bands, ", ".join(f"{c} BIGINT" for c in ("id", "bkey", *self.words)), "bkey"), (self.sigs, "id BIGINT, sig ARRAY<BIGINT>", "id")):
             known = path_exists(spark, f"{path}/{name}")
             spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, last_included STRING, batch_id BIGINT) USING parquet "
                       f"PARTITIONED BY ({', '.join(PARTS)}) CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}/{name}'")
@@ -51,7 +52,7 @@ class SignatureIndex:
         conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         try:
             # One task a bucket, whatever the dates: no more files than buckets a date.
-            keys.select("id.id", "bkey", *[f"id.{p}" for p in PARTS]).repartition("bkey").write.insertInto(self.bands, overwrite=True)
+            keys.select("id.id", "bkey", *self.words, *[f"id.{p}" for p in PARTS]).repartition("bkey").write.insertInto(self.bands, overwrite=True)
             marks.select("id", "sig", *PARTS).repartition("id").write.insertInto(self.sigs, overwrite=True)
         finally:
             conf.set("spark.sql.sources.partitionOverwriteMode", mode)
@@ -62,7 +63,7 @@ class SignatureIndex:
         window = window if but is None else window & ~but
         # A signature of several dates is one candidate.
         spark = cands.sparkSession
-        bands = spark.table(self.bands).where(window).select("id", "bkey").groupBy("bkey", "id").agg(F.lit(1).alias("one")).drop("one")
+        bands = spark.table(self.bands).where(window).groupBy("bkey", "id").agg(*[F.first(k).alias(k) for k in self.words])
         sigs = spark.table(self.sigs).where(window).groupBy("id").agg(F.first("sig").alias("rs")).withColumnRenamed("id", "r")
         own = cut_lineage(cands.select(id_col, sig_col).where(F.col(sig_col).isNotNull()))
         pairs = candidate_pairs(band_rows(own, id_col, sig_col, self.spec), bands, self.spec)
