@@ -67,26 +67,40 @@ def page_lookup(wanted: DataFrame, pages: DataFrame | PageTable) -> DataFrame:
     return wanted.join(one, "_page_url").drop("_page_url")
 
 
-def curate(candidates: DataFrame, pages: DataFrame | PageTable, history: DataFrame, scorer, params: CurateParams):
+def allowed(candidates: DataFrame, params: CurateParams) -> DataFrame:
+    """(url, source_url): a row a URL key, from its first writer, after the domain policy on search hits."""
+    hit = F.col("kind") == 1
+    found = candidates.where(hit)
+    if params.exclude_domains:
+        found = P.exclude_domains(found, "url", params.exclude_domains)
+    if params.domain_mode == "strict":
+        found = P.restrict_domains(found, "url", params.preferred_domains, params.search_provider)
+    return (candidates.where(~hit).unionByName(found)
+            .withColumn("url", _key(F.col("url"), params.url_key)).where(F.col("url").isNotNull())
+            .groupBy("url").agg(F.min(F.struct("kind", "src", "pos", "provenance")).alias("f"))
+            .select("url", F.col("f.provenance").alias("source_url")))
+
+
+def page_records(wanted: DataFrame, pages: DataFrame | PageTable) -> DataFrame:
+    """``wanted`` (with url) that have a page, with its article fields, title key and signature."""
+    looked = page_lookup(wanted.withColumn("_page_url", canon_fetch_url(F.col("url"))), pages)
+    recs = cut_lineage(H.extract_records(looked).drop("html"))
+    return cut_lineage(recs.withColumn("title_key", normalize_title(F.col("title")))
+                       .withColumn("sig", M.signature(F.col("content"))))
+
+
+def curate(candidates: DataFrame, pages: DataFrame | PageTable, history: DataFrame, scorer, params: CurateParams,
+           records: DataFrame | None = None):
     """Returns (selected, audit, run_row).
 
     candidates: (url, provenance, kind, src, pos), see operators.candidates;
     pages: (url, page_id, html) or a published page table; history: article rows; scorer: DataFrame -> DataFrame
     adding summary/category/relevance_score/tags/takeaways (rows it drops
-    count as failed annotations). No candidate at all is an error.
+    count as failed annotations); records: ``page_records`` of all distinct URLs
+    that ``allowed`` gives, where several runs over the same pages share them. No candidate at all is an error.
     """
     spec = D.SimSpec(params.threshold)
-    hit = F.col("kind") == 1
-    found = candidates.where(hit)
-    if params.exclude_domains:
-        found = P.exclude_domains(found, "url", params.exclude_domains)
-    if params.domain_mode == "strict":
-        found = P.restrict_domains(found, "url", params.preferred_domains, params.search_provider)
-    cands = (candidates.where(~hit).unionByName(found)
-             .withColumn("url", _key(F.col("url"), params.url_key)).where(F.col("url").isNotNull())
-             .groupBy("url").agg(F.min(F.struct("kind", "src", "pos", "provenance")).alias("f"))
-             .select("url", F.col("f.provenance").alias("source_url")))
-    cands = cut_lineage(cands)
+    cands = cut_lineage(allowed(candidates, params))
     if cands.isEmpty():
         raise ValueError("a run needs source URLs or search terms")
 
@@ -96,12 +110,7 @@ def curate(candidates: DataFrame, pages: DataFrame | PageTable, history: DataFra
                                                     normalize_title)
 
     fresh = cut_lineage(D.anti_url(cands, seen_urls, "url"))
-    wanted = fresh.withColumn("_page_url", canon_fetch_url(F.col("url")))
-    looked = page_lookup(wanted, pages)
-    recs = cut_lineage(H.extract_records(looked).drop("html"))
-    recs = (recs.withColumn("title_key", normalize_title(F.col("title")))
-            .withColumn("sig", M.signature(F.col("content"))))
-    recs = cut_lineage(recs)
+    recs = page_records(fresh, pages) if records is None else cut_lineage(fresh.join(records, "url"))
 
     after_title = D.anti_title(recs, seen_titles, "title_key")
     after_near = cut_lineage(D.anti_neardup(after_title, seen_sigs, "url", "sig", spec).select("url", "title_key", "sig"))

@@ -4,7 +4,10 @@ New landing files of search payloads -> ``readStream`` -> ``foreachBatch``: for
 each run date of the batch, in ascending order, hits and source links become
 candidates, ``curate`` runs against the pages and the history of the runs
 before (URL, title and body within the window, policy, annotation, capped
-top-k), and ``publish_run`` writes daily rows, history and index.
+top-k), and ``publish_run`` writes daily rows, history and index. The source
+links are taken, and the pages that a batch's runs ask for looked up, read and
+signed, once a batch: these do not depend on the run, and most URLs are asked
+for by all of them.
 
 A run is known by its batch id and run date, a mark that history and index
 carry. A batch that is replayed after a failure finishes what is missing and no
@@ -28,7 +31,7 @@ from ..operators import store as ST
 from ..operators.candidates import candidates
 from ..operators.versions import read_version
 from ..operators.views import overview_with
-from ..plans.curate import CurateParams, curate
+from ..plans.curate import CurateParams, allowed, curate, page_records
 from ..session import cut_lineage
 from ..sources.search import parse_responses
 
@@ -60,19 +63,25 @@ def _batch_runner(base: str, pages: DataFrame, links: DataFrame, scorer, params:
         dates = [r.run_date for r in batch.select("run_date").distinct().collect()]
         if None in dates:
             raise ValueError("every landing row needs a run_date")
-        for run_date in sorted(dates):
-            found = spark.read.schema(LANDING_SCHEMA).parquet(path).where(F.col("run_date") == run_date)
-            _run(spark, base, run_date, f"{batch_id:019d} {run_date}", found, pages, links, scorer, params, summarise)
+        landed = spark.read.schema(LANDING_SCHEMA).parquet(path)
+        runs = [(run_date, f"{batch_id:019d} {run_date}") for run_date in sorted(dates)]
+        new = [run_date for run_date, mark in runs if not ST.published(spark, base, "history", mark)]
+        taken, records = cut_lineage(links), None
+        if len(new) > 1:
+            asked = allowed(candidates(taken, parse_responses(landed.where(F.col("run_date").isin(new)))), params)
+            records = page_records(asked.select("url"), pages)
+        for run_date, mark in runs:
+            _run(spark, base, run_date, mark, landed.where(F.col("run_date") == run_date), pages, taken, scorer, params, summarise, records)
     return run_batch
 
 
 def _run(spark: SparkSession, base: str, run_date: str, mark: str, found: DataFrame, pages: DataFrame, links: DataFrame, scorer, params: CurateParams,
-         summarise: Callable | None) -> None:
+         summarise: Callable | None, records: DataFrame | None = None) -> None:
     inputs = links.select(F.col("source_url").alias("source_input")).unionByName(found.select(F.concat(F.lit("search:"), "term").alias("source_input")))
     now = datetime.now(UTC).isoformat(timespec="seconds")
     if not ST.published(spark, base, "history", mark):
         history = read_version(spark, f"{base}/history", ST.HISTORY_SCHEMA)
-        chosen, _, _ = curate(candidates(links, parse_responses(found)), pages, history, scorer, replace(params, run_date=run_date))
+        chosen, _, _ = curate(candidates(links, parse_responses(found)), pages, history, scorer, replace(params, run_date=run_date), records)
         rows = cut_lineage(chosen.withColumn("last_included", F.lit(run_date)).select(*ST.ARTICLE_COLUMNS, "rank"))
         ST.publish_run(spark, base, rows, run_date, now, inputs, _overview(rows, run_date, summarise), mark)
     elif not ST.published(spark, base, "index", mark):

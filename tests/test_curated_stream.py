@@ -9,6 +9,7 @@ from sieveworks.functions import minhash as M
 from sieveworks.functions.text import normalize_title
 from sieveworks.operators import store as ST
 from sieveworks.operators.annotate import annotate_with
+from sieveworks.plans.catalog import word_scorer
 from sieveworks.plans.curate import CurateParams
 from sieveworks.streaming.curated import LANDING_SCHEMA, curate_stream
 
@@ -106,3 +107,17 @@ def test_runs_equal_the_fold_after_two_deaths(spark, tmp_path, monkeypatch):
     curate_stream(spark, landing, base, pages, links, scorer, PARAMS, summarise)
     assert results(spark, base) == want
     assert left == {"history": -3, "index": -2}  # of each run one history and one index was committed
+
+
+def test_runs_of_a_batch_read_and_sign_their_pages_once(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, f"https://a.example/p{i}", f"<article>{' '.join(f'w{i}x{k}' for k in range(40))} plus</article>") for i in range(3)],
+                                  "page_id long, url string, html string")
+    rows = [(d, "tavily", 0, "t", json.dumps({"results": [{"url": f"https://a.example/p{i}"} for i in few]})) for d, few in zip(DATES[:2], ([0, 1], [1, 2]), strict=True)]
+    spark.createDataFrame(rows, LANDING_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "landing"))
+    links = spark.createDataFrame([], "source_url string, url string")
+    calls, real = [], H.extract_records
+    monkeypatch.setattr(H, "extract_records", lambda *a, **k: calls.append(1) or real(*a, **k))
+    curate_stream(spark, str(tmp_path / "landing"), str(tmp_path / "out"), pages, links, word_scorer, PARAMS)
+    daily = [(str(r.run_date), r.url[-2:]) for r in ST.read_daily(spark, str(tmp_path / "out/daily")).collect()]
+    assert sorted(daily) == [(DATES[0], "p0"), (DATES[0], "p1"), (DATES[1], "p2")]
+    assert len(calls) == 1  # and not one a run
