@@ -169,12 +169,14 @@ def tag_stream(html) -> Column:
 
     Comments, scripts and styles are dropped first, so nothing in them counts.
     """
-    clean = F.regexp_replace(F.coalesce(_col(html), F.lit("")), _DROP_RE, " ")
-    tags = F.regexp_extract_all(clean, F.lit(_ANY_TAG), F.lit(0))
-    after = F.slice(F.split(clean, _ANY_TAG, -1), F.lit(2), F.size(tags) + 1)
-    return F.zip_with(tags, after, lambda t, x: F.struct(
-        t.alias("tag"), F.lower(F.regexp_extract(t, "^</?([A-Za-z][A-Za-z0-9]*)", 1)).alias("name"),
-        t.startswith("</").alias("close"), F.coalesce(x, F.lit("")).alias("after")))
+    def stream(clean):
+        tags = F.regexp_extract_all(clean, F.lit(_ANY_TAG), F.lit(0))
+        after = F.slice(F.split(clean, _ANY_TAG, -1), F.lit(2), F.lit(1 << 30))  # all from the second on
+        return F.zip_with(tags, after, lambda t, x: F.struct(
+            t.alias("tag"), F.lower(F.regexp_extract(t, "^</?([A-Za-z][A-Za-z0-9]*)", 1)).alias("name"),
+            t.startswith("</").alias("close"), F.coalesce(x, F.lit("")).alias("after")))
+
+    return let(F.regexp_replace(F.coalesce(_col(html), F.lit("")), _DROP_RE, " "), stream)
 
 
 def inner_from(stream: Column, i: Column) -> Column:
@@ -276,15 +278,15 @@ def extract_content(html) -> Column:
     p_text = F.array_join(F.transform(paras, element_text_nosep), "\n\n")
 
     def container(t):
-        classes = F.split(F.coalesce(_attr(t["tag"], "class", False), F.lit("")), r"\s+")
+        value = F.when(F.lower(t["tag"]).contains("class"), _attr(t["tag"], "class", False))
+        classes = F.split(F.coalesce(value, F.lit("")), r"\s+")
         return (t["name"] == "main") | F.arrays_overlap(classes, F.array(*[F.lit(c) for c in CONTENT_CLASSES]))
 
     def text(stream):
-        article = _openers(stream, lambda t: t["name"] == "article")
-        boxes = _openers(stream, container)
-        return (F.when(F.size(article) > 0, element_text(inner_from(stream, F.element_at(article, 1))))
-                 .when(F.size(boxes) > 0, F.array_join(F.transform(boxes, lambda i: element_text(inner_from(stream, i))), "\n\n"))
-                 .otherwise(p_text))
+        in_boxes = lambda boxes: F.when(F.size(boxes) > 0, F.array_join(
+            F.transform(boxes, lambda i: element_text(inner_from(stream, i))), "\n\n")).otherwise(p_text)
+        return let(_openers(stream, lambda t: t["name"] == "article"), lambda article: F.when(
+            F.size(article) > 0, element_text(inner_from(stream, F.element_at(article, 1)))).otherwise(let(_openers(stream, container), in_boxes)))
 
     return collapse_ws(let(tag_stream(h), text))
 
